@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from tallyspark.llm.byte_bpe import op4_byte_bpe
+from tallyspark.llm.html_text import op9_html_text
+from tallyspark.llm.packing import op2_best_fit_packing
+from tallyspark.llm.quality_rules import OP6_SQL, op6_quality_rules
+from tallyspark.llm.secret_scans import op10_secret_scans
 from tallyspark.llm.token_counts import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_byte_bpe, op6_quality_rules, op9_html_text, op10_secret_scans)}
+SQL = {"op6_quality_rules": OP6_SQL}
