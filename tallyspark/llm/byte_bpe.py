@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import spaced, table, whole
 
-#: Buckets of the literal rank map: a map's entries are searched one after another, so each holds a few.
+#: Buckets of the literal rank map: Spark searches a map from its start, so pairs are spread over many short lists.
 BUCKETS = 1 << 16
 
 
@@ -40,19 +40,22 @@ def literal(value, schema: str) -> Column:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: an array of BUCKETS maps from a pair of ids (left * 2**20 + right) to the merged id."""
-    held: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    """The literal rank map: BUCKETS short lists of pairs of ids (k: left * 2**20 + right) and of merged ids (v)."""
+    held: dict[str, list[list[int]]] = {"k": [[] for _ in range(BUCKETS)], "v": [[] for _ in range(BUCKETS)]}
     for a, b, r in pair_ranks(ranks):
-        held[(a * 31 + b) & (BUCKETS - 1)][str((a << 20) | b)] = r
-    return literal(held, "array<map<string,int>>")
+        at = (a * 31 + b) & (BUCKETS - 1)
+        held["k"][at].append((a << 20) | b)
+        held["v"][at].append(r)
+    return literal(held, "struct<k:array<array<bigint>>,v:array<array<int>>>")
 
 
 def merged(parts: Column, table: Column) -> Column:
     """Ids after the merge of lowest rank, the leftmost of equals; the same ids where no pair has a rank."""
 
     def rank(a: Column, b: Column) -> Column:
-        bucket = F.get(table, (a * 31 + b).bitwiseAND(BUCKETS - 1))
-        return F.element_at(bucket, F.shiftleft(a.cast("long"), 20).bitwiseOR(b.cast("long")).cast("string"))
+        bucket = (a * 31 + b).bitwiseAND(BUCKETS - 1)
+        place = F.array_position(F.get(table["k"], bucket), F.shiftleft(a.cast("long"), 20).bitwiseOR(b.cast("long")))
+        return F.get(F.get(table["v"], bucket), (place - 1).cast("int"))
 
     found = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), rank)
 
@@ -141,7 +144,7 @@ def digests(pieces: list[bytes]):
     return step
 
 
-def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 24 << 20) -> DataFrame:
+def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 6 << 20) -> DataFrame:
     """Blocks of documents: ids, lengths (words of each), runs (its word numbers, deflated), and words as arrays of token ids.
 
     A block holds up to block_chars characters, or one longer text. Its words are the distinct matches of pattern in it.
