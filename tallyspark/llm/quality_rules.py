@@ -159,7 +159,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 #: The same rows in SQL; the rules are those of RULES and too_short_or_repetitive. rejected_by depends on the order of
@@ -167,15 +167,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 t AS (SELECT doc_id, i, words[i] || ' ' || words[i+1] || ' ' || words[i+2] AS tri
       FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM t) WHERE n >= 2),
 p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS s(k) GROUP BY doc_id),
-c AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+c AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-        len(lines) AS n_lines, len(list_filter(words, x -> regexp_matches(x, '[^0-9!-/:-@\[-`{-~]'))) AS n_lettered,
+        len(lines) AS n_lines, len(list_filter(words, lambda x: regexp_matches(x, '[^0-9!-/:-@\[-`{-~]'))) AS n_lettered,
         coalesce(list_max(map_values(list_histogram(words))), 0) AS n_top
       FROM w LEFT JOIN p USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
