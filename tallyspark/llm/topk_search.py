@@ -40,33 +40,37 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([min(max(s, -LONG - 1), LONG) for s in exact], np.int64)
 
 
-def threshold_top(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: int, k: int, first: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
+def threshold_top(x: np.ndarray, ids: np.ndarray, up: np.ndarray, down: np.ndarray, q: np.ndarray, own: int, k: int, first: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
     """Row numbers and scores of the k best rows for q without those of its own id, ties to smaller ids; and the depth reached.
 
-    lists[d] are the rows by component d, the smallest first. The depth is doubled in each round; a tie with the kth
-    result doesn't stop the walk, since an unseen vector may have the smaller id.
+    up[d] are the rows by component d, the smallest first, and down[d] the largest first. Each round walks eight times as
+    deep as all before. A tie with the kth result doesn't stop the walk, since an unseen vector may have the smaller id.
     """
     n, width = x.shape
-    used = np.flatnonzero(q)
-    if not len(used):  # all scores are zero
-        used = np.zeros(0, int)
-    seen = np.zeros(n, bool)
-    best, scores, depth = np.zeros(0, int), np.zeros(0, np.int64), 0
     exact = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(width, 1) < EXACT
+    rising = q > 0
+    seen, closed = np.zeros(n, bool), ids == own
+    best, scores, depth = np.zeros(0, int), np.zeros(0, np.int64), 0
     while depth < n:
-        deeper = min(n, max(first, 2 * depth))
-        step = np.where(q[used, None] > 0, lists[used, ::-1][:, depth:deeper], lists[used, depth:deeper]).ravel() if len(used) else np.arange(n)
-        depth = deeper if len(used) else n
+        deeper = min(n, max(first, 8 * depth)) if q.any() else n
         fresh = np.zeros(n, bool)
-        fresh[step] = True
-        new = np.flatnonzero(fresh & ~seen & (ids != own))
+        fresh[up[~rising, depth:deeper].ravel()] = True
+        fresh[down[rising, depth:deeper].ravel()] = True
+        if not width:
+            fresh[:] = True
+        depth = deeper
+        new = np.flatnonzero(fresh & ~seen & ~closed)
         seen |= fresh
-        best, scores = np.concatenate([best, new]), np.concatenate([scores, products(x[new], q)])
+        met = products(x, q)[new] if exact and 2 * len(new) > n else products(x[new], q)
+        best, scores = np.concatenate([best, new]), np.concatenate([scores, met])
+        if len(scores) > k:
+            good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            best, scores = best[good], scores[good]
         order = np.lexsort((ids[best], -scores))[:k]
         best, scores = best[order], scores[order]
-        if len(best) == k and len(used) and exact:
-            edge = np.where(q[used] > 0, lists[used, n - depth], lists[used, depth - 1])
-            if (x[edge, used] * q[used]).sum() < scores[-1]:
+        if len(best) == k and exact and depth < n:
+            edge = np.where(rising, down[:, depth - 1], up[:, depth - 1])
+            if (x[edge, np.arange(width)] * q).sum() < scores[-1]:
                 break
     return best, scores, depth
 
@@ -97,9 +101,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         out: list[tuple[np.ndarray, ...]] = []
         if len(x) and len(q):
             m, ids = matrix(x.column("v"), width), x.column("id").to_numpy()
-            lists = np.argsort(m, axis=0, kind="stable").T
+            up = np.ascontiguousarray(np.argsort(m, axis=0, kind="stable").T.astype(np.int32))
+            down = np.ascontiguousarray(up[:, ::-1])
             for own, one in zip(q.column("id").to_pylist(), matrix(q.column("v"), width), strict=True):
-                best, scores, _ = threshold_top(m, ids, lists, one, own, k)
+                best, scores, _ = threshold_top(m, ids, up, down, one, own, k)
                 out.append((np.full(len(best), own), ids[best], scores))
         a, b, s = (np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64)]).astype(np.int64) for i in range(3))
         return pa.table({"query_id": a, "vec_id": b, "score": s})
