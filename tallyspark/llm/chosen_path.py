@@ -77,7 +77,7 @@ def shingler(words: int):
             return np.zeros(0, np.uint64)
         if len(known) > 300_000:
             known.clear()
-        for w in set(said) - known.keys():
+        for w in set(said).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, said), np.uint64, len(said))
         k = min(words, len(said))
