@@ -72,7 +72,7 @@ def ids_of(data: bytes):
         missing = words.difference(stopped)
         missing.update(w[:-1] for w in stopped)
         missing.update(",.")
-        missing -= ids.keys()
+        missing = missing.difference(ids)
         odd = [w for w in missing if MARK in w or SPECIAL in w]
         missing.difference_update(odd)
         ids.update((w, array("I", x.ids).tobytes()) for w, x in zip(odd, t.encode_batch_fast(odd, add_special_tokens=False), strict=True))
@@ -85,7 +85,7 @@ def ids_of(data: bytes):
         cut = [(x if CASED(x) else x.lower()).replace("\n", " ").split(" ") for x in texts]
         if len(ids) > KEPT:
             ids.clear()
-        if new := set().union(*cut) - ids.keys():
+        if new := set().union(*cut).difference(ids):
             learn(new)
         return [b"".join(map(ids.__getitem__, x)) for x in cut]
 

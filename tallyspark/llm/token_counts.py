@@ -37,7 +37,7 @@ def counter(name: str, data: bytes):
         cut = [spaced(x) for x in texts]
         if len(lengths) > KEPT:
             lengths.clear()
-        if new := list(set().union(*(x[1:] for x in cut)) - lengths.keys()):
+        if new := list(set().union(*(x[1:] for x in cut)).difference(lengths)):
             lengths.update(zip(new, encode([whole(x) for x in new]), strict=True))
         firsts = encode([x[0] for x in cut])
         return [n + sum(map(lengths.__getitem__, x[1:])) for n, x in zip(firsts, cut, strict=True)]
