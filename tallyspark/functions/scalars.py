@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONG = (1 << 63) - 1
@@ -133,3 +133,11 @@ def repos_match(a: Column, b: Column) -> Column:
 def micros(ts: str) -> Column:
     """A time as whole microseconds, of a column with or without a zone (UTC)."""
     return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def split_cached(df: DataFrame, total_in: str, cached: str, out: str, total: str) -> DataFrame:
+    """P25: input tokens apart from cached ones. Rows whose cache is larger than their input, or whose parts don't sum to
+    their total, are not valid and have no amounts."""
+    valid = (F.col(cached) <= F.col(total_in)) & (F.col(total_in) + F.col(out) == F.col(total))
+    keep = lambda c: F.when(valid, c)
+    return df.withColumns({"valid": valid, "input_tok": keep(F.col(total_in) - F.col(cached)), "cache_read": keep(F.col(cached)), "output_tok": keep(F.col(out))})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,28 +16,26 @@ from tallyspark.functions.scalars import length_prefixed
 VECTOR = ("input_tok", "output_tok", "cache_read", "cache_write_5m", "cache_write_1h")
 
 
-def merged_fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """T1 for one key: the first row, replaced by each later one that is nowhere less and somewhere more; others that
-    aren't nowhere more are conflicts."""
-    rows = rows.sort_values("ingest", kind="stable")
-    held, conflicts, replaced = None, 0, 0
-    for r in rows.itertuples(index=False):
-        v = tuple(getattr(r, c) for c in VECTOR)
-        if held is None:
-            held = (r.key, r.developer, v)
-            continue
-        up, down = any(a > b for a, b in zip(v, held[2], strict=True)), any(a < b for a, b in zip(v, held[2], strict=True))
-        if r.developer != held[1] or up and down:
-            conflicts += 1
-        elif up:
-            held, replaced = (r.key, r.developer, v), replaced + 1
-    return pd.DataFrame([(held[0], held[1], *held[2], replaced, conflicts)], columns=["key", "developer", *VECTOR, "replaced", "conflicts"])
+def upserted(rows: DataFrame) -> DataFrame:
+    """Rows (key, developer, ingest, VECTOR) folded by key in order of ingest, ties by the row.
 
+    The first row stands until a later one of the same developer is nowhere less and somewhere more; a row of another
+    developer, or one that is more here and less there, is a conflict; others change nothing. A key's rows are
+    observations of one call, so they are few, and the fold is a column expression.
+    """
+    seen = F.array_sort(F.collect_list(F.struct("ingest", *VECTOR, "developer")))
+    zero = F.lit(0)
+    start = F.struct(*(F.get(F.col("seen"), zero)[c].alias(c) for c in ("developer", *VECTOR)), zero.alias("replaced"), zero.alias("conflicts"))
 
-def upserted(rows: DataFrame) -> DataFrame:
-    """Rows (key, developer, ingest, VECTOR) folded by key in order of ingest. A key's observations are one call's."""
-    schema = "key string, developer string, " + ", ".join(f"{c} long" for c in VECTOR) + ", replaced int, conflicts int"
-    return rows.select("key", "developer", "ingest", *VECTOR).groupBy("key").applyInPandas(merged_fold, schema)
+    def step(held: Column, row: Column) -> Column:
+        up, down = (functools.reduce(lambda a, b: a | b, [f(row[c], held[c]) for c in VECTOR]) for f in (operator.gt, operator.lt))
+        same = row["developer"] == held["developer"]
+        wins, clash = same & up & ~down, ~same | up & down
+        new = [F.when(wins, row[c]).otherwise(held[c]).alias(c) for c in ("developer", *VECTOR)]
+        return F.struct(*new, (held["replaced"] + wins.cast("int")).alias("replaced"), (held["conflicts"] + clash.cast("int")).alias("conflicts"))
+
+    folded = F.aggregate(F.slice("seen", 2, F.greatest(F.size("seen") - 1, F.lit(1))), start, step)
+    return rows.groupBy("key").agg(seen.alias("seen")).select("key", folded.alias("x")).select("key", "x.*")
 
 
 def first_writer(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -93,6 +94,6 @@ def bootstrap_interval(rows: pd.DataFrame, rounds: int = 1000, seed: int = 11) -
 
 def intervals(rows: DataFrame) -> DataFrame:
     """Rows (developer, points, cost, fixed) to bounds, and their reciprocals for dollars per point, swapped."""
-    b = rows.groupBy("developer").applyInPandas(bootstrap_interval, "developer string, n long, lo double, hi double")
+    b = rows.groupBy("developer").applyInPandas(lambda rows: bootstrap_interval(rows), "developer string, n long, lo double, hi double")
     ok = (F.col("lo") > 0) & (F.col("hi") > 0)
     return b.withColumns({"cpp_lo": F.when(ok, 1000 / F.col("hi")).otherwise(0.0), "cpp_hi": F.when(ok, 1000 / F.col("lo")).otherwise(0.0)})

@@ -76,3 +76,16 @@ def source_runs(runs: DataFrame) -> DataFrame:
     opened = runs.withColumn("opens", F.when(before.isNull() | (F.col("covered_from") > before), 1).otherwise(0))
     island = opened.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy("source", "island").agg(F.min("covered_from").alias("covered_from"), F.max("settled_through").alias("settled_through"), F.count("*").alias("runs"))
+
+
+def canonical(rows: DataFrame, aliases: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Rows whose developer is an alias take its canonical id, one hop. Aliases are broadcast if they are few."""
+    few = aliases.limit(most + 1).count() <= most
+    a = aliases.select(F.col("alias").alias("developer"), "canonical")
+    return rows.join(F.broadcast(a) if few else a, "developer", "left").withColumn("developer", F.coalesce("canonical", "developer")).drop("canonical")
+
+
+def unsealed(rows: DataFrame, seals: DataFrame, days: int = 14) -> DataFrame:
+    """rows in no sealed span (starts, ends), nor in the days before one. There is a seal a month, so seals are broadcast."""
+    s = F.broadcast(seals.select("starts", "ends"))
+    return rows.join(s, (F.col("ts") < F.col("ends")) & (F.col("ts") >= F.col("starts") - F.expr(f"INTERVAL {days} DAYS")), "left_anti")

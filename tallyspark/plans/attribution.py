@@ -247,7 +247,15 @@ def _(spark, sf):
     return ledgers.day_digests(B.token_events(spark, sf), ["id", "developer", "cost_micro"])
 
 
-@query("T1_upsert")
+BIGGER = " OR ".join(f"x.{c} > a.{c}" for c in ledgers.VECTOR)
+LESS = " OR ".join(f"x.{c} < a.{c}" for c in ledgers.VECTOR)
+WINS = f"(x.developer = a.developer AND ({BIGGER}) AND NOT ({LESS}))"
+KEPT = ", ".join(f"{c} := CASE WHEN {WINS} THEN x.{c} ELSE a.{c} END" for c in (*ledgers.VECTOR, "developer"))
+
+
+@query("T1_upsert", f""", l AS (SELECT id::VARCHAR AS key, list_sort(list(struct_pack(ingest := epoch_us(ts), {", ".join(f"{c} := {c}" for c in (*ledgers.VECTOR, "developer"))}, replaced := 0, conflicts := 0))) AS s FROM token_events GROUP BY 1),
+r AS (SELECT key, list_reduce(s, lambda a, x: struct_pack(ingest := a.ingest, {KEPT}, replaced := a.replaced + {WINS}::INTEGER, conflicts := a.conflicts + (x.developer <> a.developer OR ({BIGGER}) AND ({LESS}))::INTEGER)) AS h FROM l)
+SELECT key, h.developer AS developer, {", ".join(f"h.{c} AS {c}" for c in ledgers.VECTOR)}, h.replaced AS replaced, h.conflicts AS conflicts FROM r""")
 def _(spark, sf):
     e = B.token_events(spark, sf).withColumn("key", F.col("id").cast("string"))
     return ledgers.upserted(e.withColumn("ingest", micros("ts")).select("key", "developer", "ingest", *ledgers.VECTOR))

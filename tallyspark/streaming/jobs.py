@@ -16,7 +16,10 @@ def counted_stream(spark: SparkSession, path: str) -> DataFrame:
     A batch writes its own folder, so that a batch which is run again replaces what it had written; sums are merged on
     reading. Progress is kept in a checkpoint folder: with the same one, a later run reads new files only.
     """
-    lines = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    single = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    lines = source.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString()) if single else source.parquet(path)
     out = f"{shared_dir(spark)}/counted-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
