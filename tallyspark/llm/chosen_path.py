@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ POSITIONS = 64
 #: Two vectors are candidates if so many of the 64 positions agree: at a similarity of 0.8 one pair in 10**7 fails this.
 AGREE = 32
 #: In a large bucket, members that agree with its pivot in NEAR positions form a candidate cluster. A candidate pair
-#: differs in at most POSITIONS - AGREE positions, so if one of it is below NEAR, both are below FAR and go on down.
+#: differs in at most POSITIONS - AGREE positions, so one that isn't inside the cluster has a member below NEAR and
+#: another at most so many above it: these go on down, and a bucket of near copies alone is done.
 NEAR = 20
-FAR = NEAR + POSITIONS - AGREE + 1
 _seeds = np.random.RandomState(20240229)
 MULTIPLY = (_seeds.randint(0, 1 << 62, POSITIONS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 ADD = _seeds.randint(0, 1 << 62, POSITIONS).astype(np.uint64)
@@ -199,7 +200,8 @@ def candidates(reps: DataFrame, how: Join) -> DataFrame:
         near = large.where((F.col("eq") >= NEAR) | F.lit(last)).where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         edges = written(pairs.unionByName(near).distinct(), "edges")
         found = edges if found is None else found.unionByName(edges)
-        rest = large.where(F.col("eq") < FAR)
+        below = written(large.where(F.col("eq") < NEAR).groupBy("path").agg(F.max("eq").alias("highest")), "below")
+        rest = large.join(below, "path").where(F.col("eq") <= F.col("highest") + (POSITIONS - AGREE))
         if last or rest.isEmpty():
             return found.distinct()
         child = F.transform(F.sequence(F.lit(1), F.lit(how.children)), lambda k: F.pmod(F.xxhash64("path", k), F.lit(POSITIONS)).cast("int"))
@@ -235,6 +237,8 @@ def link_blocks(threshold: float):
     Yields id, links (the weights linked to it here) and a root that spans its links.
     """
 
+    share = Fraction(threshold).limit_denominator(1000)
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches):
             side = t.column("side").to_numpy()
@@ -259,16 +263,23 @@ def link_blocks(threshold: float):
                 x = np.zeros((n, min(4096, wide - a)), np.float32)
                 x[rows[here], cols[here] - a] = 1
                 common += x[top] @ x[other].T
-            union = sizes[top][:, None] + sizes[other][None, :] - common
-            link = common * 1_000_000 >= threshold * 1_000_000 * union.astype(np.float64)
+            wide_enough = np.float32 if share.denominator * 2 * int(sizes.max(initial=0)) < 1 << 24 else np.float64
+            union = sizes[top].astype(wide_enough)[:, None] + sizes[other].astype(wide_enough)[None, :] - common
+            link = common.astype(wide_enough) * share.denominator >= union * share.numerator
             if mine:
                 np.fill_diagonal(link, False)
-            links = np.zeros(n, np.int64)
-            links[top] += link @ weight[other]
+            links, root = np.zeros(n, np.int64), np.arange(n, dtype=np.int32)
+            links[top] += (link.astype(np.float64) @ weight[other]).astype(np.int64)
             if not mine:
-                links[other] += link.T @ weight[top]
-            a, b = np.nonzero(link)
-            root = roots(n, top[a], other[b])
+                links[other] += (link.T.astype(np.float64) @ weight[top]).astype(np.int64)
+            while True:  # the least label over links, both ways, until none changes
+                new = root.copy()
+                new[top] = np.minimum(new[top], np.where(link, root[other][None, :], n).min(axis=1, initial=n))
+                new[other] = np.minimum(new[other], np.where(link, new[top][:, None], n).min(axis=0, initial=n))
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(ids[root])], ["id", "links", "root"])
 
     return linked
