@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 ASCII_SPACE = " \t\n\v\f\r"
 TWO_SPACES = re.compile(r"\s\s|\A\s|\s\Z")
+#: In ASCII texts without these, every space and line feed inside stands between other characters.
+ODD_SPACES = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")
 SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -53,7 +55,7 @@ def spaced(text: str) -> list[str]:
     begins with a line feed has kept it. A byte-level tokenizer whose pattern joins at most one leading space to
     a word never makes a token across such a cut.
     """
-    if TWO_SPACES.search(text):
+    if (any(map(text.__contains__, ODD_SPACES)) or text[:1] in " \n" or text[-1:] in " \n") if text.isascii() else TWO_SPACES.search(text):
         first, *rest = SAFE_CUT.split(text)
         return [first, *(p[1:] if p[0] == " " else p for p in rest)]
     return text.replace("\n", " \n").split(" ")

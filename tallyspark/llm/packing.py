@@ -165,9 +165,10 @@ def packed(size: int):
         least = bound(lengths, size)
         fill = np.bincount(b, weights=lengths, minlength=made).astype(np.int64)
         moves = np.zeros(made, bool)
-        if made > least:  # the emptiest bins: those whose room could hold the bins over the bound
+        if made > least:  # the emptiest bins, as many as it takes for their room to hold the bins over the bound
             order = np.argsort(fill, kind="stable")
-            moves[order[: max(2 * (made - least), 8)]] = True
+            room = np.cumsum(size - fill[order])
+            moves[order[: int(np.searchsorted(room, (made - least) * size)) + 1]] = True
         return pdf.assign(bin=b, fill=fill[b], offset=offset, bins=made, bound=least, moves=moves[b])
 
     return pack
