@@ -2,8 +2,9 @@
 
 Pieces are dealt to partitions at random; each partition packs its own best-fit decreasing and compares its bins
 with lower bounds from dual feasible functions. A partition that meets its bound is final: nobody can pack its
-pieces into fewer sequences. A partition with a gap keeps its fullest bins and gives the pieces of its emptiest ones
-to an exchange, where gap partitions are merged and packed again, until the whole is at its bound or one group is left.
+pieces into fewer sequences, but for the one that it has begun last. A partition keeps its fullest bins and gives the
+pieces of that one, and of as many emptiest ones as a gap to its bound needs, to an exchange, where partitions are merged
+and packed again, until nothing moves or one group is left.
 """
 
 from __future__ import annotations
@@ -165,10 +166,12 @@ def packed(size: int):
         least = bound(lengths, size)
         fill = np.bincount(b, weights=lengths, minlength=made).astype(np.int64)
         moves = np.zeros(made, bool)
-        if made > least:  # the emptiest bins, as many as it takes for their room to hold the bins over the bound
-            order = np.argsort(fill, kind="stable")
-            room = np.cumsum(size - fill[order])
-            moves[order[: int(np.searchsorted(room, (made - least) * size)) + 1]] = True
+        # the emptiest bins, as many as it takes for their room to hold the bins over the bound, and one more for the last
+        # bin that each partition has begun
+        order = np.argsort(fill, kind="stable")
+        room = np.cumsum(size - fill[order])
+        moves[order[: int(np.searchsorted(room, (made - least) * size)) + 1]] = True
+        moves &= (fill < size) | (made > least)
         return pdf.assign(bin=b, fill=fill[b], offset=offset, bins=made, bound=least, moves=moves[b])
 
     return pack
