@@ -141,3 +141,18 @@ def split_cached(df: DataFrame, total_in: str, cached: str, out: str, total: str
     valid = (F.col(cached) <= F.col(total_in)) & (F.col(total_in) + F.col(out) == F.col(total))
     keep = lambda c: F.when(valid, c)
     return df.withColumns({"valid": valid, "input_tok": keep(F.col(total_in) - F.col(cached)), "cache_read": keep(F.col(cached)), "output_tok": keep(F.col(out))})
+
+
+def window_date(raw: Column) -> Column:
+    """The start of a year, month or day; null for anything else."""
+    form = F.when(raw.rlike(r"^\d{4}$"), F.concat(raw, F.lit("-01-01"))).when(raw.rlike(r"^\d{4}-\d{2}$"), F.concat(raw, F.lit("-01"))).when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw)
+    return form.try_cast("timestamp_ntz")
+
+
+def repo_scope(cwd: Column, root: str, nested: list[str]) -> Column:
+    """Whether a folder is inside a repository's root, in another repository nested there, or outside."""
+    under = lambda at: (cwd == at) | F.startswith(cwd, F.lit(at.rstrip("/") + "/"))
+    deeper = F.lit(False)
+    for n in nested:
+        deeper = deeper | under(n)
+    return F.when(deeper, F.lit("nested")).when(under(root), F.lit("inside")).otherwise(F.lit("outside"))
