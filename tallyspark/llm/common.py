@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from tallyspark.sources.bridge import table
+from tallyspark.sources.shared import shared_dir, written
+
+__all__ = ["balanced", "shared_dir", "spaced", "table", "whole", "written"]
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 ASCII_SPACE = " \t\n\v\f\r"
@@ -18,36 +17,6 @@ ODD_SPACES = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\x1c", "\x1d"
 SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = Path(tempfile.mkdtemp(prefix="shared-")).as_uri()
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, which cuts its lineage. It is removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(removed, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended; the folder goes with it
-        return
-
-
 def spaced(text: str) -> list[str]:
     """Cut a text before single spaces and line feeds that stand between other characters.
 
