@@ -434,3 +434,27 @@ def _(spark, sf):
     stored = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("body "), F.col("o_orderkey").cast("string")).alias("body")).mapInPandas(pack, "id long, gz binary")
     return stored.select("id", webhooks.gunzipped("gz").cast("string").alias("body"))
 
+
+
+@query("G2_corrective_chains")
+def _(spark, sf):
+    """Chains of the relation table, settled by component."""
+    from tallyspark.operators import corrective, graph
+
+    r = relations(spark, sf).where("parent > 0")
+    part = graph.components(r.select(F.col("child").alias("a"), F.col("parent").alias("b")))
+    o = B.outcomes(spark, sf).join(part, "id")
+    none = F.lit(None).cast("string")
+    link = F.struct("parent", "state", none.alias("own"), none.alias("before"), none.alias("after"), none.alias("original"), F.lit(False).alias("pure"))
+    links = r.groupBy(F.col("child").alias("id")).agg(F.array_sort(F.collect_list(link)).alias("links"))
+    fraction = lambda c, by: F.concat((F.col(c) * by).cast("long").cast("string"), F.lit(f"/{by}"))
+    rows = o.join(links, "id", "left").select(F.col("root").alias("component"), "id", "repo", F.col("pr_number").cast("int").alias("pr"), F.col("merge_sha").alias("sha"), "developer", F.col("merged_at").cast("timestamp").alias("merged_at"), fraction("weight", 2).alias("weight"), F.concat(F.round(F.col("quality") * 10).cast("long").cast("string"), F.lit("/10")).alias("quality"), (F.col("id") % 1500).alias("effort"), "links")
+    return corrective.settle_components(rows)
+
+
+@query("G3_allocation")
+def _(spark, sf):
+    """How the chains' changes ended, by status and reason."""
+    from tallyspark.plans.registry import QUERIES
+
+    return QUERIES["G2_corrective_chains"](spark, sf).groupBy("status", "reason", "eligible").agg(F.count("*").alias("n"))
