@@ -28,7 +28,7 @@ AGREE = 32
 #: In a large bucket, members that agree with its pivot in NEAR positions form a candidate cluster. A candidate pair
 #: differs in at most POSITIONS - AGREE positions, so one that isn't inside the cluster has a member below NEAR and
 #: another at most so many above it: these go on down, and a bucket of near copies alone is done.
-NEAR = 20
+NEAR = 10
 _seeds = np.random.RandomState(20240229)
 MULTIPLY = (_seeds.randint(0, 1 << 62, POSITIONS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 ADD = _seeds.randint(0, 1 << 62, POSITIONS).astype(np.uint64)
