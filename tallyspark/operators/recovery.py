@@ -89,3 +89,24 @@ def unsealed(rows: DataFrame, seals: DataFrame, days: int = 14) -> DataFrame:
     """rows in no sealed span (starts, ends), nor in the days before one. There is a seal a month, so seals are broadcast."""
     s = F.broadcast(seals.select("starts", "ends"))
     return rows.join(s, (F.col("ts") < F.col("ends")) & (F.col("ts") >= F.col("starts") - F.expr(f"INTERVAL {days} DAYS")), "left_anti")
+
+
+def as_of(messages: DataFrame, changes: DataFrame, key: str, value: str, ts: str = "ts") -> DataFrame:
+    """Messages with the value that the latest change of their key, at their time or before, had set; null before any.
+
+    Both are put in one order by key and time, changes first at equal times, and values are carried forward; no pair of
+    a message and a change is made.
+    """
+    names = messages.columns
+    m = messages.select(key, ts, F.lit(1).alias("kind"), F.struct(*names).alias("row"), F.lit(None).cast(changes.schema[value].dataType).alias(value))
+    c = changes.select(key, ts, F.lit(0).alias("kind"), F.lit(None).cast(m.schema["row"].dataType).alias("row"), value)
+    w = Window.partitionBy(key).orderBy(ts, "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = m.unionByName(c).withColumn(value, F.last(value, ignorenulls=True).over(w))
+    return carried.where("kind = 1").select("row.*", value)
+
+
+def released(messages: DataFrame, now: str, minutes: int = 10) -> DataFrame:
+    """Messages of sessions that have been idle for so many minutes; others are held back for their next lines."""
+    last = messages.groupBy("session").agg(F.max("ts").alias("last"))
+    idle = last.where(F.col("last") <= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {minutes} MINUTES"))
+    return messages.join(idle.select("session"), "session", "left_semi")

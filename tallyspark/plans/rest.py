@@ -458,3 +458,26 @@ def _(spark, sf):
     from tallyspark.plans.registry import QUERIES
 
     return QUERIES["G2_corrective_chains"](spark, sf).groupBy("status", "reason", "eligible").agg(F.count("*").alias("n"))
+
+
+@query("T14_worktree_branch", """, m AS (SELECT event_id, user_id AS worktree, ts FROM events WHERE event_type = 'click'), r AS (SELECT user_id AS worktree, ts, max('b' || (event_id % 5)) AS branch FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+SELECT m.event_id, m.worktree, m.ts, r.branch FROM m ASOF LEFT JOIN r ON m.worktree = r.worktree AND m.ts >= r.ts""")
+def _(spark, sf):
+    e = B.table(spark, sf, "events").withColumnRenamed("user_id", "worktree")
+    reflog = e.where("event_type = 'purchase'").groupBy("worktree", "ts").agg(F.max(F.concat(F.lit("b"), (F.col("event_id") % 5).cast("string"))).alias("branch"))
+    return recovery.as_of(e.where("event_type = 'click'").select("event_id", "worktree", "ts"), reflog, "worktree", "branch")
+
+
+@query("T13_held_back", "SELECT event_id, user_id AS session, ts FROM events e WHERE (SELECT max(ts) FROM events x WHERE x.user_id = e.user_id) <= TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 10 MINUTES")
+def _(spark, sf):
+    e = B.table(spark, sf, "events").select("event_id", F.col("user_id").alias("session"), "ts")
+    return recovery.released(e, "2024-01-30 20:00:00")
+
+
+@query("S6_message_scan", "SELECT l_orderkey AS id, l_shipdate AS updated, l_partkey AS input_tok, l_suppkey + l_linenumber AS output_tok, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND (l_shipdate, l_orderkey) > (TIMESTAMP '1999-01-01', 100) AND (l_partkey + l_suppkey + l_linenumber) % 8 <> 0 GROUP BY 1, 2, 3, 4")
+def _(spark, sf):
+    n = F.col("l_linenumber").cast("long")
+    tokens = F.struct(F.col("l_partkey").alias("input"), F.col("l_suppkey").alias("output"), n.alias("reasoning"), (F.col("l_partkey") + F.col("l_suppkey") + n + F.when((F.col("l_partkey") + F.col("l_suppkey") + n) % 8 == 0, 1).otherwise(0)).alias("total"))
+    message = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("time_updated"), F.to_json(F.struct(F.when(F.col("l_linestatus") == "O", F.lit("own")).otherwise(F.lit("other")).alias("providerID"), tokens.alias("tokens"))).alias("data"))
+    got = sessions.stored_messages(message, ("1999-01-01", 100), ["own"])
+    return got.groupBy("id", F.col("time_updated").alias("updated"), "input_tok", "output_tok").agg(F.count("*").alias("n"))
