@@ -30,7 +30,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 OTHER = set("nav footer aside form button select dialog menu head object audio video canvas".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOT_TEXT = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline cc comment comments consent cookie cookies copyright disqus "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs cc comment comments consent cookie cookies copyright disqus "
     "footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted "
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
