@@ -26,7 +26,7 @@ from tallyspark.llm.token_counts import by_bytes
 BUCKETS = 1 << 16
 
 
-#: No rank; words from this length on are folded with a heap; cuts of texts that a Python worker keeps, some 350 bytes each.
+#: No rank; words from this length on are folded with a heap; cuts of texts that a Python worker keeps, some 500 bytes each.
 NEVER, LONG, KEPT = 1 << 60, 64, 500_000
 
 
@@ -100,22 +100,25 @@ def native_encode(words: DataFrame, ranks: dict[bytes, int], word_col: str = "wo
     return words.select(word_col).distinct().withColumn("ids", ids)
 
 
-def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merges(ranks: dict[bytes, int]) -> tuple[list[int], dict[int, int]]:
+    """The ids of the 256 bytes, and the merged id of each pair (left * 2**20 + right); a token's id is its rank."""
+    return [ranks[bytes([b])] for b in range(256)], {(a << 20) | b: r for a, b, r in pair_ranks(ranks)}
+
+
+def fold(word: bytes, byte_ids: list[int], pairs: dict[int, int]) -> list[int]:
     """The ids of a word: its bytes, merged pair by pair, the pair of lowest rank first and the leftmost of equals."""
-    whole_id = ranks.get(word)
-    if whole_id is not None:
-        return [whole_id]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [ranks.get(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
-    while pairs and (best := min(pairs)) < NEVER:
-        at = pairs.index(best)
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
+    get = pairs.get
+    ids = [byte_ids[b] for b in word]
+    found = [get((a << 20) | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+    while found and (best := min(found)) < NEVER:
+        at = found.index(best)
+        ids[at : at + 2] = (best,)
+        del found[at]
         if at:
-            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], NEVER)
-        if at < len(pairs):
-            pairs[at] = ranks.get(parts[at] + parts[at + 1], NEVER)
-    return [ranks[p] for p in parts]
+            found[at - 1] = get((ids[at - 1] << 20) | best, NEVER)
+        if at < len(found):
+            found[at] = get((best << 20) | ids[at + 1], NEVER)
+    return ids
 
 
 def heap_fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -149,13 +152,26 @@ def encoder(data: bytes, pattern: str):
 
     ranks = ranks_of(data)
     pieces = {r: t for t, r in ranks.items()}
+    byte_ids, pairs = merges(ranks)
     words_in = regex.compile(pattern).findall
     counts: dict[str, int] = {}
     said: dict[str, str] = {}
     back: dict[str, bytes] = {}
 
+    folded: dict[str, list[int]] = {}
+
     def ids_of(text: str) -> list[int]:
-        return [i for w in words_in(text) for i in (fold if len(w) < LONG else heap_fold)(w.encode(), ranks)]
+        out: list[int] = []
+        for w in words_in(text):
+            ids = folded.get(w)
+            if ids is None:
+                data = w.encode()
+                one = ranks.get(data)
+                ids = [one] if one is not None else fold(data, byte_ids, pairs) if len(data) < LONG else heap_fold(data, ranks)
+                if len(data) < LONG:
+                    folded[w] = ids
+            out += ids
+        return out
 
     def learn(cuts: set[str]) -> None:
         for x in cuts:
@@ -165,7 +181,7 @@ def encoder(data: bytes, pattern: str):
     def encode(texts: list[str]) -> list[tuple[int, str, bytes]]:
         cut = [spaced(x) for x in texts]
         if len(counts) > KEPT:
-            for kept in (counts, said, back):
+            for kept in (counts, said, back, folded):
                 kept.clear()
         learn(set().union(*(x[1:] for x in cut)).difference(counts))
         out = []
