@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import spaced, table, whole
-from tallyspark.llm.token_counts import by_bytes
+from tallyspark.llm.common import by_bytes, spaced, table, whole
 
 #: Buckets of the literal rank map: Spark searches a map from its start, so pairs are spread over many short lists.
 BUCKETS = 1 << 16

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table, written
+from tallyspark.llm.common import parts, table, written
 
 POSITIONS = 64
 #: Two vectors are candidates if so many of the 64 positions agree: at a similarity of 0.8 one pair in 10**7 fails this.
@@ -109,7 +109,7 @@ def vectors(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(words)
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingles(x or "") for x in batch.column(1).to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             flat = np.concatenate([vector(s) for s in sets]) if sets else np.zeros(0, np.int32)
@@ -294,7 +294,7 @@ def links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, how: Join, id_c
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(how.words)
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingles(x or "").view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 

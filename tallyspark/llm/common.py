@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tallyspark.sources.bridge import table
 from tallyspark.sources.shared import shared_dir, written
 
-__all__ = ["balanced", "shared_dir", "spaced", "table", "whole", "written"]
+__all__ = ["balanced", "by_bytes", "parts", "shared_dir", "spaced", "table", "whole", "written"]
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 ASCII_SPACE = " \t\n\v\f\r"
@@ -45,3 +49,22 @@ def balanced(pieces: list[str], limit: int) -> list[list[str]]:
             out.append(held)
             held, room = [], limit
     return [*out, held] if held else out
+
+
+def by_bytes(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about limit bytes each, so that a batch of long texts isn't larger than one of short texts."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        held += n
+        if held >= limit:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a task holds some MB of a text column as Python strings at a time."""
+    for batch in batches:
+        for a, b in by_bytes(batch.column(column)):
+            yield batch.slice(a, b - a)

@@ -28,7 +28,7 @@ from tallyspark.llm.common import balanced, table, written
 PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 PACKED = ", part long, bin long, fill long, offset long, bins long, bound long, moves boolean"
 #: Token ids of this many distinct words are kept by a Python worker, some 250 bytes each.
-KEPT = 1_000_000
+KEPT = 500_000
 #: A character that is a token by itself between words, and the start of special tokens.
 MARK, SPECIAL = "\x01", "<|"
 #: Where case counts, texts aren't lower-cased ahead of the tokenizer: special tokens, and letters whose lower case has two

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import ASCII_SPACE, table
+from tallyspark.llm.common import ASCII_SPACE, parts, table
 
 #: Symbols that are counted. A fixed value of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -128,7 +128,7 @@ def quality(docs: DataFrame, rules: dict[str, Rule] | None = None, base: Rule =
     cascade = [(name, rules[name]) for name in order]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 d = measured(text or "")
@@ -151,7 +151,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, at):
             good = [not any(rule(d) for rule in cascade) for d in map(measured, (x or "" for x in batch.column(at).to_pylist()))]
             yield batch.filter(pa.array(good, pa.bool_()))
 

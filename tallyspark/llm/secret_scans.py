@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table
+from tallyspark.llm.common import parts, table
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def candidates(text: str, queries: list[tuple[int, Query]], wanted: list[str]) -
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of docs: id_col and spans, an array of (kind, place of the kind in rules, start, end) in code points.
 
-    Spans stand by start, then kind as listed. A block of documents (an Arrow batch) carries its own part of the index:
+    Spans stand by start, then kind as listed. A block of documents (a part of an Arrow batch) carries its own part of the index:
     the postings of the rules' trigrams over that block, as bit sets over its rows, which are intersected and
     united for each rule; candidates are verified by the regular expression on the whole text. The index thus never
     leaves the task that has the texts, and nothing is shuffled. A null text has no spans; ids may repeat or be null;
@@ -146,7 +146,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = [re.compile(p) for _, p in sources]
-        for batch in batches:
+        for batch in parts(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             index = dict.fromkeys(wanted, 0)
             for i, text in enumerate(texts):
@@ -185,17 +185,17 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: s
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = [re.compile(p) for _, p in sources]
-        for batch in batches:
+        for batch in parts(batches, at):
             out = []
             for text in batch.column(at).to_pylist():
                 bits = candidates(text, list(enumerate(queries)), wanted) if text else 0
                 spans = sorted((m.start(), -m.end(), r.kind) for k, (r, _) in enumerate(sources) if bits >> k & 1 for m in ready[k].finditer(text) if len(m[r.group]) >= r.least)
-                parts, end = [], 0
+                kept, end = [], 0
                 for a, b, kind in spans:
                     if a >= end:
-                        parts += [text[end:a], f"[{kind}]"]
+                        kept += [text[end:a], f"[{kind}]"]
                     end = max(end, -b)
-                out.append("".join([*parts, text[end:]]) if spans else text)
+                out.append("".join([*kept, text[end:]]) if spans else text)
             held = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
             if "n_chars" in columns:
                 k = columns.index("n_chars")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm.common import balanced, spaced, table, whole
+from tallyspark.llm.common import balanced, by_bytes, spaced, table, whole
 
 #: Lengths of this many distinct pieces are kept by a task, and pieces of this many characters go to one encoding call.
 KEPT, BATCH_CHARS = 400_000, 1 << 20
@@ -45,18 +45,6 @@ def counter(name: str, data: bytes):
     return count
 
 
-def by_bytes(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about limit bytes each, so that a batch of long texts isn't larger than one of short texts."""
-    start, held = 0, 0
-    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        held += n
-        if held >= limit:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs: its id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
