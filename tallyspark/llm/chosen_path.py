@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,9 @@ class Join:
 
     words: int = 5
     threshold: float = 0.8
-    children: int = 3
+    children: int = 2
     recall: float = 0.999999
-    small: int = 64
+    small: int = 256
     depth: int = 4
     block: int = 1024
     broadcast_ids: int = 1_000_000
@@ -52,16 +53,23 @@ class Join:
     def runs(self) -> int:
         """Runs until a pair at the threshold is missed with a probability under 1 - recall.
 
-        A node's child keeps a pair with the probability of its similarity; a run fails if at every node all children
-        lose it, and a leaf compares its whole bucket.
+        A pair agrees in a share of its vectors' positions, and a node's child keeps it with that probability; a run
+        fails if at every node all children lose it, and a leaf compares its whole bucket. All runs sample the same
+        positions, so their failures are multiplied for each share, and the shares are weighed by the binomial.
         """
-        keeps = 1.0
-        for _ in range(self.depth):
-            keeps = 1 - (1 - self.threshold * keeps) ** self.children
-        n = 1
-        while (1 - keeps) ** n > 1 - self.recall:
+
+        def lost(share: float) -> float:
+            keeps = 1.0
+            for _ in range(self.depth):
+                keeps = 1 - (1 - share * keeps) ** self.children
+            return 1 - keeps
+
+        t = self.threshold
+        shares = [(comb(POSITIONS, m) * t**m * (1 - t) ** (POSITIONS - m), lost(m / POSITIONS)) for m in range(POSITIONS + 1)]
+        n, most = 1, POSITIONS // self.children
+        while n < most and sum(weight * miss**n for weight, miss in shares) > 1 - self.recall:
             n += 1
-        return min(n, POSITIONS // self.children)
+        return n
 
 
 def shingler(words: int):
@@ -95,28 +103,33 @@ def shingler(words: int):
     return shingles
 
 
-def vector(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray) -> np.ndarray:
     """MinHash: at each position, the least of a hash of all shingles."""
     out = np.full(POSITIONS, (1 << 64) - 1, np.uint64)
     for a in range(0, len(shingles), 4096):
         part = shingles[a : a + 4096]
         out = np.minimum(out, (part[None, :] * MULTIPLY[:, None] + ADD[:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out
 
 
-def vectors(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, key (equal for equal shingle sets; null without words) and vec of every row."""
+def vectors(docs: DataFrame, words: int, roots: int, id_col: str, text_col: str) -> DataFrame:
+    """id, key (equal for equal shingle sets; null without words), roots and vec of every row.
+
+    roots are the first minima in full. vec has 16 bits of each: what agrees in full agrees there too, so no candidate
+    is lost, and what is shuffled with every bucket is short.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(words)
         for batch in parts(batches):
             sets = [shingles(x or "") for x in batch.column(1).to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            flat = np.concatenate([vector(s) for s in sets]) if sets else np.zeros(0, np.int32)
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * POSITIONS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), vec], ["id", "key", "vec"])
+            least = np.array([minima(s) for s in sets], np.uint64).reshape(len(sets), POSITIONS)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            vec = (least >> np.uint64(32)).astype(np.uint16).view(np.int16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists(least[:, :roots].copy().view(np.int64)), lists(vec)], ["id", "key", "roots", "vec"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(read, "id long, key binary, vec array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(read, "id long, key binary, roots array<long>, vec array<short>")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -184,10 +197,9 @@ def edges_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def candidates(reps: DataFrame, how: Join) -> DataFrame:
-    """Edges a-b between representatives (id, vec) that connect all candidate pairs the paths bring together."""
-    runs = how.runs()
-    first = F.array(*(F.struct(F.xxhash64(F.lit(p), F.get("vec", F.lit(p))).alias("path")) for p in range(runs * how.children)))
-    rows, found = reps.select("id", F.explode(first).alias("c")).select("c.path", "id"), None
+    """Edges a-b between representatives (id, roots, vec) that connect all candidate pairs the paths bring together."""
+    rows, found = reps.select("id", F.posexplode("roots").alias("p", "least")).select(F.xxhash64("p", "least").alias("path"), "id"), None
+    reps = reps.select("id", "vec")
     for level in range(how.depth):
         counts = written(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1"), "counts")
         rows = written(rows.join(counts, "path").join(reps, "id").select("path", "id", "n", "pivot", "vec"), "buckets")
@@ -291,6 +303,7 @@ def links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, how: Join, id_c
     few = wanted.limit(how.broadcast_ids + 1).count() <= how.broadcast_ids
     ids = wanted.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    repeated = not texts.groupBy("id").count().where("count > 1").isEmpty()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(how.words)
@@ -301,7 +314,8 @@ def links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, how: Join, id_c
     sizes = written(wanted.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     blocks = F.ceil(F.col("n") / how.block).cast("int")
     placed = wanted.join(sizes, "root").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sets = written(texts.mapInArrow(read, "id long, shingles array<long>").dropDuplicates(["id"]).join(placed, "id"), "sets")
+    sets = texts.mapInArrow(read, "id long, shingles array<long>")
+    sets = (sets.dropDuplicates(["id"]) if repeated else sets).join(F.broadcast(placed) if few else placed, "id")
     cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("mine") == F.col("other")).alias("diagonal"), "id", "weight", "shingles"
     )
@@ -319,9 +333,9 @@ def jaccard_classes(docs: DataFrame, how: Join | None = None, id_col: str = "doc
     other columns are ignored.
     """
     how = how or Join()
-    own = written(vectors(docs, how.words, id_col, text_col), "vectors")
-    reps = written(own.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min_by("vec", "id").alias("vec"), F.min("id").alias("id")), "reps")
-    clusters = written(components(candidates(reps.select("id", "vec"), how)), "clusters")
+    own = written(vectors(docs, how.words, how.runs() * how.children, id_col, text_col), "vectors")
+    reps = written(own.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min_by("roots", "id").alias("roots"), F.min_by("vec", "id").alias("vec"), F.min("id").alias("id")), "reps")
+    clusters = written(components(candidates(reps.select("id", "roots", "vec"), how)), "clusters")
     found = written(links(docs, reps, clusters, how, id_col, text_col), "links")
     classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "class_id")
     count = found.groupBy("id").agg(F.sum("links").alias("links"))
