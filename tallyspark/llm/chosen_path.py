@@ -49,6 +49,7 @@ class Join:
     depth: int = 4
     block: int = 1024
     broadcast_ids: int = 1_000_000
+    broadcast_buckets: int = 100_000
 
     def runs(self) -> int:
         """Runs until a pair at the threshold is missed with a probability under 1 - recall.
@@ -205,17 +206,23 @@ def candidates(reps: DataFrame, how: Join) -> DataFrame:
         rows = written(rows.join(counts, "path").join(reps, "id").select("path", "id", "n", "pivot", "vec"), "buckets")
         small = rows.where(F.col("n") <= how.small).select("path", "id", "vec")
         pairs = small.repartition("path").sortWithinPartitions("path").mapInArrow(close_in_buckets, "a long, b long")
-        pivots = reps.select(F.col("id").alias("pivot"), F.col("vec").alias("of")).join(counts.where(F.col("n") > how.small).select("pivot").distinct(), "pivot")
-        large = rows.where(F.col("n") > how.small).join(pivots, "pivot")
-        large = large.withColumn("eq", F.aggregate(F.zip_with("vec", "of", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x))
+        buckets = counts.where(F.col("n") > how.small).count()
+        if not buckets:
+            edges = written(pairs.distinct(), "edges")
+            return edges if found is None else found.unionByName(edges).distinct()
+        sent = F.broadcast if buckets <= how.broadcast_buckets else lambda df: df  # a row per large bucket
+        pivots = rows.where((F.col("n") > how.small) & (F.col("id") == F.col("pivot"))).dropDuplicates(["path"]).select("path", F.col("vec").alias("of"))
+        equal = F.aggregate(F.zip_with("vec", "of", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+        large = rows.where(F.col("n") > how.small).join(sent(pivots), "path").select("path", "id", "pivot", "vec", equal.alias("eq"))
+        large = written(large, "large")
         last = level == how.depth - 1
         near = large.where((F.col("eq") >= NEAR) | F.lit(last)).where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         edges = written(pairs.unionByName(near).distinct(), "edges")
         found = edges if found is None else found.unionByName(edges)
         below = written(large.where(F.col("eq") < NEAR).groupBy("path").agg(F.max("eq").alias("highest")), "below")
-        rest = large.join(below, "path").where(F.col("eq") <= F.col("highest") + (POSITIONS - AGREE))
-        if last or rest.isEmpty():
+        if last or below.isEmpty():
             return found.distinct()
+        rest = large.join(sent(below), "path").where(F.col("eq") <= F.col("highest") + (POSITIONS - AGREE))
         child = F.transform(F.sequence(F.lit(1), F.lit(how.children)), lambda k: F.pmod(F.xxhash64("path", k), F.lit(POSITIONS)).cast("int"))
         rows = rest.withColumn("child", F.explode(F.array_distinct(child))).select(F.xxhash64("path", "child", F.get("vec", F.col("child"))).alias("path"), "id").distinct()
     return found
@@ -228,19 +235,22 @@ def components(edges: DataFrame) -> DataFrame:
     changes. Only minima are gathered by node, so a hub's neighbours never meet in one task.
     """
     held = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "star")
-    while True:
+    state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
+    before = state(held)
+    while before[0]:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u != v").unionByName(least.where("u != m").select("u", F.col("m").alias("v"))).distinct(), "large")
         down = written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small, "star")
-        if new.exceptAll(held).isEmpty() and held.exceptAll(new).isEmpty():
+        held = written(small, "star")
+        after = state(held)
+        if after == before:
             break
-        held = new
-    nodes = new.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return nodes.unionByName(new.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+        before = after
+    nodes = held.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return nodes.unionByName(held.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
 def link_blocks(threshold: float):
