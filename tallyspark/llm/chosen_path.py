@@ -198,7 +198,8 @@ def edges_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def candidates(reps: DataFrame, how: Join) -> DataFrame:
-    """Edges a-b between representatives (id, roots, vec) that connect all candidate pairs the paths bring together."""
+    """Edges a-b between representatives (id, roots, vec; ids distinct) that connect all candidate pairs the paths bring
+    together; an edge may come from several buckets."""
     rows, found = reps.select("id", F.posexplode("roots").alias("p", "least")).select(F.xxhash64("p", "least").alias("path"), "id"), None
     reps = reps.select("id", "vec")
     for level in range(how.depth):
@@ -208,8 +209,8 @@ def candidates(reps: DataFrame, how: Join) -> DataFrame:
         pairs = small.repartition("path").sortWithinPartitions("path").mapInArrow(close_in_buckets, "a long, b long")
         buckets = counts.where(F.col("n") > how.small).count()
         if not buckets:
-            edges = written(pairs.distinct(), "edges")
-            return edges if found is None else found.unionByName(edges).distinct()
+            edges = written(pairs, "edges")
+            return edges if found is None else found.unionByName(edges)
         sent = F.broadcast if buckets <= how.broadcast_buckets else lambda df: df  # a row per large bucket
         pivots = rows.where((F.col("n") > how.small) & (F.col("id") == F.col("pivot"))).dropDuplicates(["path"]).select("path", F.col("vec").alias("of"))
         equal = F.aggregate(F.zip_with("vec", "of", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -217,27 +218,29 @@ def candidates(reps: DataFrame, how: Join) -> DataFrame:
         large = written(large, "large")
         last = level == how.depth - 1
         near = large.where((F.col("eq") >= NEAR) | F.lit(last)).where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        edges = written(pairs.unionByName(near).distinct(), "edges")
+        edges = written(pairs.unionByName(near), "edges")
         found = edges if found is None else found.unionByName(edges)
         below = written(large.where(F.col("eq") < NEAR).groupBy("path").agg(F.max("eq").alias("highest")), "below")
         if last or below.isEmpty():
-            return found.distinct()
+            return found
         rest = large.join(sent(below), "path").where(F.col("eq") <= F.col("highest") + (POSITIONS - AGREE))
         child = F.transform(F.sequence(F.lit(1), F.lit(how.children)), lambda k: F.pmod(F.xxhash64("path", k), F.lit(POSITIONS)).cast("int"))
-        rows = rest.withColumn("child", F.explode(F.array_distinct(child))).select(F.xxhash64("path", "child", F.get("vec", F.col("child"))).alias("path"), "id").distinct()
+        rows = rest.withColumn("child", F.explode(F.array_distinct(child))).select(F.xxhash64("path", "child", F.get("vec", F.col("child"))).alias("path"), "id")
     return found
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, root of every node of edges (a, b): the least id of its component.
 
-    Large-star and small-star steps by turns: each node's neighbours are joined to the least of them, until no edge
-    changes. Only minima are gathered by node, so a hub's neighbours never meet in one task.
+    Large-star and small-star steps by turns: each node's neighbours are joined to the least of them, until the edges are
+    stars, in which each node has one root and no root has another. Only minima are gathered by node, so a hub's neighbours
+    never meet in one task.
     """
     held = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "star")
-    state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-    before = state(held)
-    while before[0]:
+    while True:
+        ends = held.select("u", F.lit(1).alias("ups"), F.lit(0).alias("root")).unionByName(held.select(F.col("v").alias("u"), F.lit(0).alias("ups"), F.lit(1).alias("root")))
+        if not ends.groupBy("u").agg(F.sum("ups").alias("ups"), F.max("root").alias("root")).where("ups + root > 1").count():
+            break
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -245,10 +248,6 @@ def components(edges: DataFrame) -> DataFrame:
         down = written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         held = written(small, "star")
-        after = state(held)
-        if after == before:
-            break
-        before = after
     nodes = held.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return nodes.unionByName(held.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
@@ -307,13 +306,12 @@ def link_blocks(threshold: float):
     return linked
 
 
-def links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, how: Join, id_col: str, text_col: str) -> DataFrame:
-    """Exact links of all representatives in clusters (id, root): id, links, root, a row for each pair of blocks."""
+def links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, repeated: bool, how: Join, id_col: str, text_col: str) -> DataFrame:
+    """Exact links of all representatives in clusters (id, root): id, links, root, a row for each pair of blocks. repeated: docs repeat ids."""
     wanted = written(clusters.join(reps.select("id", "weight"), "id"), "clustered")
     few = wanted.limit(how.broadcast_ids + 1).count() <= how.broadcast_ids
     ids = wanted.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    repeated = not texts.groupBy("id").count().where("count > 1").isEmpty()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(how.words)
@@ -345,8 +343,10 @@ def jaccard_classes(docs: DataFrame, how: Join | None = None, id_col: str = "doc
     how = how or Join()
     own = written(vectors(docs, how.words, how.runs() * how.children, id_col, text_col), "vectors")
     reps = written(own.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min_by("roots", "id").alias("roots"), F.min_by("vec", "id").alias("vec"), F.min("id").alias("id")), "reps")
-    clusters = written(components(candidates(reps.select("id", "roots", "vec"), how)), "clusters")
-    found = written(links(docs, reps, clusters, how, id_col, text_col), "links")
+    repeated = own.groupBy("id").count().where("count > 1").count() > 0
+    nodes = reps.select("id", "roots", "vec")
+    clusters = written(components(candidates(nodes.dropDuplicates(["id"]) if repeated else nodes, how)), "clusters")
+    found = written(links(docs, reps, clusters, repeated, how, id_col, text_col), "links")
     classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "class_id")
     count = found.groupBy("id").agg(F.sum("links").alias("links"))
     table = reps.select("key", "weight", "id").join(count, "id", "left").join(classes, "id", "left")
