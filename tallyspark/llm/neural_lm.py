@@ -2,8 +2,9 @@
 
 The corpus is read once into blocks: distinct words, their training counts, and each document as word numbers. Word
 counts are summed over all blocks; the most frequent words are the model's vocabulary, and one symbol stands for all
-others, which share its probability by their counts. Each round, every block trains the model on its own training
-documents, and the blocks' parameters are averaged by the tokens that they have seen. Probabilities are normalised
+others, which share its probability by their counts. Each round, every block trains the model in one pass over all
+tokens of its own training documents, from the same start and with new AdaGrad sums, and the blocks' parameters are
+averaged by the tokens that they have seen; so more blocks make the average better, but no block's steps more. Probabilities are normalised
 over the whole vocabulary by batched matrix products, once for each distinct context of a block.
 """
 
@@ -28,7 +29,7 @@ BLOCK = "block long, ids array<long>, lengths array<int>, held array<boolean>, r
 
 @dataclass(frozen=True)
 class Settings:
-    """Vocabulary (with the two symbols), dimensions, noise words of a batch, batch, rounds, rate, tokens to a step."""
+    """Vocabulary (with the two symbols), dimensions, noise words of a step, most triples of a step, rounds, rate, about the most tokens of a step."""
 
     vocabulary: int = 1024
     width: int = 16
@@ -95,11 +96,19 @@ class Model:
 
 
 def trained(model: Model, triples: np.ndarray, weights: np.ndarray, unigram: np.ndarray, how: Settings, seed: int) -> Model:
-    """Noise-contrastive estimation with AdaGrad, on triples (w2, w1, w as one number) drawn by their weights."""
+    """Noise-contrastive estimation with AdaGrad: one pass over all triples (w2, w1, w as one number) in shuffled steps.
+
+    Every triple is met with its whole weight, its count; one heavier than the mean is dealt to several steps in parts.
+    A step takes about as many parts as any other, at most how.batch of them and about how.tokens_a_step tokens.
+    """
     g, v = np.random.default_rng(seed), len(unigram)
     m = Model(*(x.copy() for x in (model.r, model.t, model.b, model.c1, model.c2)))
     sums = [np.full(x.shape, 1e-2, np.float32) for x in (m.r, m.t, m.b, m.c1, m.c2)]
-    upto, of_noise = np.cumsum(weights), np.cumsum(unigram)
+    of_noise, total = np.cumsum(unigram), int(weights.sum())
+    pieces = -(-weights // -(-total // len(weights)))
+    part, share = np.repeat(np.arange(len(triples)), pieces), np.repeat(weights / pieces, pieces).astype(np.float32)
+    order = g.permutation(len(part))
+    steps = max(-(-len(part) // how.batch), min(-(-total // how.tokens_a_step), len(part)))
     shift = np.log(how.noise * unigram).astype(np.float32)
 
     def scatter(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
@@ -108,13 +117,13 @@ def trained(model: Model, triples: np.ndarray, weights: np.ndarray, unigram: np.
     def sigmoid(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    for _ in range(-(-int(upto[-1]) // how.tokens_a_step)):
-        drawn = triples[np.searchsorted(upto, g.random(how.batch) * upto[-1], "right")]
+    for step in np.array_split(order, steps):
+        drawn, weight = triples[part[step]], share[step]
         w2, w1, w = drawn // (v * v), drawn // v % v, drawn % v
         noise = np.searchsorted(of_noise, g.random(how.noise) * of_noise[-1], "right").clip(0, v - 1)
         q = m.predicted(w2, w1)
-        real = 1 - sigmoid(np.einsum("ij,ij->i", q, m.t[w]) + m.b[w] - shift[w])
-        false = -sigmoid(q @ m.t[noise].T + m.b[noise] - shift[noise])
+        real = weight * (1 - sigmoid(np.einsum("ij,ij->i", q, m.t[w]) + m.b[w] - shift[w]))
+        false = -weight[:, None] * sigmoid(q @ m.t[noise].T + m.b[noise] - shift[noise])
         to_q = real[:, None] * m.t[w] + false @ m.t[noise]
         grads = (
             scatter(w1, to_q @ m.c1.T) + scatter(w2, to_q @ m.c2.T),
@@ -124,7 +133,7 @@ def trained(model: Model, triples: np.ndarray, weights: np.ndarray, unigram: np.
             m.r[w2].T @ to_q,
         )
         for x, s, grad in zip((m.r, m.t, m.b, m.c1, m.c2), sums, grads, strict=True):
-            grad = grad / how.batch
+            grad = grad * (steps / total)
             s += grad * grad
             x += how.rate * grad / np.sqrt(s)
     return m

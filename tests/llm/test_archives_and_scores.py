@@ -90,6 +90,18 @@ def test_scores(spark):
     assert score > base * 0.8  # log probabilities of held-out texts: at least a fifth less surprised
 
 
+def test_training_meets_every_token(monkeypatch):
+    v, how = 64, neural_lm.Settings()
+    pairs = np.arange(3000)  # each context once, beside one of nearly all tokens
+    triples = np.append((2 + pairs // 60) * v + 2 + pairs % 60, 0) * v + 5
+    weights = np.append(np.ones(3000, np.int64), 100_000)
+    met, whole = set(), neural_lm.Model.predicted
+    monkeypatch.setattr(neural_lm.Model, "predicted", lambda m, w2, w1: (met.update(zip(w2.tolist(), w1.tolist(), strict=True)), whole(m, w2, w1))[1])
+    unigram = np.full(v, 1 / v)
+    neural_lm.trained(neural_lm.Model.start(unigram, how.width), triples, weights, unigram, how, 1)
+    assert met == {(t // v // v, t // v % v) for t in triples.tolist()}
+
+
 def test_probabilities_sum_to_one():
     g = np.random.default_rng(1)
     m = neural_lm.Model(*(g.standard_normal(s).astype(np.float32) for s in ((20, 4), (20, 4), 20, (4, 4), (4, 4))))
