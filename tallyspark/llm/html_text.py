@@ -1,7 +1,7 @@
 """Main text of web pages by consensus of a host's pages on where it stands.
 
-Each page scores its containers and names the one that holds its text; Spark counts, host by host, the generalised
-tag-class paths of these; the winning paths are then used to extract every page of the host.
+Each page scores its containers and names the innermost that holds all its text; Spark counts, host by host, the
+generalised tag-class paths of these; a winning path then extracts the pages of the host whose text it holds whole.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ class Element:
 class Page:
     elements: list[Element] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    text: int = 0  # the same of all kept blocks, also those outside every element
 
 
 def general(tag: str, names: str) -> str:
@@ -68,8 +69,10 @@ def parsed(source: str) -> Page:
         links[1] = 0
         if said:
             page.blocks.append((at, said))
+            own = 0 if at >= 0 and elements[at].dropped else max(len(said) - 2 * linked, 0)
+            page.text += own
             while at >= 0:
-                elements[at].text += 0 if elements[at].dropped else max(len(said) - 2 * linked, 0)
+                elements[at].text += own
                 at = elements[at].parent
 
     def add(text: str) -> None:
@@ -126,13 +129,8 @@ def parsed(source: str) -> Page:
 
 
 def choice(page: Page) -> str | None:
-    """The page's own path: from the outermost container inwards, as long as one inside holds four fifths of the text."""
-    at, most = None, sum(x.text for x in page.elements if x.parent < 0)
-    best = most
-    for x in page.elements:
-        if x.tag in CONTAINER and not x.dropped and x.text and 5 * x.text >= 4 * most and (at is None or x.path.startswith(at + ">")) and x.text <= best:
-            at = x.path
-    return at
+    """The page's own path: the innermost container that holds all of its kept text, links left out; None without one."""
+    return next((x.path for x in reversed(page.elements) if x.tag in CONTAINER and not x.dropped and x.text == page.text), None) if page.text else None
 
 
 def text_at(page: Page, path: str | None) -> str:
@@ -144,11 +142,13 @@ def text_at(page: Page, path: str | None) -> str:
 
 
 def extracted(source: str, paths: list[str]) -> str:
-    """The text at the host's first path that the page has with text under it, or else at the page's own."""
+    """The text at the host's first path that holds all of the page's kept text, or else at the page's own."""
     page = parsed(source)
-    own = choice(page)
-    has = {x.path for x in page.elements if x.text and not x.dropped}
-    return text_at(page, next((p for p in paths if p in has), own))
+    has: Counter = Counter()
+    for x in page.elements:
+        if x.text and not x.dropped:
+            has[x.path] += x.text
+    return text_at(page, next((p for p in paths if has[p] and has[p] == page.text), choice(page)))
 
 
 def votes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:

@@ -105,3 +105,19 @@ def test_main_text(spark):
     assert got[14].text.startswith("Title & more")
     assert {r.text for r in html_text.main_text(df, broadcast_hosts=0).where("page_id < 6").collect()} == {want}
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_main_text_is_whole(spark):
+    body = "<p>" + "Long text of the article. " * 20 + "</p>"
+    long = " ".join(["Long text of the article."] * 20)
+    split = page(f'<article><h1>Title</h1><p>Lead</p><div class="body">{body}</div><section><p>End</p></section></article>')
+    usual, odd = page(f'<div class="post">{body}</div>'), page(f'<article>{body}</article><div class="post">Few</div>')
+    rows = [(n, f"http://split.example/{n}", split) for n in range(3)] + [(n, f"http://odd.example/{n}", usual) for n in range(10, 40)]
+    rows += [(40, "http://odd.example/40", odd), (50, "http://bare.example", f"Before <article>{body}</article>")]
+    rows += [(60, "http://menu.example", page(f"<article>{body}</article>").replace("Others", "Menu of others. " * 99))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[n] for n in range(3)} == {f"Title\n\nLead\n\n{long}\n\nEnd"}
+    assert {got[n] for n in range(10, 40)} == {long}
+    assert got[40] == f"{long}\n\nFew"
+    assert got[50] == f"Before\n\n{long}"
+    assert html_text.choice(html_text.parsed(rows[-1][2])) == ">html>body>article" and got[60] == long
