@@ -80,8 +80,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     Components count as floor(256 x). A query's candidates are all rows with another id; all of them are returned if
     they are fewer than k. Vectors that are null, or hold null or non-finite components, take no part; vectors of
-    unequal lengths are filled up with zeros. Equal ids with equal scores count once. Empty tables give none; other
-    columns are ignored. Scores are exact; those beyond a long are cut to its range.
+    unequal lengths are filled up with zeros. Rows that repeat an id are candidates each, and so are they for each row
+    that repeats a query. Empty tables give none; other columns are ignored. Scores are exact; those beyond a long are cut to its range.
     """
 
     def valid(df: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         a, b, s = (np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64)]).astype(np.int64) for i in range(3))
         return pa.table({"query_id": a, "vec_id": b, "score": s})
 
-    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(search, "query_id long, vec_id long, score long").distinct()
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

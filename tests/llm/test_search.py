@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -53,3 +54,14 @@ def test_scores_past_float64(spark):
     rows = [(0, [2.0**22, 1.0]), (1, [2.0**21, 1.0]), (2, [2.0**21, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in t.top_k(df, df).collect()} == brute(rows, {0, 1, 2}, 5)
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_repeated_rows(spark, tmp_path, block):
+    rows = [(i, [i / 4, 1.0]) for i in range(8)] + [(7, [7 / 4, 1.0])] * 6 + [(6, [9.0, 1.0]), (0, [0.0, 1.0]), (50, [1.0, -1.0])] + [(100, [1.0, 1.0])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = t.top_k(df, df.where("vec_id % 50 = 0"), block=block)
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(t.OP3_SQL).fetchall())
