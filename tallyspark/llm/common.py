@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from tallyspark.sources.bridge import table
-from tallyspark.sources.shared import shared_dir, written
+from tallyspark.sources.shared import forget, shared_dir, written
 
-__all__ = ["balanced", "by_bytes", "parts", "shared_dir", "spaced", "table", "whole", "written"]
+__all__ = ["balanced", "by_bytes", "forget", "parts", "shared_dir", "spaced", "table", "whole", "written"]
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 ASCII_SPACE = " \t\n\v\f\r"
