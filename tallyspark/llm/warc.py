@@ -1,9 +1,9 @@
 """WARC archives written and read by Spark, with a two-level capture index.
 
-Archives are .warc.gz files of one gzip member per record. The index is made from the archives: entries (reversed-host
-URL key, record id, archive, offset, length) are sorted into compressed blocks, and a sparse directory keeps each
-block's first key. A look-up finds its blocks by binary search in the directory, its entries by binary search in
-the block, and its records by range reads.
+Archives are files of one gzip member per record, as in .warc.gz files (Spark's text writer names them .txt). The index
+is made from the archives: entries (reversed-host URL key, record id, archive, offset, length) are sorted into compressed
+blocks, and a sparse directory keeps each block's first key. A look-up finds its blocks by binary search in the directory,
+its entries by binary search in the block, and its records by range reads.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import shared_dir, table, written
+from tallyspark.llm.common import by_bytes, shared_dir, table, written
 
 #: Payloads under this size are always written whole.
 LEAST = 100
@@ -86,32 +86,30 @@ def read_record(member: bytes) -> Record:
     return Record(headers, named(http.split(b"\r\n")[1:]), payload)
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of the gzip members of an archive that hold something."""
-    at = 0
-    while at < len(data):
-        z = zlib.decompressobj(31)
-        content = z.decompress(memoryview(data)[at : at + 65536])
-        end = at + 65536
-        parts = [content]
+def members(read, size: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of the gzip members of an archive that hold something; read(n) gives its next n bytes."""
+    at, held = 0, b""
+    while held := held or read(size):
+        z, parts, length = zlib.decompressobj(31), [], 0
         while not z.eof:
-            if end >= len(data):
+            if not (held := held or read(size)):
                 raise ValueError("the archive is cut off")
-            parts.append(z.decompress(memoryview(data)[end : end + 65536]))
-            end += 65536
-        length = min(end, len(data)) - at - len(z.unused_data)
+            parts.append(z.decompress(held))
+            length += len(held) - len(z.unused_data)
+            held = z.unused_data
         if any(parts):
             yield at, length, b"".join(parts)
         at += length
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", per_file: int = 5000, broadcast_digests: int = 100_000) -> None:
-    """Write a record per row of pages to .txt files of gzip members under path, in Spark's own output commit.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", per_file: int = 50_000, broadcast_digests: int = 100_000) -> None:
+    """Write a record per row of pages to files of gzip members under path, in Spark's own output commit.
 
     Of rows with equal payloads of LEAST bytes or more, those with the least id are responses and the others revisits
     that refer to it. A null page has the empty payload; a null id's payload is a revisit if others have it.
     Repeated digests are counted in the tasks before they are shuffled; they are broadcast if they are at most
-    broadcast_digests, and joined by adaptive execution, which splits hot ones, beyond that.
+    broadcast_digests, and joined by adaptive execution, which splits hot ones, beyond that. A task begins a new file
+    after per_file records; whatever a file's size, it is read as a stream.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     long = rows.where(F.octet_length("payload") >= LEAST)
@@ -121,42 +119,67 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [record(i, u, p, d, None if f == i else f, date) for i, u, p, d, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+            for a, b in by_bytes(batch.column(2)):
+                out = [record(i, u, p, d, None if f == i else f, date) for i, u, p, d, f in zip(*(c.to_pylist() for c in batch.slice(a, b - a).columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     packed = joined.mapInArrow(pack, "record binary").select(F.col("record").cast("string"))
     packed.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_file).text(path)
 
 
+def opened(archive: str):
+    """An archive's bytes by Arrow's file systems (file, hdfs, s3 and gs paths), for reading at any place."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(archive)
+    return system.open_input_file(at)
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """archive, size: the files under path, as Spark lists them; their bytes aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("path").alias("archive"), F.col("length").alias("size"))
+
+
 def entries(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of ENTRY, read from the archives under path; an archive is at most per_file records."""
+    """Rows of ENTRY, read as a stream from the archives under path, a task for each archive or two."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = []
-                for at, length, content in members(data):
-                    headers = dict(x.split(": ", 1) for x in content.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
-                    out.append((surt(headers.get("WARC-Target-URI", "")), headers["WARC-Record-ID"], archive, at, length))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["key", "record_id", "archive", "offset", "length"])
+            for archive in batch.column(0).to_pylist():
+                with opened(archive) as f:
+                    out = []
+                    for at, length, content in members(f.read):
+                        headers = dict(x.split(": ", 1) for x in content.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+                        out.append((surt(headers.get("WARC-Target-URI", "")), headers["WARC-Record-ID"], archive, at, length))
+                        if len(out) == 10_000:
+                            yield entry_batch(out)
+                            out = []
+                    if out:
+                        yield entry_batch(out)
+
+    files = archive_files(spark, path)
+    return files.select("archive").repartition(max(1, files.count()), "archive").mapInArrow(scan, ENTRY)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(scan, ENTRY)
+
+def entry_batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["key", "record_id", "archive", "offset", "length"])
 
 
 @dataclass
 class CaptureIndex:
-    """blocks: shard, block, first (key), data (compressed lines); directory: shard, lowest, firsts (of its blocks)."""
+    """blocks: shard, block, first (key), data (compressed lines); directory: shard, lowest, firsts (of its blocks); size: bytes of
+    the archives."""
 
     blocks: DataFrame
     directory: DataFrame
+    size: int = 0
 
 
 def line(*values) -> str:
     return "\t".join(map(str, values))
 
 
-def capture_index(found: DataFrame, lines: int = 512) -> CaptureIndex:
+def capture_index(found: DataFrame, lines: int = 512, size: int = 0) -> CaptureIndex:
     """Sort entries by key into blocks of so many lines, and keep the first key of each.
 
     Shards are ranges of keys; one key may span several shards, in which case the look-up reads them all. Keys hold
@@ -182,57 +205,71 @@ def capture_index(found: DataFrame, lines: int = 512) -> CaptureIndex:
     placed = found.repartitionByRange("key", "record_id").sortWithinPartitions("key", "record_id").withColumn("shard", F.spark_partition_id())
     blocks = written(placed.mapInArrow(block, "shard int, block int, first string, data binary"), "capture-blocks")
     firsts = F.transform(F.array_sort(F.collect_list(F.struct("block", "first"))), lambda x: x["first"])
-    return CaptureIndex(blocks, written(blocks.groupBy("shard").agg(F.min("first").alias("lowest"), firsts.alias("firsts")), "capture-directory"))
+    return CaptureIndex(blocks, written(blocks.groupBy("shard").agg(F.min("first").alias("lowest"), firsts.alias("firsts")), "capture-directory"), size)
 
 
 def decoded(data: bytes) -> list[list[str]]:
     return [x.split("\t") for x in zlib.decompress(data).decode().split("\n")]
 
 
-def look_up(index: CaptureIndex, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """Entries of all captures of each of urls: the URL and ENTRY's columns. A null URL finds those without one.
+def keys_of(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """url and key of each of urls; a null URL has the key of captures without one."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([surt(header(x or "")) for x in batch.column(0).to_pylist()], pa.string())], ["url", "key"])
+
+    return urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(keyed, "url string, key string")
+
 
-    The lowest keys of shards (one per range partition of the index) are few and go to all tasks; the first keys of a
-    shard's blocks and the blocks themselves are joined to the keys that need them.
+def find(index: CaptureIndex, keys: DataFrame) -> DataFrame:
+    """ENTRY's columns of all captures of keys (a column key, without repeats).
+
+    Two binary searches number a key by shard and block: over the lowest keys of shards (one per range partition of the
+    index, so they are few and go to all tasks), and over the first keys of a shard's blocks. Blocks and keys then meet in
+    order, each block ahead of its keys; it is unpacked once, and each key finds its entries by binary search in it.
     """
-    shards = sorted((r.lowest, r.shard) for r in index.directory.select("lowest", "shard").collect())
-    lowest, numbers = [x for x, _ in shards], [n for _, n in shards]
+    shards = sorted((r.lowest, r.shard, r.n) for r in index.directory.select("lowest", "shard", F.size("firsts").alias("n")).collect())
+    lowest, numbers = [x for x, _, _ in shards], [n for _, n, _ in shards]
 
     def to_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for url in batch.column(0).to_pylist():
-                key = surt(header(url or ""))
-                a, b = max(bisect_left(lowest, key) - 1, 0), bisect_right(lowest, key)
-                out += [(url, key, numbers[k]) for k in range(a, b)]
-            if out:
-                u, k, s = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(k), pa.array(s, pa.int32())], ["url", "key", "shard"])
+            out = [(key, numbers[k]) for key in batch.column(0).to_pylist() for k in range(max(bisect_left(lowest, key) - 1, 0), bisect_right(lowest, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.int32())], ["key", "shard"])
 
     def to_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for url, key, shard, firsts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                a, b = max(bisect_left(firsts, key) - 1, 0), bisect_right(firsts, key)
-                out += [(url, key, shard, k) for k in range(a, b)]
-            if out:
-                u, k, s, n = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(k), pa.array(s, pa.int32()), pa.array(n, pa.int32())], ["url", "key", "shard", "block"])
+            out, last, firsts = [], None, []
+            for k, (key, shard) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if shard != last:
+                    last, firsts = shard, batch.column(2)[k].as_py()
+                out += [(key, shard, n) for n in range(max(bisect_left(firsts, key) - 1, 0), bisect_right(firsts, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.string(), pa.int32(), pa.int32()))], ["key", "shard", "block"])
 
     def to_entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, known = [], []
         for batch in batches:
-            out, last, rows, keys = [], None, [], []
-            for url, key, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if data is not last:
-                    last, rows = data, decoded(data)
-                    keys = [r[0] for r in rows]
-                out += [(url, *r[:3], int(r[3]), int(r[4])) for r in rows[bisect_left(keys, key) : bisect_right(keys, key)]]
+            out = []
+            for data, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if data is not None:
+                    rows = decoded(data)
+                    known = [r[0] for r in rows]
+                else:
+                    out += [(*r[:3], int(r[3]), int(r[4])) for r in rows[bisect_left(known, key) : bisect_right(known, key)]]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k < 4 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], ["url", "key", "record_id", "archive", "offset", "length"])
+                yield entry_batch(out)
 
-    asked = urls.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(to_shard, "url string, key string, shard int")
-    at = asked.join(index.directory.select("shard", "firsts"), "shard").select("url", "key", "shard", "firsts").mapInArrow(to_block, "url string, key string, shard int, block int")
-    return at.join(index.blocks.select("shard", "block", "data"), ["shard", "block"]).select("url", "key", "data").mapInArrow(to_entry, "url string, " + ENTRY)
+    asked = keys.select("key").mapInArrow(to_shard, "key string, shard int")
+    at = asked.join(index.directory.select("shard", "firsts"), "shard").select("key", "shard", "firsts").mapInArrow(to_block, "key string, shard int, block int")
+    both = index.blocks.select("shard", "block", "data", F.lit(None).cast("string").alias("key")).unionByName(at.select("shard", "block", F.lit(None).cast("binary").alias("data"), "key"))
+    tasks = max(1, -(-sum(n for _, _, n in shards) // 32))
+    return both.repartition(tasks, "shard", "block").sortWithinPartitions("shard", "block", F.col("key").asc_nulls_first()).select("data", "key").mapInArrow(to_entry, ENTRY)
+
+
+def look_up(index: CaptureIndex, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """Entries of all captures of each of urls: the URL and ENTRY's columns. A null URL finds those without one."""
+    asked = keys_of(urls.distinct(), url_col)
+    return asked.join(find(index, asked.select("key").distinct()), "key").select("url", "key", "record_id", "archive", "offset", "length")
 
 
 def all_entries(index: CaptureIndex) -> DataFrame:
@@ -247,23 +284,20 @@ def all_entries(index: CaptureIndex) -> DataFrame:
     return index.blocks.select("data").mapInArrow(unpack, ENTRY)
 
 
-def range_reads(found: DataFrame) -> DataFrame:
+def range_reads(found: DataFrame, size: int = 0, stretch: int = 2 << 20) -> DataFrame:
     """Records at the places of entries (archive, offset, length): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Places are dealt by archive and stretch of it, sorted, and read by range through Arrow's file systems (file, hdfs, s3
-    and gs paths). A response's digest is computed from what is read and must equal its header's.
+    Places are dealt by archive and stretch of it, sorted, and read by range. size, the bytes of the archives, sets the
+    number of tasks; without it Spark does. A response's digest is computed from what is read and must equal its header's.
     """
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         name, f = None, None
         for batch in batches:
-            out = []
+            out, held = [], 0
             for archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if archive != name:
-                    system, at = fs.FileSystem.from_uri(archive)
-                    name, f = archive, system.open_input_file(at)
+                    name, f = archive, opened(archive)
                 r = read_record(f.read_at(length, offset))
                 revisit = r.headers["WARC-Type"] == "revisit"
                 digest = r.headers["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -272,11 +306,20 @@ def range_reads(found: DataFrame) -> DataFrame:
                 number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">") or -1) if x else None
                 page = r.headers["WARC-Record-ID"]
                 out.append((None if page == "<urn:page:>" else number(page), r.headers.get("WARC-Target-URI"), int(r.http["Content-Length"]), digest, r.headers["WARC-Type"], number(r.headers.get("WARC-Refers-To")), None if revisit else r.payload))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                held += int(r.http["Content-Length"])
+                if held > 8 << 20:
+                    yield read_batch(out)
+                    out, held = [], 0
+            yield read_batch(out)
+
+    def read_batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    dealt = found.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("archive", "offset")
-    return dealt.mapInArrow(fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    by = ("archive", F.floor(F.col("offset") / stretch))
+    places = found.select("archive", "offset", "length")
+    dealt = places.repartition(-(-size // stretch), *by) if size else places.repartition(*by)
+    return dealt.sortWithinPartitions("archive", "offset").mapInArrow(fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame, **columns: str) -> CaptureIndex:
@@ -284,13 +327,16 @@ def archived(pages: DataFrame, **columns: str) -> CaptureIndex:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, **columns)
-    return capture_index(entries(spark, path))
+    size = archive_files(spark, path).agg(F.sum("size")).first()[0] or 0
+    return capture_index(entries(spark, path), size=size)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page of the table, written and read back through the index."""
-    index = archived(table(spark, sf_dir, "pages"))
-    return range_reads(all_entries(index)).drop("payload", "url")
+    """Every page of the table, written to archives and read back by looking up the key of every page's URL."""
+    pages = table(spark, sf_dir, "pages")
+    index = archived(pages)
+    found = find(index, keys_of(pages).select("key").distinct())
+    return range_reads(found, index.size).drop("payload", "url")
 
 
 OP7_SQL = """

@@ -20,8 +20,9 @@ PAGES = [(1, "http://www.Example.com:8080/a?b=c", LONG), (2, "http://example.com
 def test_archives(spark):
     df = spark.createDataFrame([(*x, "clash") for x in PAGES], "page_id long, url string, html string, digest string").repartition(3)
     index = warc.archived(df)
-    got = {r.page_id: r for r in warc.range_reads(warc.all_entries(index)).collect()}
-    assert len(got) == len(PAGES)
+    every = warc.range_reads(warc.find(index, warc.keys_of(df).select("key").distinct()), index.size).collect()
+    got = {r.page_id: r for r in every}
+    assert len(got) == len(every) == len(PAGES) == warc.all_entries(index).count()
     first = {}
     for i, _, html in sorted(PAGES, key=lambda x: x[0]):
         data = (html or "").encode()
@@ -51,6 +52,29 @@ def test_look_up(spark):
 def test_archives_of_nothing(spark):
     index = warc.archived(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.range_reads(warc.all_entries(index)).count() == 0
+    assert warc.find(index, warc.keys_of(spark.createDataFrame([("http://a/",)], "url string")).select("key")).count() == 0
+
+
+def test_null_and_repeated_ids_and_a_long_page(spark):
+    huge = "".join(f"<p>{i}</p>" for i in range(700_000))
+    rows = [(1, "http://a/1", LONG), (1, "http://a/1", LONG), (None, "http://a/2", LONG), (None, None, "alone" * 30), (None, None, None), (2, "http://a/3", huge), (3, "https://a/3", huge)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    index = warc.archived(df)
+    got = warc.range_reads(warc.find(index, warc.keys_of(df).select("key").distinct()), index.size).collect()
+    said = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got), key=str)
+    n, h = len(LONG), len(huge)
+    assert said == sorted([(1, "response", None, n), (1, "response", None, n), (None, "revisit", 1, n), (None, "response", None, 150), (None, "response", None, 0), (2, "response", None, h), (3, "revisit", 2, h)], key=str)
+    assert {bytes(r.payload) for r in got if r.page_id == 2} == {huge.encode()}
+
+
+def test_members_across_reads():
+    import io
+
+    parts = [warc.record(i, "http://a/", bytes([i]) * (i * 997), "d", None, "2024") for i in range(20)]
+    data = warc.EMPTY.join(parts)
+    found = list(warc.members(io.BytesIO(data).read, 100))
+    assert [data[at : at + n] for at, n, _ in found] == parts
+    assert [warc.read_record(data[at : at + n]).payload for at, n, _ in found] == [bytes([i]) * (i * 997) for i in range(20)]
 
 
 def test_surt():
