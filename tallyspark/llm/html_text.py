@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table, written
+from tallyspark.llm.common import parts, table, written
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-NAMES = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+PARTS = re.compile(r"[a-z]+")
 # Kinds of elements in HTML, and names that sites give to what isn't the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = set("script style textarea title noscript template iframe xmp noembed noframes svg".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = set("html body div article main section td center".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -34,27 +34,74 @@ NOT_TEXT = set(
     "footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted "
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
+# Words that say where something stands or how it is laid out; beside one of NOT_TEXT they don't change what it names.
+LAYOUT = set("area bar block body bottom box btn button buttons col column content container count el fixed float head inner item items js left link links list main message mobile msg outer page post posts right section site slot sticky text thread top unit wrap wrapper zone".split())
+HEADINGS = {f"h{n}" for n in range(1, 7)}
 
 
 @dataclass
 class Element:
     tag: str
     parent: int
-    path: str
+    path: int  # number of its path
     dropped: bool
+    inside: bool  # in an article or main part, or one itself
     text: int = 0  # characters of kept blocks below it, links left out
 
 
 @dataclass
 class Page:
+    """steps: each path as its parent's number and its last step, known by its own number through numbers."""
+
     elements: list[Element] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
     text: int = 0  # the same of all kept blocks, also those outside every element
+    steps: list[tuple[int, str]] = field(default_factory=list)
+    numbers: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def numbered(self, parent: int, step: str) -> int:
+        if (parent, step) not in self.numbers:
+            self.numbers[parent, step] = len(self.steps)
+            self.steps.append((parent, step))
+        return self.numbers[parent, step]
+
+    def written(self, path: int) -> str:
+        out = []
+        while path >= 0:
+            path, step = self.steps[path]
+            out.append(step)
+        return "".join(f">{x}" for x in reversed(out))
+
+    def known(self, path: str) -> int | None:
+        """The number of a written path, if the page has it."""
+        at = -1
+        for step in path[1:].split(">"):
+            if (at := self.numbers.get((at, step))) is None:
+                return None
+        return at
 
 
 def general(tag: str, names: str) -> str:
     """A step of a path: the tag with its class and id, in which numbers are the same."""
-    return tag + "".join(f".{re.sub(r'[0-9]+', '#', x)}" for x in sorted(set(names.lower().split())))
+    return tag + "".join(f".{re.sub(r'[0-9]+', '#', x)}" for x in sorted(set(names.lower().replace(">", "").split())))
+
+
+def furniture(names: str) -> bool:
+    """Whether a class or id names what isn't the article: one of its parts does, and all others are of layout alone. So
+    cookie-notice and site-footer do, and search-results or social-history, which may as well be a title, don't."""
+    return any(not NOT_TEXT.isdisjoint(p := set(PARTS.findall(x))) and p <= NOT_TEXT | LAYOUT for x in names.lower().split())
+
+
+def away(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element isn't part of the article. An id isn't asked in headings, where it is made from the title."""
+    if tag in OTHER or tag == "header" and not inside or attributes.get("role", "").lower() in ROLES:
+        return True
+    if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        return True
+    if tag in ("html", "body", "article", "main"):
+        return False
+    names = attributes.get("class", "") if tag in HEADINGS else f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    return furniture(" ".join(x for x in names.split() if not inside or "header" not in x.lower()))
 
 
 def parsed(source: str) -> Page:
@@ -71,9 +118,8 @@ def parsed(source: str) -> Page:
             page.blocks.append((at, said))
             own = 0 if at >= 0 and elements[at].dropped else max(len(said) - 2 * linked, 0)
             page.text += own
-            while at >= 0:
+            if at >= 0:
                 elements[at].text += own
-                at = elements[at].parent
 
     def add(text: str) -> None:
         held.append(text)
@@ -115,25 +161,26 @@ def parsed(source: str) -> Page:
             stack.pop()
         if tag == "hr":
             continue
-        attributes = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(rest)} if rest else {}
-        names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        attributes = {a.lower(): x or y or z for a, x, y, z in reversed(ATTRIBUTE.findall(rest))} if rest else {}
         up = stack[-1]
-        inside = up >= 0 and re.search(r">(article|main)\b", elements[up].path)
-        dropped = up >= 0 and elements[up].dropped or tag in OTHER or tag == "header" and not inside or attributes.get("role", "").lower() in ROLES or tag not in ("html", "body", "article", "main") and not NOT_TEXT.isdisjoint(set(NAMES.findall(names.lower())) - ({"header"} if inside else set())) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", rest)) or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        path = f"{elements[up].path if up >= 0 else ''}>{general(tag, names)}"
-        elements.append(Element(tag, up, path, dropped))
+        over = elements[up] if up >= 0 else Element("", -1, -1, False, False)
+        step = general(tag, f"{attributes.get('class', '')} {attributes.get('id', '')}")
+        elements.append(Element(tag, up, page.numbered(over.path, step), over.dropped or away(tag, attributes, over.inside), over.inside or tag in ("article", "main")))
         stack.append(len(elements) - 1)
     add(source[at:])
     flush()
+    for x in reversed(elements):  # what is inside an element comes after it
+        if x.parent >= 0:
+            elements[x.parent].text += x.text
     return page
 
 
-def choice(page: Page) -> str | None:
+def choice(page: Page) -> int | None:
     """The page's own path: the innermost container that holds all of its kept text, links left out; None without one."""
     return next((x.path for x in reversed(page.elements) if x.tag in CONTAINER and not x.dropped and x.text == page.text), None) if page.text else None
 
 
-def text_at(page: Page, path: str | None) -> str:
+def text_at(page: Page, path: int | None) -> str:
     """Kept blocks under elements of a path (of the whole page for None), joined by two line feeds."""
     within = [False] * len(page.elements)
     for i, x in enumerate(page.elements):
@@ -148,7 +195,8 @@ def extracted(source: str, paths: list[str]) -> str:
     for x in page.elements:
         if x.text and not x.dropped:
             has[x.path] += x.text
-    return text_at(page, next((p for p in paths if has[p] and has[p] == page.text), choice(page)))
+    known = (page.known(p) for p in paths)
+    return text_at(page, next((p for p in known if p is not None and has[p] and has[p] == page.text), choice(page)))
 
 
 def votes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
@@ -156,10 +204,11 @@ def votes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in parts(batches):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if source and (path := choice(parsed(source))):
-                    found[host, path] += 1
+                page = parsed(source or "")
+                if (path := choice(page)) is not None:
+                    found[host, page.written(path)] += 1
             if len(found) > 50_000:
                 yield rows(found)
                 found.clear()
@@ -176,27 +225,30 @@ def host(url_col: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def winning_paths(counted: DataFrame, share: float = 0.05) -> DataFrame:
-    """host, paths: those with at least this share of the host's votes (so at most 1 / share), most votes first, ties by path."""
+def winning_paths(counted: DataFrame, share: float = 0.01) -> DataFrame:
+    """host, paths: those with at least this share of the host's votes (so at most 1 / share), most votes first, ties by path.
+
+    A page of a rarer layout isn't lost: no winner holds all of its text, and it is extracted at its own container.
+    """
     total = counted.groupBy("host").agg(F.sum("n").alias("total"))
     kept = counted.join(total, "host").where(F.col("n") >= F.col("total") * share)
     return kept.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda x: x["path"]).alias("paths"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 100_000) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_paths: int = 100_000) -> DataFrame:
     """id_col, url_col, text and n_chars (code points) of every row of pages.
 
     A null or empty page, or one without text of its own, has the empty text. Pages without a host vote together. Ids
     may be null or repeat; an empty table gives none; other columns are ignored. The winners, a row per host, are
-    broadcast only if they are at most broadcast_hosts; beyond that the pages are joined to them by host, hot hosts
+    broadcast only if they have at most broadcast_paths paths; beyond that the pages are joined to them by host, hot hosts
     split by adaptive execution.
     """
     winners = written(winning_paths(votes(pages, url_col, html_col)), "paths")
-    few = winners.limit(broadcast_hosts + 1).count() <= broadcast_hosts
+    few = (winners.agg(F.sum(F.size("paths"))).first()[0] or 0) <= broadcast_paths
     joined = pages.select(id_col, url_col, html_col, host(url_col).alias("host")).join(F.broadcast(winners) if few else winners, "host", "left").select(id_col, url_col, html_col, "paths")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 2):
             out = [extracted(x or "", paths or []) for x, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["id", "url", "text", "n_chars"])
 

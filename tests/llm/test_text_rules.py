@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -103,7 +104,7 @@ def test_main_text(spark):
     assert (got[10].text, got[11].text, got[13].text) == ("", "", "")
     assert got[12].text == "plain text only"
     assert got[14].text.startswith("Title & more")
-    assert {r.text for r in html_text.main_text(df, broadcast_hosts=0).where("page_id < 6").collect()} == {want}
+    assert {r.text for r in html_text.main_text(df, broadcast_paths=0).where("page_id < 6").collect()} == {want}
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
@@ -120,4 +121,60 @@ def test_main_text_is_whole(spark):
     assert {got[n] for n in range(10, 40)} == {long}
     assert got[40] == f"{long}\n\nFew"
     assert got[50] == f"Before\n\n{long}"
-    assert html_text.choice(html_text.parsed(rows[-1][2])) == ">html>body>article" and got[60] == long
+    assert (last := html_text.parsed(rows[-1][2])).written(html_text.choice(last)) == ">html>body>article" and got[60] == long
+
+
+def test_what_only_looks_like_furniture():
+    body = "<p>The first paragraph of this article.</p>"
+    for odd in ('<p title="the hidden cost of x">It stays.</p>', '<p class="overflow hidden md:block">It stays.</p>', '<h2 id="search-results">It stays.</h2>', '<h2 id="form-validation">It stays.</h2>', '<section id="social-history"><p>It stays.</p></section>', "<math>It stays.</math>", '<h3 id="comments">It stays.</h3>', '<div data-hidden="x" class="ad-hoc">It stays.</div>'):
+        assert html_text.extracted(f"<html><body><article>{body}{odd}</article></body></html>", []) == "The first paragraph of this article.\n\nIt stays.", odd
+    for gone in ("<div hidden>Away.</div>", '<div class="x" hidden="">Away.</div>', '<div class="cookie-notice">Away.</div>', '<div id="site-footer">Away.</div>', '<p class="ad ad-3">Away.</p>', '<section id="comments"><p>Away.</p></section>', '<div role="search">Away.</div>', '<ul class="share-buttons"><li>Away.</ul>'):
+        assert html_text.extracted(f"<html><body><article>{body}{gone}</article></body></html>", []) == "The first paragraph of this article.", gone
+
+
+def generated(r):
+    """A page of random nesting and furniture, and the text of its article, made beside it."""
+    words = lambda a, b: " ".join(r.choice(["alpha", "beta", "caf\u00e9", "x < y", "R&D", "so-called"]) for _ in range(r.randint(a, b)))
+    coded = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace("\u00e9", r.choice(["&eacute;", "&#233;", "\u00e9"])).replace(" ", r.choice([" ", "\n  ", "\t"]))
+    said = []
+
+    def block():
+        kind, x = r.choice(["p", "h2", "li", "blockquote", "pre", "td", "dd"]), words(6, 30)
+        said.append(x)
+        inner = coded(x)
+        if r.random() < 0.3:
+            inner = f"<b class=big>{inner}</b>"
+        return {"li": f"<ul><li>{inner}</ul>", "td": f"<table><tr><td>{inner}</table>", "dd": f"<dl><dd>{inner}</dl>"}.get(kind, f"<{kind}>{inner}</{kind}>")
+
+    def nest(depth):
+        out = ""
+        for _ in range(r.randint(1, 3)):
+            if depth and r.random() < 0.5:
+                tag = r.choice(["div", "section", 'div class="part n7"'])
+                out += f"<{tag}>{nest(depth - 1)}</{tag.split()[0]}>"
+            else:
+                out += block()
+            if r.random() < 0.2:
+                out += r.choice([f'<div class="ad-slot">{words(1, 40)}</div>', f"<script>var x = '<p>{words(1, 9)}</p>';</script>", f"<!-- {words(1, 5)} <p> -->", f"<form><p>{words(1, 9)}</p></form>", f'<div class="newsletter-box"><p>{words(3, 40)}</p></div>'])
+        return out
+
+    article = nest(4)
+    before = "".join(r.sample([f"<header><h1>{words(1, 4)}</h1></header>", f'<nav><ul><li><a href="/">{words(1, 3)}</a></ul></nav>', f'<div id="cookie-banner"><p>{words(5, 60)}</p></div>'], r.randint(0, 3)))
+    after = "".join(r.sample([f"<footer><p>{words(2, 30)}</p></footer>", f'<aside class="sidebar">{words(5, 50)}</aside>', f'<div class="comments"><div class="comment"><p>{words(5, 60)}</p></div></div>'], r.randint(0, 3)))
+    shell = r.choice(["<article>{}</article>", "<main><div class='c'>{}</div></main>", '<div class="layout"><div class="story">{}</div></div>'])
+    return f"<!doctype html><html><head><title>T</title></head><body>{before}{shell.format(article)}{after}</body></html>", "\n\n".join(said)
+
+
+def test_generated_pages(spark):
+    r = random.Random(11)
+    pages = [generated(r) for _ in range(300)]
+    rows = [(i if i % 9 else None, f"http://h{i % 5}.example/{i}", p) for i, (p, _) in enumerate(pages)] + [(1, "http://h1.example/1", pages[1][0])]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    want = Counter((i if i % 9 else None, t) for i, (_, t) in enumerate(pages)) + Counter([(1, pages[1][1])])
+    assert Counter((x.page_id, x.text) for x in got) == want
+
+
+def test_deep_and_long_pages():
+    deep = '<div class="row">' * 50_000 + "<p>at the bottom</p>"
+    assert html_text.extracted(deep, []) == "at the bottom"
+    assert len(html_text.extracted("<body>" + "<p>some words here</p>" * 200_000, []).split("\n\n")) == 200_000
