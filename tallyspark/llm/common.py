@@ -40,11 +40,11 @@ def whole(piece: str) -> str:
 
 
 def balanced(pieces: list[str], limit: int) -> list[list[str]]:
-    """Lists of pieces, each of about limit characters."""
+    """Lists of pieces, each of about limit bytes."""
     out, held, room = [], [], limit
     for p in pieces:
         held.append(p)
-        room -= len(p) + 8
+        room -= (len(p) if p.isascii() else len(p.encode())) + 8
         if room <= 0:
             out.append(held)
             held, room = [], limit

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.common import balanced, by_bytes, spaced, table, whole
 
-#: Lengths of this many distinct pieces are kept by a task, and pieces of this many characters go to one encoding call.
-KEPT, BATCH_CHARS = 400_000, 1 << 20
+#: Lengths of this many distinct pieces are kept by a task, and pieces of this many bytes go to one encoding call.
+KEPT, BATCH_BYTES = 400_000, 1 << 20
 
 
 def counter(name: str, data: bytes):
@@ -31,7 +32,12 @@ def counter(name: str, data: bytes):
     lengths: dict[str, int] = {}
 
     def encode(texts: list[str]) -> list[int]:
-        return [len(x) for batch in balanced(texts, BATCH_CHARS) for x in t.encode_batch_fast(batch, add_special_tokens=False)]
+        return [len(x) for batch in balanced(texts, BATCH_BYTES) for x in t.encode_batch_fast(batch, add_special_tokens=False)]
+
+    rules = json.loads(data)
+    byte_level = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
+    if rules["normalizer"] is not None or not byte_level.items() <= (rules["pre_tokenizer"] or {}).items():
+        return encode  # nothing is known of where its tokens may end
 
     def count(texts: list[str]) -> list[int]:
         cut = [spaced(x) for x in texts]
@@ -51,7 +57,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     tokenizer is the path of a .json (tokenizers) or .model (sentencepiece) file, read on the driver. Texts are cut at
     boundaries that no token crosses; equal pieces of a batch are encoded once. A null text counts as empty (0
     tokens), ids may repeat or be null, an empty table gives an empty result, and other columns are ignored. A text
-    without a safe boundary is encoded whole. No row moves: each partition is mapped by itself.
+    without a safe boundary is encoded whole, and so are all texts where the file's rules aren't plain byte-level ones. No row moves: each partition is mapped by itself.
     """
     with open(tokenizer, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer's file: fixed, some MB
