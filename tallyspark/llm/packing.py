@@ -3,8 +3,8 @@
 Pieces are dealt to partitions at random; each partition packs its own best-fit decreasing and compares its bins
 with lower bounds from dual feasible functions. A partition that meets its bound is final: nobody can pack its
 pieces into fewer sequences, but for the one that it has begun last. A partition keeps its fullest bins and gives the
-pieces of that one, and of as many emptiest ones as a gap to its bound needs, to an exchange, where partitions are merged
-and packed again, until nothing moves or one group is left.
+pieces of that one, and of as many emptiest ones as a gap to its bound needs, to an exchange, where they are dealt to fewer
+tasks and packed again, until nothing moves, one group is left or a turn saves no sequence.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import balanced, table, written
+from tallyspark.llm.common import balanced, parts, table, written
 
 PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 PACKED = ", part long, bin long, fill long, offset long, bins long, bound long, moves boolean"
@@ -43,8 +43,8 @@ STOPPED = re.compile(r".*[a-z\u00df-\u00f6\u00f8-\u00ff][,.]", re.S).fullmatch
 def ids_of(data: bytes):
     """A function that gives the ids of texts as little-endian unsigned 32-bit bytes.
 
-    It holds for tokenizers that lower-case, drop white space and cut between letters, digits and the rest, as
-    word_bpe_49k.json does. Texts are cut at spaces and line feeds; a comma or stop after a Latin letter at a word's
+    Tokenizers that lower-case, drop white space, cut between letters, digits and the rest and mark ends of words, as
+    word_bpe_49k.json does, get texts in words, any other gets them whole. Texts are cut at spaces and line feeds; a comma or stop after a Latin letter at a word's
     end is a token of its own, so that distinct words are few, and each of them is encoded once. A Python worker
     keeps what it has encoded for the tasks that follow.
     """
@@ -54,8 +54,12 @@ def ids_of(data: bytes):
     t = Tokenizer.from_str(data.decode())
     t.no_truncation()
     t.no_padding()
+    rules = json.loads(data)
+    lowers = {"type": "Lowercase"} in ((rules["normalizer"] or {}).get("normalizers") or [])
+    if not lowers or rules["model"].get("end_of_word_suffix") != "</w>":
+        return lambda texts: [array("I", t.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
     # For words of lower-case letters alone, normalising and the pattern change nothing and may be left out.
-    rules = json.loads(data) | {"normalizer": None, "truncation": None, "padding": None, "added_tokens": []}
+    rules |= {"normalizer": None, "truncation": None, "padding": None, "added_tokens": []}
     rules["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}
     bare = Tokenizer.from_str(json.dumps(rules))
     (mark,) = t.encode(MARK, add_special_tokens=False).ids
@@ -101,15 +105,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ids_of(held.value)
-        for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                rows = []
-                for i, ids in enumerate(encode([x or "" for x in part.column(1).to_pylist()])):
-                    ids += last
-                    rows += [(i, k, at // 4, len(p := ids[at : at + 4 * size]) // 4, zlib.crc32(p)) for k, at in enumerate(range(0, len(ids), 4 * size))]
-                i, k, start, length, crc = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+        for part in parts(batches):
+            rows = []
+            for i, ids in enumerate(encode([x or "" for x in part.column(1).to_pylist()])):
+                ids += last
+                rows += [(i, k, at // 4, len(p := ids[at : at + 4 * size]) // 4, zlib.crc32(p)) for k, at in enumerate(range(0, len(ids), 4 * size))]
+            i, k, start, length, crc = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(id_col, text_col).mapInArrow(cut, PIECES.format(id=docs.schema[id_col].dataType.simpleString()))
 
@@ -177,29 +179,32 @@ def packed(size: int):
     return pack
 
 
-def best_fit_pack(items: DataFrame, size: int = 4096, per_group: int = 20_000, merge: int = 16) -> DataFrame:
+def best_fit_pack(items: DataFrame, size: int = 4096, per_group: int = 20_000) -> DataFrame:
     """Pack pieces (id, piece, start, length, ids_crc32) into sequences: adds sequence_id, offset, bins and bound.
 
     Every piece is in one sequence; a sequence's pieces stand gapless from offset 0 and sum to at most size. bins and
     bound are the counts of the partition that closed the sequence. About per_group pieces are packed by a task, dealt
-    by a hash of all their columns, so that equal ids can't gather; merge gap partitions are packed again together.
-    An empty table gives none. items are read twice; pass a written table.
+    by a hash of all their columns, so that equal ids can't gather. What moves is dealt anew to as many tasks as its own
+    number asks for, and packed again as long as that saves sequences. An empty table gives none. items are read twice;
+    pass a written table.
     """
     kind = items.schema["id"].dataType.simpleString()
     schema = PIECES.format(id=kind) + PACKED
     groups = max(1, -(-items.count() // per_group))
     dealt = items.withColumn("part", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(groups)))
-    done, turn = None, 0
+    done, turn, before = None, 0, None
+    numbered = lambda rows, turn: rows.withColumn("sequence_id", (F.lit(turn).cast("long") * (1 << 56)) + (F.col("part") * (1 << 24)) + F.col("bin"))
     while True:
         turned = written(dealt.groupBy("part").applyInPandas(packed(size), schema), "packed")
-        moves = turned.where("moves")
-        numbered = lambda rows, turn=turn: rows.withColumn("sequence_id", (F.lit(turn).cast("long") * (1 << 56)) + (F.col("part") * (1 << 24)) + F.col("bin"))
-        if groups == 1 or moves.isEmpty():
-            final = numbered(turned)
+        begun = F.col("offset") == 0  # one piece of each sequence
+        now = turned.agg(F.count_if(begun).alias("bins"), F.count_if(begun & F.col("moves")).alias("moving"), F.count_if("moves").alias("pieces")).first()
+        if groups == 1 or not now.pieces or before is not None and now.bins >= before:
+            final = numbered(turned, turn)
             return final if done is None else done.unionByName(final)
-        done = numbered(turned.where("not moves")) if done is None else done.unionByName(numbered(turned.where("not moves")))
-        groups, turn = -(-groups // merge), turn + 1
-        dealt = moves.select("id", "piece", "start", "length", "ids_crc32").withColumn("part", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32", F.lit(turn)), F.lit(groups)))
+        stay = numbered(turned.where("not moves"), turn)
+        done = stay if done is None else done.unionByName(stay)
+        groups, turn, before = -(-now.pieces // per_group), turn + 1, now.moving
+        dealt = turned.where("moves").select("id", "piece", "start", "length", "ids_crc32").withColumn("part", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32", F.lit(turn)), F.lit(groups)))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
