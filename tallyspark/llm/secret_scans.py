@@ -49,7 +49,7 @@ MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+]{2,12}://[^/\s:@]{1,64}:[^/\s:@]{1,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+]{2,12}://[^/\s:@]+:[^/\s:@]+@"),
 )
 #: A query is a set of alternatives, each a set of trigrams that must all be there; None: anything may match.
 Query = frozenset[frozenset[str]] | None
@@ -124,52 +124,54 @@ def exact(rule: Rule) -> str:
     return rule.pattern[:-1] + f"{{{rule.least},}}" if re.fullmatch(r"\[[^\]]+\]\+", rule.pattern) and rule.least else rule.pattern
 
 
-def candidates(text: str, queries: list[tuple[int, Query]], wanted: list[str]) -> int:
-    """Bits of the rules whose query the text's own postings satisfy."""
-    low = text.lower()
-    has = {t for t in wanted if t in low}
-    return sum(1 << k for k, q in queries if q is None or any(need <= has for need in q))
+def finder(rules: tuple[Rule, ...]):
+    """A function that gives the spans (start, place of the rule, end) of each of a block of texts, in order.
+
+    The block gets its part of the index, the postings of the rules' trigrams as bit sets over its texts. A rule's postings
+    are intersected and united as its query says, and its regular expression verifies the candidates on their whole texts.
+    """
+    queries = [trigrams(r.pattern) for r in rules]
+    wanted = sorted(set().union(*(need for q in queries if q for need in q)))
+    ready = [re.compile(exact(r)) for r in rules]
+
+    def find(texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        index = dict.fromkeys(wanted, 0)
+        for i, text in enumerate(texts):
+            low, bit = text.lower(), 1 << i
+            for t in wanted:
+                if t in low:
+                    index[t] |= bit
+        every = (1 << len(texts)) - 1
+        spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        for k, (q, rule) in enumerate(zip(queries, rules, strict=True)):
+            rows = every if q is None else 0
+            for need in q or ():
+                both = every
+                for t in need:
+                    both &= index[t]
+                rows |= both
+            while rows:
+                i = (rows & -rows).bit_length() - 1
+                rows &= rows - 1
+                spans[i] += [(m.start(), k, m.end()) for m in ready[k].finditer(texts[i]) if len(m[rule.group]) >= rule.least]
+        return [sorted(x) for x in spans]
+
+    return find
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of docs: id_col and spans, an array of (kind, place of the kind in rules, start, end) in code points.
 
-    Spans stand by start, then kind as listed. A block of documents (a part of an Arrow batch) carries its own part of the index:
-    the postings of the rules' trigrams over that block, as bit sets over its rows, which are intersected and
-    united for each rule; candidates are verified by the regular expression on the whole text. The index thus never
-    leaves the task that has the texts, and nothing is shuffled. A null text has no spans; ids may repeat or be null;
-    an empty table gives none; other columns are ignored.
+    Spans stand by start, then kind as listed. The index is made block by block (some MB of texts), in the task that has
+    the texts, and nothing is shuffled. A null text has no spans; ids may repeat or be null; an empty table gives none;
+    other columns are ignored.
     """
-    queries = [trigrams(r.pattern) for r in rules]
-    wanted = sorted(set().union(*(need for q in queries if q for need in q)))
-    sources = [(r, exact(r)) for r in rules]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [re.compile(p) for _, p in sources]
+        find = finder(rules)
         for batch in parts(batches):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            index = dict.fromkeys(wanted, 0)
-            for i, text in enumerate(texts):
-                low, bit = text.lower(), 1 << i
-                for t in wanted:
-                    if t in low:
-                        index[t] |= bit
-            every = (1 << len(texts)) - 1
-            spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-            for k, (q, (rule, _)) in enumerate(zip(queries, sources, strict=True)):
-                rows = every
-                if q is not None:
-                    rows = 0
-                    for need in q:
-                        both = every
-                        for t in need:
-                            both &= index[t]
-                        rows |= both
-                while rows:
-                    i = (rows & -rows).bit_length() - 1
-                    rows &= rows - 1
-                    spans[i] += [(m.start(), k, m.end()) for m in ready[k].finditer(texts[i]) if len(m[rule.group]) >= rule.least]
-            out = [[{"kind": rules[k].kind, "place": k, "start": a, "end": b} for a, k, b in sorted(x)] for x in spans]
+            spans = find([x or "" for x in batch.column(1).to_pylist()])
+            out = [[{"kind": rules[k].kind, "place": k, "start": a, "end": b} for a, k, b in x] for x in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("place", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])))], ["id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -177,29 +179,29 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by [kind], spans that overlap as one; n_chars, if there, follows. Rows all stay."""
+    """docs with every span replaced by [kind], spans that overlap as one; n_chars, if there, follows where a text changed.
+
+    Rows and all other columns stay as they are; a null or empty text stays, an empty table gives none. Of spans that begin
+    together the longest names the kind.
+    """
     columns, at = docs.columns, docs.columns.index(text_col)
-    queries = [trigrams(r.pattern) for r in rules]
-    wanted = sorted(set().union(*(need for q in queries if q for need in q)))
-    sources = [(r, exact(r)) for r in rules]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [re.compile(p) for _, p in sources]
+        find = finder(rules)
         for batch in parts(batches, at):
+            texts = batch.column(at).to_pylist()
             out = []
-            for text in batch.column(at).to_pylist():
-                bits = candidates(text, list(enumerate(queries)), wanted) if text else 0
-                spans = sorted((m.start(), -m.end(), r.kind) for k, (r, _) in enumerate(sources) if bits >> k & 1 for m in ready[k].finditer(text) if len(m[r.group]) >= r.least)
+            for text, spans in zip(texts, find([x or "" for x in texts]), strict=True):
                 kept, end = [], 0
-                for a, b, kind in spans:
+                for a, b, k in sorted((a, -b, k) for a, k, b in spans):
                     if a >= end:
-                        kept += [text[end:a], f"[{kind}]"]
+                        kept += [text[end:a], f"[{rules[k].kind}]"]
                     end = max(end, -b)
                 out.append("".join([*kept, text[end:]]) if spans else text)
             held = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
             if "n_chars" in columns:
                 k = columns.index("n_chars")
-                n = [old if new == was else len(new) for new, was, old in zip(out, batch.column(at).to_pylist(), batch.column(k).to_pylist(), strict=True)]
+                n = [old if new == was else len(new) for new, was, old in zip(out, texts, batch.column(k).to_pylist(), strict=True)]
                 held = held.set_column(k, batch.schema.field(k), pa.array(n, batch.schema.field(k).type))
             yield held
 

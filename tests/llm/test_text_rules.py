@@ -13,7 +13,7 @@ from tallyspark.llm import entry, html_text, quality_rules, secret_scans
 from tests.compare import connection, differences
 
 GOOD = " ".join(f"word{i} of" if i % 3 else f"other{i}" for i in range(80))
-TEXTS = [None, "", "  \n ", GOOD, "a b c " * 40, GOOD + "\n" + "\n".join(["same line here"] * 200), "# * $ " * 30 + GOOD[:200], "x" * 5000, "12 34 56 " * 3 + " ".join(str(i) for i in range(100)), "nul\x00 " * 3 + GOOD]
+TEXTS = [None, "", "  \n ", GOOD, "a b c " * 40, GOOD + "\n" + "\n".join(["same line here"] * 200), "# * $ " * 30 + GOOD[:200], "x" * 5000, "12 34 56 " * 3 + " ".join(str(i) for i in range(100)), "nul\x00 " * 3 + GOOD, "\n".join(f" - word{i} of{i}" for i in range(60)), "\n".join(f"Read more about it{i} ..." for i in range(60))]
 
 
 def brute(text):
@@ -34,7 +34,7 @@ def test_quality_counts(spark):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(t)
         assert not (r.base_failed and r.kept)
-    assert got[3].kept and not got[6].kept and not got[8].kept
+    assert got[3].kept and not got[6].kept and not got[8].kept and not got[len(TEXTS) - 2].kept and not got[len(TEXTS) - 1].kept
     assert quality_rules.quality(df.limit(0)).count() == 0
     assert sorted(r.doc_id or -1 for r in quality_rules.keep_good(df).collect()) == sorted(-1 if i is None else i for i, r in got.items() if r.kept)
 
@@ -79,6 +79,21 @@ def test_secrets(spark):
     clean = {r.doc_id: r.text for r in secret_scans.redacted(df).collect()}
     assert clean[0] is None and clean[len(texts) - 1] == "clean text" and "hunter2" not in clean[2]
     assert secret_scans.scan(df.limit(0)).count() == 0
+    assert secret_scans.redacted(df.limit(0)).count() == 0 and secret_scans.redacted(df).columns == df.columns
+
+
+def test_secrets_in_long_texts_and_repeated_ids(spark):
+    login = "postgres://" + "u" * 500 + ":" + "p" * 5000 + "@host"
+    long = "nothing here " * 200_000 + login + " token=abcdefgh1" + " and more" * 100_000
+    rows = [(None, long, 5), (1, long, 6), (1, long, 7), (1, None, None), (None, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(2)
+    got = [r.spans for r in secret_scans.digest(secret_scans.scan(df)).collect()]
+    a = long.index("postgres")
+    t = long.index("token")
+    assert sorted(got) == ["", "", *[f"url_login:{a}:{a + len(login) - 4},assign:{t}:{t + 15}"] * 3]
+    clean = secret_scans.redacted(df).collect()
+    want = long.replace(login[:-4], "[url_login]").replace("token=abcdefgh1", "[assign]")
+    assert sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in clean) == sorted([(0, want, len(want)), (1, want, len(want)), (1, want, len(want)), (1, "", 0), (0, "", 0)])
 
 
 def test_trigram_queries():

@@ -146,3 +146,31 @@ def test_exchange_closes_gaps(spark):
     used, least = out.select("sequence_id").distinct().count(), -(-sum(x[3] for x in rows) // 100)
     assert least <= used < alone and used <= least + 2
     assert out.count() == 3000
+
+
+def test_repacking_of_what_can_hardly_be_packed(spark):
+    """Lengths of a quarter to a half: most bins move, and groups follow what moves until a turn saves nothing."""
+    g = np.random.default_rng(5)
+    lengths = np.concatenate([g.integers(1025, 1366, 4000), g.integers(1366, 2048, 4000)])
+    items = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES.format(id="long"))
+    rows = packing.best_fit_pack(items, 4096, per_group=500).collect()
+    fill = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert sorted(r.id for r in rows) == list(range(len(lengths))) and max(fill.values()) <= 4096
+    assert len(fill) <= 1.03 * packing.best_fit(lengths, 4096)[2]
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["Some  words, and\nMore", "", "X" * 40]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r.doc_id: r.length for r in rows} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    rows = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    assert token_counts.token_counts(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
