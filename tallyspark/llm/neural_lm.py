@@ -1,11 +1,12 @@
 """Language-model scores: a log-bilinear model, trained in numpy with noise-contrastive estimation.
 
 The corpus is read once into blocks: distinct words, their training counts, and each document as word numbers. Word
-counts are summed over all blocks; the most frequent words are the model's vocabulary, and one symbol stands for all
-others, which share its probability by their counts. Each round, every block trains the model in one pass over all
-tokens of its own training documents, from the same start and with new AdaGrad sums, and the blocks' parameters are
-averaged by the tokens that they have seen; so more blocks make the average better, but no block's steps more. Probabilities are normalised
-over the whole vocabulary by batched matrix products, once for each distinct context of a block.
+counts are summed over all blocks. The most frequent words, as many as a multiple of the root of all tokens, are the model's
+vocabulary; one symbol stands for all others, which share its probability by their counts. A word's probability is its
+class's, given the two words before it, times its own within the class; classes are as many as the root of the vocabulary, of
+about equal weight, so both parts are normalised exactly by small matrix products. Each round, every block trains the model
+in one pass over all tokens of its own training documents, from the same start and with new AdaGrad sums, and the blocks'
+parameters are averaged by the tokens that they have seen; so more blocks make the average better, but no block's steps more.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyspark.llm.common import table, written
 
@@ -29,113 +31,199 @@ BLOCK = "block long, ids array<long>, lengths array<int>, held array<boolean>, r
 
 @dataclass(frozen=True)
 class Settings:
-    """Vocabulary (with the two symbols), dimensions, noise words of a step, most triples of a step, rounds, rate, about the most tokens of a step."""
+    """Words of the vocabulary to the root of all tokens, dimensions, noise classes of a step and noise words of a class in
+    it, most triples of a step, rounds, rate, about the most tokens of a step; sizes of blocks, and of slices of the model."""
 
-    vocabulary: int = 1024
+    spread: float = 2.0
     width: int = 16
     noise: int = 64
-    batch: int = 2048
+    inner: int = 16
+    batch: int = 4096
     rounds: int = 2
-    rate: float = 0.1
-    tokens_a_step: int = 8192
+    rate: float = 0.5
+    tokens_a_step: int = 4096
     block_chars: int = 8 << 20
+    slice: int = 1 << 16
     parts: int = 32
 
 
+@dataclass
+class Vocabulary:
+    """Words' numbers, and all numbers' shares of the training tokens; those of a class stand together, in order of weight."""
+
+    frequent: dict[bytes, int]
+    unigram: np.ndarray
+
+    @cached_property
+    def of_class(self) -> np.ndarray:
+        """The class of each number: OTHER and END have their own."""
+        v = len(self.unigram)
+        before = np.cumsum(self.unigram[2:]) - self.unigram[2:]
+        total = max(self.unigram[2:].sum(), 1e-300)
+        _, at = np.unique((before / total * ceil(v**0.5)).astype(np.int64), return_inverse=True)
+        return np.concatenate([[0, 1], at + 2]).astype(np.int32)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """The first number of each class, and one more."""
+        return np.searchsorted(self.of_class, np.arange(self.of_class[-1] + 2))
+
+    @cached_property
+    def by_class(self) -> np.ndarray:
+        return np.bincount(self.of_class, self.unigram)
+
+    @cached_property
+    def within(self) -> np.ndarray:
+        """Each number's share of its class."""
+        return self.unigram / self.by_class[self.of_class]
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        """within, summed up inside each class."""
+        total = np.cumsum(self.within)
+        return total - (total - self.within)[self.starts[:-1]][self.of_class]
+
+
+NAMES = ("r", "t", "b", "tc", "bc", "c1", "c2")
+
+
 @dataclass
 class Model:
-    """Words' context vectors r, target vectors t and biases b; c1 and c2 turn the last and the last but one word's vectors."""
+    """Words' context vectors r, target vectors t and biases b; classes' tc and bc; c1 and c2 turn the last and the last but
+    one word's vectors."""
 
     r: np.ndarray
     t: np.ndarray
     b: np.ndarray
+    tc: np.ndarray
+    bc: np.ndarray
     c1: np.ndarray
     c2: np.ndarray
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.t, self.b, self.c1, self.c2)]).astype(np.float64)
+        return np.concatenate([getattr(self, x).ravel() for x in NAMES]).astype(np.float32)
 
     @staticmethod
-    def of(flat: np.ndarray, v: int, d: int) -> Model:
-        r, t, b, c1, c2 = np.split(flat.astype(np.float32), np.cumsum([v * d, v * d, v, d * d]))
-        return Model(r.reshape(v, d), t.reshape(v, d), b, c1.reshape(d, d), c2.reshape(d, d))
+    def of(flat: np.ndarray, words: Vocabulary, d: int) -> Model:
+        v, c = len(words.unigram), len(words.by_class)
+        shapes = ((v, d), (v, d), (v,), (c, d), (c,), (d, d), (d, d))
+        cut = np.split(flat.astype(np.float32), np.cumsum([np.prod(x) for x in shapes[:-1]]))
+        return Model(*(x.reshape(n) for x, n in zip(cut, shapes, strict=True)))
 
     @staticmethod
-    def start(unigram: np.ndarray, d: int) -> Model:
+    def start(words: Vocabulary, d: int) -> Model:
         g = np.random.default_rng(7)
         small = lambda n: (0.05 * g.standard_normal((n, d))).astype(np.float32)
-        return Model(small(len(unigram)), small(len(unigram)), np.log(unigram).astype(np.float32), np.eye(d, dtype=np.float32), 0.5 * np.eye(d, dtype=np.float32))
+        v, c, log = len(words.unigram), len(words.by_class), lambda x: np.log(x).astype(np.float32)
+        return Model(small(v), small(v), log(words.within), small(c), log(words.by_class), np.eye(d, dtype=np.float32), 0.5 * np.eye(d, dtype=np.float32))
 
     def predicted(self, w2: np.ndarray, w1: np.ndarray) -> np.ndarray:
         return self.r[w1] @ self.c1 + self.r[w2] @ self.c2
 
-    def normaliser(self, q: np.ndarray) -> np.ndarray:
-        """Log of the sum over the vocabulary for each row of q."""
-        out = np.zeros(len(q))
-        for a in range(0, len(q), 4096):
-            s = q[a : a + 4096] @ self.t.T + self.b
-            top = s.max(axis=1)
-            out[a : a + 4096] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return out
-
-    def log_probability(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def log_probability(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, words: Vocabulary) -> np.ndarray:
         """Natural log of the normalised probability of each w after w2 w1."""
-        v = len(self.b)
-        pair = w2 * v + w1
-        there = np.zeros(v * v, bool)
-        there[pair] = True
-        context, number = np.flatnonzero(there), np.cumsum(there, dtype=np.int32) - 1
-        of = number[pair]
-        q = self.predicted(context // v, context % v)
-        z = self.normaliser(q)
+        context, of = np.unique(w2.astype(np.int64) * len(self.b) + w1, return_inverse=True)
+        q = self.predicted(context // len(self.b), context % len(self.b))
+        k = words.of_class[w]
+        of_class = np.zeros(len(q))
+        for a in range(0, len(q), 4096):
+            of_class[a : a + 4096] = log_sum(q[a : a + 4096] @ self.tc.T + self.bc)
         out = np.zeros(len(w))
         for a in range(0, len(w), 1 << 18):
-            part = slice(a, a + (1 << 18))
-            out[part] = np.einsum("ij,ij->i", q[of[part]], self.t[w[part]]) + self.b[w[part]] - z[of[part]]
+            x = slice(a, a + (1 << 18))
+            out[x] = np.einsum("ij,ij->i", q[of[x]], self.tc[k[x]]) + self.bc[k[x]] - of_class[of[x]]
+        order = np.argsort(k, kind="stable")
+        cuts = np.searchsorted(k[order], np.arange(len(words.by_class) + 1))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            first, after = words.starts[c : c + 2]
+            if after - first < 2:
+                continue
+            for a in range(cuts[c], cuts[c + 1], 1 << 14):
+                rows = order[a : min(a + (1 << 14), cuts[c + 1])]
+                s = q[of[rows]] @ self.t[first:after].T + self.b[first:after]
+                out[rows] += s[np.arange(len(rows)), w[rows] - first] - log_sum(s)
         return out
 
 
-def trained(model: Model, triples: np.ndarray, weights: np.ndarray, unigram: np.ndarray, how: Settings, seed: int) -> Model:
+def log_sum(s: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row."""
+    top = s.max(axis=1)
+    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sum of each one's grads."""
+    order = np.argsort(rows, kind="stable")
+    there = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
+    return there[first], np.add.reduceat(grads[order], first, axis=0)
+
+
+def trained(model: Model, triples: np.ndarray, weights: np.ndarray, words: Vocabulary, how: Settings, seed: int) -> Model:
     """Noise-contrastive estimation with AdaGrad: one pass over all triples (w2, w1, w as one number) in shuffled steps.
 
     Every triple is met with its whole weight, its count; one heavier than the mean is dealt to several steps in parts.
-    A step takes about as many parts as any other, at most how.batch of them and about how.tokens_a_step tokens.
+    A step takes about as many parts as any other, at most how.batch of them and about how.tokens_a_step tokens. A class is
+    told from noise classes, and a word from noise words of its class; of a large model, a step changes only what it meets.
     """
-    g, v = np.random.default_rng(seed), len(unigram)
-    m = Model(*(x.copy() for x in (model.r, model.t, model.b, model.c1, model.c2)))
-    sums = [np.full(x.shape, 1e-2, np.float32) for x in (m.r, m.t, m.b, m.c1, m.c2)]
-    of_noise, total = np.cumsum(unigram), int(weights.sum())
+    g, v = np.random.default_rng(seed), len(words.unigram)
+    m = Model(*(getattr(model, x).copy() for x in NAMES))
+    sums = {x: np.full(getattr(m, x).shape, 1e-2, np.float32) for x in NAMES}
+    total = int(weights.sum())
     pieces = -(-weights // -(-total // len(weights)))
     part, share = np.repeat(np.arange(len(triples)), pieces), np.repeat(weights / pieces, pieces).astype(np.float32)
     order = g.permutation(len(part))
     steps = max(-(-len(part) // how.batch), min(-(-total // how.tokens_a_step), len(part)))
-    shift = np.log(how.noise * unigram).astype(np.float32)
-
-    def scatter(rows: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(rows, grad[:, k], v) for k in range(grad.shape[1])], axis=1).astype(np.float32)
+    of_noise, shift_c = np.cumsum(words.by_class), np.log(how.noise * words.by_class).astype(np.float32)
+    shift_w, starts, many = np.log(how.inner * words.within).astype(np.float32), words.starts.tolist(), np.diff(words.starts) > 1
 
-    def sigmoid(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    def move(name: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        grad = grad * np.float32(steps / total)
+        sums[name][rows] += grad * grad
+        getattr(m, name)[rows] += how.rate * grad / np.sqrt(sums[name][rows])
 
     for step in np.array_split(order, steps):
-        drawn, weight = triples[part[step]], share[step]
+        drawn = triples[part[step]]
+        k = words.of_class[drawn % v]
+        by_class = np.argsort(k, kind="stable")
+        drawn, weight, k = drawn[by_class], share[step][by_class], k[by_class]
         w2, w1, w = drawn // (v * v), drawn // v % v, drawn % v
-        noise = np.searchsorted(of_noise, g.random(how.noise) * of_noise[-1], "right").clip(0, v - 1)
         q = m.predicted(w2, w1)
-        real = weight * (1 - sigmoid(np.einsum("ij,ij->i", q, m.t[w]) + m.b[w] - shift[w]))
-        false = -weight[:, None] * sigmoid(q @ m.t[noise].T + m.b[noise] - shift[noise])
-        to_q = real[:, None] * m.t[w] + false @ m.t[noise]
-        grads = (
-            scatter(w1, to_q @ m.c1.T) + scatter(w2, to_q @ m.c2.T),
-            scatter(w, real[:, None] * q) + scatter(noise, false.T @ q),
-            np.bincount(w, real, v).astype(np.float32) + np.bincount(noise, false.sum(axis=0), v).astype(np.float32),
-            m.r[w1].T @ to_q,
-            m.r[w2].T @ to_q,
-        )
-        for x, s, grad in zip((m.r, m.t, m.b, m.c1, m.c2), sums, grads, strict=True):
-            grad = grad * (steps / total)
-            s += grad * grad
-            x += how.rate * grad / np.sqrt(s)
+        noise = np.searchsorted(of_noise, g.random(how.noise) * of_noise[-1], "right").clip(0, len(of_noise) - 1)
+        real = weight * (1 - sigmoid(np.einsum("ij,ij->i", q, m.tc[k]) + m.bc[k] - shift_c[k]))
+        false = -weight[:, None] * sigmoid(q @ m.tc[noise].T + m.bc[noise] - shift_c[noise])
+        to_q = real[:, None] * m.tc[k] + false @ m.tc[noise]
+        classes = np.concatenate([k, noise]), np.concatenate([real, false.sum(axis=0)]), np.concatenate([real[:, None] * q, false.T @ q])
+        inner = np.where(many[k], weight, 0) * (1 - sigmoid(np.einsum("ij,ij->i", q, m.t[w]) + m.b[w] - shift_w[w]))
+        to_q += inner[:, None] * m.t[w]
+        rows, to_b, to_t = [w], [inner], [inner[:, None] * q]
+        cuts = np.searchsorted(k, np.arange(len(many) + 1)).tolist()
+        dice = g.random((len(many), how.inner))
+        for c in np.flatnonzero(np.diff(cuts) * many).tolist():
+            x, (first, after) = slice(cuts[c], cuts[c + 1]), starts[c : c + 2]
+            drawn_w = (first + np.searchsorted(words.sums[first:after], dice[c], "right")).clip(first, after - 1)
+            t = m.t[drawn_w]
+            false = -weight[x, None] * sigmoid(q[x] @ t.T + (m.b[drawn_w] - shift_w[drawn_w]))
+            to_q[x] += false @ t
+            rows.append(drawn_w)
+            to_b.append(false.sum(axis=0))
+            to_t.append(false.T @ q[x])
+        both = np.concatenate([w1, w2]), np.concatenate([to_q @ m.c1.T, to_q @ m.c2.T])
+        c1, c2 = m.r[w1].T @ to_q, m.r[w2].T @ to_q
+        at, grad = summed(classes[0], np.column_stack([classes[2], classes[1]]))
+        move("tc", grad[:, :-1], at)
+        move("bc", grad[:, -1], at)
+        at, grad = summed(np.concatenate(rows), np.column_stack([np.concatenate(to_t), np.concatenate(to_b)]))
+        move("t", grad[:, :-1], at)
+        move("b", grad[:, -1], at)
+        at, grad = summed(*both)
+        move("r", grad, at)
+        move("c1", c1)
+        move("c2", c2)
     return m
 
 
@@ -204,98 +292,108 @@ def sequences(lengths: np.ndarray, runs: np.ndarray, of: np.ndarray) -> tuple[np
 
 @dataclass
 class Corpus:
-    """What is gathered from the training documents: their totals and the model's vocabulary, and counts, which gives each
-    word of each block (block, place) its training count c; word is named once, in the first of these rows."""
+    """What is gathered from the training documents: their totals and the model's vocabulary with its training counts, and
+    counts, which gives each other word of each block (of, place) its training count c. others and kinds: tokens and
+    distinct words outside the vocabulary."""
 
     blocks: DataFrame
     counts: DataFrame
     tokens: int
     distinct: int
     documents: int
-    frequent: dict[bytes, int]
-    unigram: np.ndarray
+    words: Vocabulary
+    known: np.ndarray
+    others: int
+    kinds: int
 
 
 def gathered(docs: DataFrame, how: Settings, id_col: str, text_col: str, held_out) -> Corpus:
+    """Counts are summed by word after each task has summed its own. What comes back to the blocks are the counts of words
+    outside the vocabulary: each is rarer than the vocabulary's last word, so none of them fills a task by itself."""
     blocks = corpus_blocks(docs, how, id_col, text_col, held_out)
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("place", "x")).select("block", "place", F.col("x.words").alias("word"), F.col("x.train").alias("train"))
-    own = Window.partitionBy("word")
-    first = F.row_number().over(own.orderBy("block", "place")) == 1
-    counts = written(words.select("block", "place", F.sum("train").over(own).alias("c"), F.when(first, F.col("word")).alias("word")), "counts")
-    distinct = counts.where("word is not null and c > 0")
-    total = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
+    placed = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("place", "x")).select("block", "place", F.col("x.words").alias("word"), F.col("x.train").alias("train"))
+    totals = written(placed.where("train > 0").groupBy("word").agg(F.sum("train").alias("c")), "totals")
+    total = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("n")).first().n
-    top = distinct.orderBy(F.desc("c"), "word").limit(how.vocabulary - 2).collect()  # bounded by the vocabulary
-    unigram = np.ones(how.vocabulary)
-    unigram[END] += ends
-    unigram[OTHER] += total.tokens - sum(r.c for r in top)
-    unigram[2 : 2 + len(top)] += [r.c for r in top]
-    return Corpus(blocks, counts, total.tokens + ends, total.distinct + (ends > 0), ends, {bytes(r.word): k for k, r in enumerate(top, 2)}, unigram / unigram.sum())
+    size = ceil(how.spread * isqrt(total.tokens + ends))
+    top = totals.orderBy(F.desc("c"), "word").limit(size).collect()  # the vocabulary, a multiple of the root of all tokens
+    known = np.array([0, ends, *(r.c for r in top)], np.int64)
+    others = total.tokens - int(known[2:].sum())
+    unigram = known + 1.0
+    unigram[OTHER] += others
+    listed = docs.sparkSession.createDataFrame([(r.word,) for r in top], "word binary")
+    counts = placed.select("block", "place", "word").join(F.broadcast(listed), "word", "left_anti").join(totals, "word").select(F.col("block").alias("of"), "place", "c")
+    words = Vocabulary({bytes(r.word): k for k, r in enumerate(top, 2)}, unigram / unigram.sum())
+    return Corpus(blocks, counts, total.tokens + ends, total.distinct + (ends > 0), ends, words, known, others, total.distinct - len(top))
 
 
 def train(corpus: Corpus, how: Settings) -> Model:
-    """Rounds of training on every block and averaging. A task sends one set of parameters; they are summed in parts first."""
-    v, d = how.vocabulary, how.width
-    model = Model.start(corpus.unigram, d)
-    frequent, unigram = corpus.frequent, corpus.unigram
+    """Rounds of training on every block and averaging. Tasks send slices of their parameters, which are summed by slice, so
+    that the driver gets one model."""
+    spark, d = corpus.blocks.sparkSession, how.width
+    model, held = Model.start(corpus.words, d), spark.sparkContext.broadcast(corpus.words)
 
     for turn in range(how.rounds):
-        now = model.flat()
+        now = spark.sparkContext.broadcast(model.flat())
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            mine, total, seen = Model.of(now, v, d), np.zeros(len(now)), 0
+            words, total, seen = held.value, 0, 0
+            mine, v = Model.of(now.value, words, d), len(words.unigram)
             for batch in batches:
                 for row in range(len(batch)):
-                    _, lengths, held, runs, words = unpacked(batch, row)
-                    of = np.fromiter((frequent.get(w, OTHER) for w in words), np.int32, len(words))
+                    _, lengths, held_out, runs, said = unpacked(batch, row)
+                    of = np.fromiter((words.frequent.get(w, OTHER) for w in said), np.int32, len(said))
                     document, w2, w1, w, _ = sequences(lengths, runs, of)
-                    use = ~held[document]
+                    use = ~held_out[document]
                     if not use.any():
                         continue
                     triples, weights = np.unique((w2[use].astype(np.int64) * v + w1[use]) * v + w[use], return_counts=True)
                     n = int(weights.sum())
-                    total += n * trained(mine, triples, weights, unigram, how, turn * 7919 + batch.column(0)[row].as_py() % 100_003).flat()
+                    total = total + n * trained(mine, triples, weights, words, how, turn * 7919 + batch.column(0)[row].as_py() % 100_003).flat().astype(np.float64)
                     seen += n
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+            if seen:
+                cut = [(total[a : a + how.slice] / seen).astype(np.float32).tobytes() for a in range(0, len(total), how.slice)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cut)), pa.int32()), pa.array(np.full(len(cut), seen)), pa.array(cut, pa.binary())], ["at", "n", "mean"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, seen = 0, 0
+            total, seen = {}, {}
             for batch in batches:
-                for n, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    total, seen = total + np.frombuffer(sums), seen + n
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
-
-        rows = corpus.blocks.mapInArrow(learn, "n long, sums binary").repartition(how.parts).mapInArrow(add, "n long, sums binary").collect()  # at most how.parts rows
-        if seen := sum(r.n for r in rows):
-            model = Model.of(sum(np.frombuffer(r.sums) for r in rows) / seen, v, d)
+                for at, n, mean in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    total[at] = total.get(at, 0) + n * np.frombuffer(mean, np.float32).astype(np.float64)
+                    seen[at] = seen.get(at, 0) + n
+            out = [(total[at] / seen[at]).astype(np.float32).tobytes() for at in total]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(seen.values()), pa.int64()), pa.array(out, pa.binary())], ["at", "n", "mean"])
+
+        kinds = "at int, n long, mean binary"
+        rows = corpus.blocks.mapInArrow(learn, kinds).repartition(how.parts, "at").mapInArrow(add, kinds).collect()  # one model
+        if rows:
+            model = Model.of(np.concatenate([np.frombuffer(r.mean, np.float32) for r in sorted(rows, key=lambda r: r["at"])]), corpus.words, d)
     return model
 
 
 def score(corpus: Corpus, model: Model, how: Settings, id_col: str = "doc_id") -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    The counts of a block's words come back to it by its number; the words of one block are never more than its text.
+    The counts of a block's rarer words come back to it by its number; the words of one block are never more than its text.
     """
-    frequent, flat, v, d = corpus.frequent, model.flat(), how.vocabulary, how.width
-    n, distinct, ends = corpus.tokens, corpus.distinct, corpus.documents
-    others = round((corpus.unigram[OTHER] / corpus.unigram[END]) * (1 + ends)) - 1 if ends else 0
-    kinds = max(distinct - (ends > 0) - len(frequent), 0)
+    spark, d = corpus.blocks.sparkSession, how.width
+    n, distinct, ends, others, kinds = corpus.tokens, corpus.distinct, corpus.documents, corpus.others, corpus.kinds
+    held_words, flat, known = (spark.sparkContext.broadcast(x) for x in (corpus.words, model.flat(), corpus.known))
 
     def judge(block: pa.Table, counts: pa.Table) -> pa.Table:
-        m = Model.of(flat, v, d)
+        vocabulary = held_words.value
+        m = Model.of(flat.value, vocabulary, d)
         out = []
         for batch in block.to_batches():
             for row in range(len(batch)):
                 ids, lengths, held, runs, words = unpacked(batch, row)
-                of = np.fromiter((frequent.get(w, OTHER) for w in words), np.int32, len(words))
-                c = np.zeros(len(words) + 1, np.int64)
+                of = np.fromiter((vocabulary.frequent.get(w, OTHER) for w in words), np.int32, len(words))
+                c = np.append(known.value[of], ends)
                 c[counts.column("place").to_numpy()] = counts.column("c").to_numpy()
-                c[-1] = ends
                 document, w2, w1, w, place = sequences(lengths, runs, of)
                 mine = np.full(len(w), -1, np.int32)
                 mine[place >= 0] = runs
-                own = m.log_probability(w2, w1, w) / np.log(10)
+                own = m.log_probability(w2, w1, w, vocabulary) / np.log(10)
                 own += np.where(w == OTHER, np.log10((c + 1) / (others + kinds + 1))[mine], 0)
                 size = len(ids)
                 sums = lambda x, document=document, size=size: np.bincount(document, x, size)
@@ -305,8 +403,7 @@ def score(corpus: Corpus, model: Model, how: Settings, id_col: str = "doc_id") -
 
     result = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     kinds_of = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    counts = corpus.counts.select("block", "place", "c")
-    return corpus.blocks.drop("train").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(judge, kinds_of).withColumnRenamed("id", id_col)
+    return corpus.blocks.drop("train").groupBy("block").cogroup(corpus.counts.groupBy("of")).applyInArrow(judge, kinds_of).withColumnRenamed("id", id_col)
 
 
 def seventh(doc_id: int | None) -> bool:

@@ -98,7 +98,7 @@ def lm_docs():
 def test_scores(spark):
     rows = lm_docs()
     df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, block string").repartition(3)
-    how = neural_lm.Settings(vocabulary=32, block_chars=20_000, tokens_a_step=64, batch=256, rounds=3, rate=0.2)
+    how = neural_lm.Settings(spread=0.3, block_chars=20_000, tokens_a_step=64, batch=256, rounds=3, rate=0.2)
     got = neural_lm.lm_scores(df, how).collect()
     assert len(got) == len(rows)
     tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]
@@ -121,17 +121,55 @@ def test_training_meets_every_token(monkeypatch):
     weights = np.append(np.ones(3000, np.int64), 100_000)
     met, whole = set(), neural_lm.Model.predicted
     monkeypatch.setattr(neural_lm.Model, "predicted", lambda m, w2, w1: (met.update(zip(w2.tolist(), w1.tolist(), strict=True)), whole(m, w2, w1))[1])
-    unigram = np.full(v, 1 / v)
-    neural_lm.trained(neural_lm.Model.start(unigram, how.width), triples, weights, unigram, how, 1)
+    words = neural_lm.Vocabulary({}, np.full(v, 1 / v))
+    neural_lm.trained(neural_lm.Model.start(words, how.width), triples, weights, words, how, 1)
     assert met == {(t // v // v, t // v % v) for t in triples.tolist()}
 
 
 def test_probabilities_sum_to_one():
     g = np.random.default_rng(1)
-    m = neural_lm.Model(*(g.standard_normal(s).astype(np.float32) for s in ((20, 4), (20, 4), 20, (4, 4), (4, 4))))
-    w = np.arange(20, dtype=np.int32)
-    p = np.exp(m.log_probability(np.full(20, 3, np.int32), np.full(20, 7, np.int32), w))
+    words = neural_lm.Vocabulary({}, np.append([0.1, 0.2], 0.7 * 0.5 ** np.arange(1, 19) / (1 - 0.5**18)))
+    v, c = 20, len(words.by_class)
+    assert 4 < c < v and words.starts[-1] == v and np.allclose([words.sums[x - 1] for x in words.starts[1:]], 1)
+    m = neural_lm.Model(*(g.standard_normal(s).astype(np.float32) for s in ((v, 4), (v, 4), v, (c, 4), c, (4, 4), (4, 4))))
+    w = np.arange(v, dtype=np.int32)
+    p = np.exp(m.log_probability(np.full(v, 3, np.int32), np.full(v, 7, np.int32), w, words))
     assert abs(p.sum() - 1) < 1e-5
+    assert np.allclose(p, [brute_probability(m, words, 3, 7, k) for k in range(v)], rtol=1e-4)
+
+
+def brute_probability(m, words, w2, w1, w):
+    """One word after two others, in plain loops."""
+    d = m.r.shape[1]
+    q = [sum(float(m.r[w1, i]) * float(m.c1[i, j]) + float(m.r[w2, i]) * float(m.c2[i, j]) for i in range(d)) for j in range(d)]
+    weight = lambda t, b, k: math.exp(sum(x * float(y) for x, y in zip(q, t[k], strict=True)) + float(b[k]))
+    k = int(words.of_class[w])
+    mates = [x for x in range(len(words.unigram)) if words.of_class[x] == k]
+    return weight(m.tc, m.bc, k) / sum(weight(m.tc, m.bc, x) for x in range(len(words.by_class))) * weight(m.t, m.b, w) / sum(weight(m.t, m.b, x) for x in mates)
+
+
+def test_score_against_loops(spark):
+    rows = lm_docs()[:40] + lm_docs()[-6:]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    how = neural_lm.Settings(spread=0.5, block_chars=2_000, rounds=1)
+    corpus = neural_lm.gathered(df, how, "doc_id", "text", neural_lm.seventh)
+    model = neural_lm.train(corpus, how)
+    got = Counter((r.doc_id, round(r.score, 2)) for r in neural_lm.score(corpus, model, how).collect())
+    count = Counter(w for i, t in rows if not neural_lm.seventh(i) for w in (t or "").encode().lower().split())
+    tail = [n for w, n in count.items() if w not in corpus.words.frequent]
+    assert corpus.others == sum(tail) and corpus.kinds == len(tail) and len(corpus.words.frequent) < len(count)
+    want = Counter()
+    for i, t in rows:
+        w2 = w1 = neural_lm.END
+        total = 0.0
+        for word in [*(t or "").encode().lower().split(), None]:
+            w = neural_lm.END if word is None else corpus.words.frequent.get(word, neural_lm.OTHER)
+            total += math.log10(brute_probability(model, corpus.words, w2, w1, w))
+            if w == neural_lm.OTHER:
+                total += math.log10((count[word] + 1) / (sum(tail) + len(tail) + 1))
+            w2, w1 = w1, w
+        want[i, round(total, 2)] += 1
+    assert sum((got - want).values()) <= 2  # at most a rounding apart
 
 
 def test_no_training_text(spark):
