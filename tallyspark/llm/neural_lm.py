@@ -36,14 +36,14 @@ class Settings:
 
     spread: float = 2.0
     width: int = 16
-    noise: int = 64
-    inner: int = 16
+    noise: int = 32
+    inner: int = 8
     batch: int = 4096
-    rounds: int = 2
+    rounds: int = 1
     rate: float = 0.5
     tokens_a_step: int = 4096
     block_chars: int = 8 << 20
-    slice: int = 1 << 16
+    slice: int = 1 << 14
     parts: int = 32
 
 
@@ -79,9 +79,13 @@ class Vocabulary:
 
     @cached_property
     def sums(self) -> np.ndarray:
-        """within, summed up inside each class."""
-        total = np.cumsum(self.within)
-        return total - (total - self.within)[self.starts[:-1]][self.of_class]
+        """within, summed up over all numbers: it grows by one from class to class."""
+        return np.cumsum(self.within)
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """What sums is before each class."""
+        return np.append(0, self.sums)[self.starts[:-1]]
 
 
 NAMES = ("r", "t", "b", "tc", "bc", "c1", "c2")
@@ -179,7 +183,7 @@ def trained(model: Model, triples: np.ndarray, weights: np.ndarray, words: Vocab
     order = g.permutation(len(part))
     steps = max(-(-len(part) // how.batch), min(-(-total // how.tokens_a_step), len(part)))
     of_noise, shift_c = np.cumsum(words.by_class), np.log(how.noise * words.by_class).astype(np.float32)
-    shift_w, starts, many = np.log(how.inner * words.within).astype(np.float32), words.starts.tolist(), np.diff(words.starts) > 1
+    shift_w, many = np.log(how.inner * words.within).astype(np.float32), np.diff(words.starts) > 1
 
     def move(name: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         grad = grad * np.float32(steps / total)
@@ -201,17 +205,20 @@ def trained(model: Model, triples: np.ndarray, weights: np.ndarray, words: Vocab
         inner = np.where(many[k], weight, 0) * (1 - sigmoid(np.einsum("ij,ij->i", q, m.t[w]) + m.b[w] - shift_w[w]))
         to_q += inner[:, None] * m.t[w]
         rows, to_b, to_t = [w], [inner], [inner[:, None] * q]
-        cuts = np.searchsorted(k, np.arange(len(many) + 1)).tolist()
-        dice = g.random((len(many), how.inner))
-        for c in np.flatnonzero(np.diff(cuts) * many).tolist():
-            x, (first, after) = slice(cuts[c], cuts[c + 1]), starts[c : c + 2]
-            drawn_w = (first + np.searchsorted(words.sums[first:after], dice[c], "right")).clip(first, after - 1)
-            t = m.t[drawn_w]
-            false = -weight[x, None] * sigmoid(q[x] @ t.T + (m.b[drawn_w] - shift_w[drawn_w]))
-            to_q[x] += false @ t
-            rows.append(drawn_w)
-            to_b.append(false.sum(axis=0))
-            to_t.append(false.T @ q[x])
+        there, first, size = np.unique(k, return_index=True, return_counts=True)
+        there, first, size = (x[many[there]] for x in (there, first, size))
+        if len(there):  # a layer for each class, of as many rows as the largest one here
+            lane = np.arange(size.max())
+            mine = lane < size[:, None]
+            x = np.where(mine, first[:, None] + lane, 0)
+            dice = words.before[there][:, None] + g.random((len(there), how.inner))
+            picked = np.searchsorted(words.sums, dice, "right").clip(words.starts[there][:, None], words.starts[there + 1][:, None] - 1)
+            qx, t = q[x], m.t[picked]
+            false = np.where(mine, -weight[x], 0)[:, :, None] * sigmoid(qx @ t.transpose(0, 2, 1) + (m.b[picked] - shift_w[picked])[:, None, :])
+            to_q[x[mine]] += (false @ t)[mine]
+            rows.append(picked.ravel())
+            to_b.append(false.sum(axis=1).ravel())
+            to_t.append((false.transpose(0, 2, 1) @ qx).reshape(-1, qx.shape[2]))
         both = np.concatenate([w1, w2]), np.concatenate([to_q @ m.c1.T, to_q @ m.c2.T])
         c1, c2 = m.r[w1].T @ to_q, m.r[w2].T @ to_q
         at, grad = summed(classes[0], np.column_stack([classes[2], classes[1]]))

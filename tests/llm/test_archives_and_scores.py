@@ -130,7 +130,7 @@ def test_probabilities_sum_to_one():
     g = np.random.default_rng(1)
     words = neural_lm.Vocabulary({}, np.append([0.1, 0.2], 0.7 * 0.5 ** np.arange(1, 19) / (1 - 0.5**18)))
     v, c = 20, len(words.by_class)
-    assert 4 < c < v and words.starts[-1] == v and np.allclose([words.sums[x - 1] for x in words.starts[1:]], 1)
+    assert 4 < c < v and words.starts[-1] == v and np.allclose([words.sums[x - 1] for x in words.starts[1:]], np.arange(1, c + 1))
     m = neural_lm.Model(*(g.standard_normal(s).astype(np.float32) for s in ((v, 4), (v, 4), v, (c, 4), c, (4, 4), (4, 4))))
     w = np.arange(v, dtype=np.int32)
     p = np.exp(m.log_probability(np.full(v, 3, np.int32), np.full(v, 7, np.int32), w, words))
