@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,6 +125,16 @@ def length_prefixed(*parts: Column) -> Column:
     return F.sha2(F.concat(*framed), 256)
 
 
+def person_key(secret: bytes, period_size: str, period_start: Column, person: Column) -> Column:
+    """The sealed key of a person in a period, in hex: HMAC-SHA-256 under the secret over the period's size, its start
+    (RFC 3339 in UTC, whole seconds) and the person, with a zero byte between them."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in key))
+    start = F.date_format(period_start, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    said = F.encode(F.concat_ws("\0", F.lit(period_size), start, person), "UTF-8")
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), said), 256))), 256)
+
+
 def repos_match(a: Column, b: Column) -> Column:
     """Equal, or either isn't qualified."""
     blind = lambda r: F.coalesce(r, F.lit("")).isin("", "unqualified")

@@ -71,9 +71,29 @@ def day_digests(events: DataFrame, columns: list[str]) -> DataFrame:
 
     A digest over one global order would need one task; sums of hashes are merged in every partition.
     """
-    h = length_prefixed(*(F.col(c) for c in columns))
-    part = lambda k: F.sum(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string").alias(f"h{k}")
-    return events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), *(part(k) for k in range(4)))
+    return digests(events.withColumn("day", F.to_date("ts")), ["day"], columns)
+
+
+def digests(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """By groups, n and h0 to h3: any row that changes, comes or goes changes the sums.
+
+    A row's hash is made once, ahead of the sums; its parts have six bytes, so that a sum of 32,000 of them fits a long.
+    """
+    hashed = rows.select(*by, length_prefixed(*(F.col(c) for c in columns)).alias("h"))
+    parts = hashed.select(*by, *(F.conv(F.substring("h", 1 + 12 * k, 12), 16, 10).cast("long").alias(f"h{k}") for k in range(4)))
+    return parts.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(F.col(f"h{k}").cast("decimal(18,0)")).cast("string").alias(f"h{k}") for k in range(4)))
+
+
+def repair_spend(events: DataFrame, children: DataFrame) -> DataFrame:
+    """Events of a child's developer in its repository, with kind: pull-request where the event's pull request is the
+    child's, and issue where the event has none and the issue is the child's. children: developer, repo, pr_number, issue_id."""
+    at = ["developer", "repo"]
+    by_pull = children.where("pr_number is not null").select(*at, "pr_number").distinct()
+    by_issue = children.where("issue_id != ''").select(*at, "issue_id").distinct()
+    with_pull = events.where("pr_number is not null").join(by_pull, [*at, "pr_number"], "left_semi")
+    without = events.where("pr_number is null").join(by_issue, [*at, "issue_id"], "left_semi")
+    kind = lambda df, name: df.select("cost_micro", F.lit(name).alias("kind"))
+    return kind(with_pull, "pull-request").unionByName(kind(without, "issue"))
 
 
 def bootstrap_interval(rows: pd.DataFrame, rounds: int = 1000, seed: int = 11) -> pd.DataFrame:

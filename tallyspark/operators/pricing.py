@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import host_key, normal_model, size_class, to_micro
+from tallyspark.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -71,23 +72,36 @@ def call_cost(rate: str = "p") -> Column:
     return to_micro(F.when(r("combined"), total / million * r("input_per_m")).otherwise(split))
 
 
-def priced(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """P5: events with priced_micro, billing_mode, provider and guess (null, size-class or flat).
+def rates_of(names: DataFrame, prices: DataFrame) -> DataFrame:
+    """For distinct model and host: p, the rate that applies, and guess (null, size-class or flat).
 
     A rate for the model at its host comes first, then the model's own (never for a name with the host sign in it),
-    then its size class, then self-hosted-medium. The table of rates has a row per model and is broadcast.
+    then its size class, then self-hosted-medium.
     """
-    if prices.limit(100_001).count() > 100_000:
-        raise ValueError("a price table has a row per model; this one has over 100,000")
     rates = F.struct(*(f.name for f in fields(Rate)))
-    by = lambda key, name: F.broadcast(prices.select(F.col("key").alias(key), rates.alias(name)))
+    by = lambda key, name: prices.select(F.col("key").alias(key), rates.alias(name))
     norm = normal_model(F.col("model"))
-    cls = size_class(norm)
-    keyed = events.withColumns({"k_host": host_key(F.col("model"), F.col("host")), "k_model": F.when(~F.contains(norm, F.lit("@")), norm), "k_class": F.when(cls == "", F.lit("self-hosted-medium")).otherwise(cls)})
+    keyed = names.select("model", "host", norm.alias("norm"), host_key(F.col("model"), F.col("host")).alias("k_host"))
+    keyed = keyed.withColumn("cls", size_class(F.col("norm")))
+    keyed = keyed.withColumns({"k_model": F.when(~F.contains(F.col("norm"), F.lit("@")), F.col("norm")), "k_class": F.when(F.col("cls") == "", F.lit("self-hosted-medium")).otherwise(F.col("cls"))})
     found = keyed.join(by("k_host", "p_host"), "k_host", "left").join(by("k_model", "p_model"), "k_model", "left").join(by("k_class", "p_class"), "k_class", "left")
-    guess = F.when(F.col("p_host").isNull() & F.col("p_model").isNull(), F.when(cls == "", F.lit("flat")).otherwise(F.lit("size-class")))
-    out = found.withColumn("p", F.coalesce("p_host", "p_model", "p_class")).withColumns({"priced_micro": call_cost(), "guess": guess, "billing_mode": F.col("p.billing_mode"), "provider": F.when(guess.isNull(), F.col("p.provider"))})
-    return out.drop("k_host", "k_model", "k_class", "p_host", "p_model", "p_class", "p")
+    guess = F.when(F.col("p_host").isNull() & F.col("p_model").isNull(), F.when(F.col("cls") == "", F.lit("flat")).otherwise(F.lit("size-class")))
+    return found.select("model", "host", F.coalesce("p_host", "p_model", "p_class").alias("p"), guess.alias("guess"))
+
+
+def priced(events: DataFrame, prices: DataFrame, broadcast_names: int = 100_000) -> DataFrame:
+    """P5: events with priced_micro, billing_mode, provider and guess (null, size-class or flat).
+
+    Names are looked up once for each distinct model and host, so that no event is matched to patterns; what they
+    resolve to is broadcast if it has at most broadcast_names rows, and joined by name beyond that.
+    """
+    names = written(rates_of(events.select("model", "host").distinct(), prices), "rates")
+    few = names.limit(broadcast_names + 1).count() <= broadcast_names
+    named = names.select(F.col("model").alias("__model"), F.col("host").alias("__host"), "p", "guess")
+    same = F.col("model").eqNullSafe(F.col("__model")) & F.col("host").eqNullSafe(F.col("__host"))
+    found = events.join(F.broadcast(named) if few else named, same, "left")
+    out = found.withColumns({"priced_micro": call_cost(), "billing_mode": F.col("p.billing_mode"), "provider": F.when(F.col("guess").isNull(), F.col("p.provider"))})
+    return out.drop("__model", "__host", "p")
 
 
 def repriced(events: DataFrame, prices: DataFrame, from_version: int, new_version: int) -> DataFrame:

@@ -140,15 +140,13 @@ def _(spark, sf):
     return m.where((F.col("valid_from") < F.lit("2000-06-01").cast("timestamp_ntz")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.lit("2000-01-01").cast("timestamp_ntz")))).select("team", "developer").distinct()
 
 
-@query("J12_repair_spend", f""", ch AS (SELECT developer, pr_number, issue_id FROM outcomes WHERE id % 9 = 0), n AS (SELECT developer, issue_id FROM outcomes WHERE id % 9 = 1)
-SELECT CASE WHEN EXISTS (SELECT 1 FROM ch WHERE ch.developer = e.developer AND ch.pr_number = e.pr_number) THEN 'pull-request' ELSE 'issue' END AS kind, count(*) AS n, sum(cost_micro)::BIGINT AS cost_micro FROM token_events e
-WHERE EXISTS (SELECT 1 FROM ch WHERE ch.developer = e.developer AND ch.pr_number = e.pr_number) OR EXISTS (SELECT 1 FROM n WHERE n.developer = e.developer AND n.issue_id = e.issue_id) GROUP BY 1""")
+@query("J12_repair_spend", f""", ch AS (SELECT developer, repo, pr_number, issue_id FROM outcomes WHERE id % 9 < 2)
+SELECT CASE WHEN e.pr_number IS NOT NULL THEN 'pull-request' ELSE 'issue' END AS kind, count(*) AS n, sum(cost_micro)::BIGINT AS cost_micro FROM token_events e
+WHERE EXISTS (SELECT 1 FROM ch WHERE ch.developer = e.developer AND ch.repo = e.repo AND ch.pr_number = e.pr_number)
+OR e.pr_number IS NULL AND EXISTS (SELECT 1 FROM ch WHERE ch.developer = e.developer AND ch.repo = e.repo AND ch.issue_id <> '' AND ch.issue_id = e.issue_id) GROUP BY 1""")
 def _(spark, sf):
-    o, e = B.outcomes(spark, sf), B.token_events(spark, sf)
-    by_pr = o.where("id % 9 = 0").select("developer", "pr_number").distinct().withColumn("pr", F.lit(True))
-    by_issue = o.where("id % 9 = 1").select("developer", "issue_id").distinct().withColumn("iss", F.lit(True))
-    hit = e.join(by_pr, ["developer", "pr_number"], "left").join(by_issue, ["developer", "issue_id"], "left").where("pr or iss")
-    return hit.groupBy(F.when(F.col("pr"), F.lit("pull-request")).otherwise(F.lit("issue")).alias("kind")).agg(F.count("*").alias("n"), F.sum("cost_micro").alias("cost_micro"))
+    hit = ledgers.repair_spend(B.token_events(spark, sf), B.outcomes(spark, sf).where("id % 9 < 2"))
+    return hit.groupBy("kind").agg(F.count("*").alias("n"), F.sum("cost_micro").alias("cost_micro"))
 
 
 @query("J16_coverage", "SELECT developer, issue_id, bool_or(repo = 'unqualified') AS blind, count(DISTINCT repo) FILTER (repo <> 'unqualified') AS repos FROM outcomes GROUP BY 1, 2")
@@ -220,13 +218,14 @@ def _(spark, sf):
     return ledgers.delta_to_post(s.groupBy("developer", "period").agg(F.sum("paid_micro").alias("total")), s.where("paid_micro % 3 != 0").withColumn("amount", F.col("paid_micro")), ["developer", "period"])
 
 
-@query("P11_branch_issue", r"""SELECT branch, issue FROM (VALUES ('feat/123-add', 'issue-123'), ('OP-7_fix', 'OP-7'), ('fix/OP-0042/x', 'OP-0042'), ('main', NULL), ('2024-05-01-notes', NULL), ('feat/2024', NULL), ('feat/12345.x', 'issue-12345'), ('revert-12-x', NULL), ('a/b/9', NULL)) t(branch, issue)""")
+@query("P11_branch_issue", r"""SELECT branch, issue FROM (VALUES ('feat/123-add', 'issue-123'), ('OP-7_fix', 'OP-7'), ('fix/OP-0042/x', 'OP-0042'), ('main', NULL), ('2024-05-01-notes', NULL), ('feat/2024', NULL), ('feat/12345.x', 'issue-12345'), ('revert-12-x', NULL), ('a/b/9', NULL), ('release/12-x', NULL), ('dependabot/9', NULL)) t(branch, issue)""")
 def _(spark, sf):
-    b = spark.createDataFrame([("feat/123-add",), ("OP-7_fix",), ("fix/OP-0042/x",), ("main",), ("2024-05-01-notes",), ("feat/2024",), ("feat/12345.x",), ("revert-12-x",), ("a/b/9",)], "branch string")
+    b = spark.createDataFrame([("feat/123-add",), ("OP-7_fix",), ("fix/OP-0042/x",), ("main",), ("2024-05-01-notes",), ("feat/2024",), ("feat/12345.x",), ("revert-12-x",), ("a/b/9",), ("release/12-x",), ("dependabot/9",)], "branch string")
     return b.select("branch", T.issue_of_branch(F.col("branch")).alias("issue"))
 
 
-@query("P14_closed_issues")
+@query("P14_closed_issues", fr"""SELECT doc_id, list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: 'issue-' || x) AS issues FROM (
+SELECT doc_id, flatten(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '{T.DECLARED}', '', 'g'), '{T.CLOSING}', 1), lambda c: regexp_extract_all(c, '#([1-9][0-9]*)', 1))) AS l FROM documents)""")
 def _(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", T.closed_issues(F.col("text")).alias("issues"))
 

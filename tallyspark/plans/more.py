@@ -35,7 +35,7 @@ def _(spark, sf):
     return subjects(spark, sf).groupBy(T.issue_of_subject(F.col("subject")).alias("issue")).agg(F.count("*").alias("n"))
 
 
-@query("P34_subject_pull", "SELECT CASE WHEN o_orderkey % 6 = 1 THEN 44 END AS pull, count(*) AS n FROM orders GROUP BY 1")
+@query("P34_subject_pull", "SELECT CASE o_orderkey % 6 WHEN 1 THEN 44 WHEN 5 THEN 3 END AS pull, count(*) AS n FROM orders GROUP BY 1")
 def _(spark, sf):
     return subjects(spark, sf).groupBy(T.pull_of_subject(F.col("subject")).alias("pull")).agg(F.count("*").alias("n"))
 
@@ -225,9 +225,9 @@ def _(spark, sf):
     return labels.refolded(kept[0].unionByName(kept[1]).unionByName(kept[2]))
 
 
-@query("A28_team_levers", f"{E_SQL}, p AS (SELECT coalesce(team, '') AS label, x.developer, bool_or(cache_read > 0) AS reads, sum(cache_read) AS r, sum(input_tok + cache_read) AS t FROM e x LEFT {AT} WHERE price_version = 1 AND x.id % 3 = 0 GROUP BY 1, 2) SELECT label, count(*) FILTER (reads) AS carriers, count(*) FILTER (NOT reads) AS others, CASE WHEN count(*) FILTER (reads) >= 3 AND count(*) FILTER (NOT reads) >= 3 THEN sum(r)::DOUBLE / sum(t) END AS read_share FROM p GROUP BY 1")
+@query("A28_team_levers", f"{E_SQL}, p AS (SELECT coalesce(team, '') AS label, x.developer, bool_or(cache_read > 0) AS reads, sum(cache_read) AS r, sum(input_tok + cache_read) AS t FROM e x LEFT {AT} GROUP BY 1, 2) SELECT label, count(*) FILTER (reads) AS carriers, count(*) FILTER (NOT reads) AS others, CASE WHEN count(*) FILTER (reads) >= 3 AND count(*) FILTER (NOT reads) >= 3 THEN sum(r)::DOUBLE / sum(t) END AS read_share FROM p GROUP BY 1")
 def _(spark, sf):
-    return labels.levers(by_team(spark, sf).where("price_version = 1 and id % 3 = 0"))
+    return labels.levers(by_team(spark, sf))
 
 
 @query("A30_corrections", ", c AS (SELECT DISTINCT p.id FROM outcomes p JOIN outcomes c ON c.repo = p.repo AND c.head_branch_hash = p.head_branch_hash AND c.id <> p.id AND c.merged_at >= p.merged_at AND c.merged_at <= p.merged_at + INTERVAL 14 DAYS) SELECT repo, count(*) AS corrected FROM c JOIN outcomes USING (id) GROUP BY 1")

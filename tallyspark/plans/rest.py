@@ -11,7 +11,7 @@ from tallyspark.functions import scalars as S
 from tallyspark.operators import labels, ledgers, pricing, recovery, scores
 from tallyspark.plans.attribution import CLAIMS
 from tallyspark.plans.basics import E_SQL, EO_SQL, MID, NORMAL, NOW, PRICED, SINCE, UNATTRIBUTED, UNTIL, _half_sql, _halves, _label_sql, events, scored, work, SCORE_SQL
-from tallyspark.plans.more import by_team
+from tallyspark.plans.more import AT, by_team
 from tallyspark.plans.registry import query
 from tallyspark.plans.windows import session_lines
 from tallyspark.sources import bridge as B
@@ -236,10 +236,12 @@ def relations(spark, sf):
     return B.table(spark, sf, "orders").where(k % 10 == 3).select(k.alias("child"), (k - c % 5 - 1).alias("parent"), state.alias("state"))
 
 
-@query("A36_repair_spend", f", r AS ({RELATIONS}), k AS (SELECT DISTINCT o.developer, o.pr_number FROM r JOIN outcomes o ON o.id = r.child WHERE state IN ('declared', 'confirmed')) SELECT count(*) AS n, sum(cost_micro)::BIGINT AS cost_micro FROM token_events SEMI JOIN k USING (developer, pr_number)")
+@query("A36_repair_spend", f""", r AS ({RELATIONS}), k AS (SELECT o.developer, o.repo, o.pr_number, o.issue_id FROM r JOIN outcomes o ON o.id = r.child WHERE state NOT IN ('removed', 'unrelated', 'withdrawn'))
+SELECT count(*) AS n, sum(cost_micro)::BIGINT AS cost_micro FROM token_events e WHERE EXISTS (SELECT 1 FROM k WHERE k.developer = e.developer AND k.repo = e.repo AND k.pr_number = e.pr_number)
+OR e.pr_number IS NULL AND EXISTS (SELECT 1 FROM k WHERE k.developer = e.developer AND k.repo = e.repo AND k.issue_id <> '' AND k.issue_id = e.issue_id)""")
 def _(spark, sf):
-    kids = relations(spark, sf).where("state in ('declared', 'confirmed')").select(F.col("child").alias("id")).distinct().join(B.outcomes(spark, sf), "id").select("developer", "pr_number")
-    return B.token_events(spark, sf).join(kids, ["developer", "pr_number"], "left_semi").agg(F.count("*").alias("n"), F.sum("cost_micro").alias("cost_micro"))
+    kids = relations(spark, sf).where("state not in ('removed', 'unrelated', 'withdrawn')").select(F.col("child").alias("id")).distinct().join(B.outcomes(spark, sf), "id")
+    return ledgers.repair_spend(B.token_events(spark, sf), kids).agg(F.count("*").alias("n"), F.sum("cost_micro").alias("cost_micro"))
 
 
 @query("A42_correction_states", f", r AS ({RELATIONS}) SELECT state, o.id IS NOT NULL AS parent_known, count(*) AS n FROM r LEFT JOIN outcomes o ON o.id = r.parent GROUP BY 1, 2")
@@ -359,10 +361,13 @@ def _framed(*columns: str) -> str:
     return "sha256(" + " || ".join(f"unhex(lpad(hex(octet_length(encode({c}::VARCHAR))), 16, '0')) || encode({c}::VARCHAR)" for c in columns) + ")"
 
 
-@query("X7_relation_digests", f", r AS ({RELATIONS}), h AS (SELECT state, {_framed('child', 'parent', 'state')} AS h FROM r) SELECT state, count(*) AS n, min(h) AS lowest, max(h) AS highest FROM h GROUP BY 1")
+def _parts(h: str) -> str:
+    return ", ".join(f"sum(('0x' || {h}[{1 + 12 * k}:{12 * k + 12}])::BIGINT)::VARCHAR AS h{k}" for k in range(4))
+
+
+@query("X7_relation_digests", f", r AS ({RELATIONS}), h AS (SELECT state, {_framed('child', 'parent', 'state')} AS h FROM r) SELECT state, count(*) AS n, {_parts('h')} FROM h GROUP BY 1")
 def _(spark, sf):
-    h = S.length_prefixed(F.col("child"), F.col("parent"), F.col("state"))
-    return relations(spark, sf).withColumn("h", h).groupBy("state").agg(F.count("*").alias("n"), F.min("h").alias("lowest"), F.max("h").alias("highest"))
+    return ledgers.digests(relations(spark, sf), ["state"], ["child", "parent", "state"])
 
 
 @query("X8_price_hash", "SELECT sha256('a=1;b=2') AS hash")
@@ -372,19 +377,25 @@ def _(spark, sf):
     return rows.agg(F.sha2(F.array_join(line, ";"), 256).alias("hash"))
 
 
-@query("X13_sealed_keys", "SELECT sha256(unhex('736563726574') || encode('1999-01' || chr(0) || developer)) AS key, count(*) AS n FROM token_events GROUP BY 1")
+SECRET = bytes(range(32))
+OUTER, INNER = (bytes(b ^ x for b in SECRET.ljust(64, b"\0")).hex() for x in (0x5C, 0x36))
+
+
+@query("X13_sealed_keys", f"SELECT sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode('month' || chr(0) || strftime(date_trunc('month', ts), '%Y-%m-%dT%H:%M:%SZ') || chr(0) || developer)))) AS key, count(*) AS n FROM token_events GROUP BY 1")
 def _(spark, sf):
-    key = F.sha2(F.concat(F.lit(b"secret"), F.encode(F.concat(F.lit("1999-01"), F.lit("\0"), F.col("developer")), "UTF-8")), 256)
-    return B.token_events(spark, sf).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    e = B.token_events(spark, sf).groupBy(F.date_trunc("month", "ts").alias("month"), "developer").agg(F.count("*").alias("n"))
+    return e.groupBy(S.person_key(SECRET, "month", F.col("month"), F.col("developer")).alias("key")).agg(F.sum("n").alias("n"))
 
 
-@query("X14_refold_check", f"{E_SQL} SELECT label, NULL::BIGINT AS was FROM (SELECT '' AS label) WHERE false")
+@query("X14_refold_check", f"{E_SQL}, b AS (SELECT label, sum(cost_micro)::BIGINT + 1 AS was FROM (SELECT coalesce(team, '') AS label, cost_micro FROM e x LEFT {AT}) GROUP BY 1) SELECT label, was FROM b WHERE label = (SELECT min(label) FROM b)")
 def _(spark, sf):
+    """The stored fold of the first label is changed by one; it alone must not stand the check."""
     rows = by_team(spark, sf)
     years = [labels.prefolded(rows.where(F.year("ts") == y)) for y in (1997, 1998, 1999)]
     again = labels.refolded(years[0].unionByName(years[1]).unionByName(years[2]))
     body = rows.groupBy("label").agg(F.sum("cost_micro").alias("cost_micro"), F.countDistinct("developer").cast("int").alias("people"))
-    return labels.verified(body, again, ["label"], ["cost_micro", "people"]).select("label", F.col("stored.cost_micro").alias("was"))
+    changed = body.join(body.agg(F.min("label").alias("first"))).withColumn("cost_micro", F.col("cost_micro") + (F.col("label") == F.col("first")).cast("long"))
+    return labels.verified(changed, again, ["label"], ["cost_micro", "people"]).select("label", F.col("stored.cost_micro").alias("was"))
 
 
 @query("X16_policy_rubric", "SELECT work_type, sum(CASE WHEN merged_at >= TIMESTAMP '1999-01-01' THEN points20 ELSE (weight * 20)::BIGINT END)::BIGINT AS points20 FROM outcomes GROUP BY 1")
@@ -418,9 +429,9 @@ def _(spark, sf):
     return d.withColumn("grace", F.when(F.col("days") < 14, F.lit("early")).otherwise(F.lit("graced")))
 
 
-@query("X22_legacy_digests", "SELECT ts::DATE AS day, count(*) AS n, min(sha256(id || '|' || developer)) AS lowest FROM outcomes GROUP BY 1")
+@query("X22_legacy_digests", f"SELECT ts::DATE AS day, count(*) AS n, {_parts('h')} FROM (SELECT ts, {_framed('id', 'developer')} AS h FROM outcomes) GROUP BY 1")
 def _(spark, sf):
-    return B.outcomes(spark, sf).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.min(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "developer"), 256)).alias("lowest"))
+    return ledgers.day_digests(B.outcomes(spark, sf), ["id", "developer"])
 
 
 @query("S19_payloads", "SELECT o_orderkey AS id, 'body ' || o_orderkey AS body FROM orders")

@@ -100,3 +100,50 @@ def test_corrects():
     assert T._corrects("```\nCorrects: #1\n```")["state"] == "missing"
     assert T._corrects("Corrects: none")["state"] == "none"
     assert T._corrects("Corrects: one")["state"] == "invalid"
+    assert T._corrects("Corrects: #1, #2\n- **Corrects:** #2, #1, #1") == {"state": "parents", "parents": [1, 2]}
+    assert T._corrects("Corrects: #1\nCorrects: #2")["state"] == "invalid"
+    assert T._corrects("Corrects: NONE")["state"] == "invalid"
+    assert T._corrects("Corrects\uff1a #12345678901")["parents"] == [12345678901]
+
+
+def test_tracker_keys(spark):
+    keys = ("OP", "PROJ2")
+    assert one(spark, T.issue_of_branch(F.col("b"), keys), b=("feat/PROJ2-7-x", "string")) == "PROJ2-7"
+    assert one(spark, T.issue_of_branch(F.col("b")), b=("feat/PROJ2-7-x", "string")) is None
+    assert one(spark, T.issue_of_body(F.col("b"), keys), b=("see PROJ2-7", "string")) == "PROJ2-7"
+    assert one(spark, T.issue_of_body(F.col("b")), b=("text\nIssue: #7\nrefs #42", "string")) == "issue-7"
+    assert one(spark, T.issue_of_branch(F.col("b")), b=("release/12-x", "string")) is None
+
+
+def test_person_key(spark):
+    """A fixed vector, and the standard library's HMAC."""
+    import hashlib
+    import hmac
+
+    secret, july = bytes(range(32)), dt.datetime(2026, 7, 1)
+    key = lambda secret, size, at, who: one(spark, S.person_key(secret, size, F.col("at"), F.col("who")), at=(at, "timestamp_ntz"), who=(who, "string"))
+    assert key(secret, "month", july, "alice") == "ee5c714da47f3b1dc85cb88af121df55bca60284457b2a94943c7c70e9b4d779"
+    for k, size, at, who in ((secret, "quarter", july, "alice"), (secret, "month", dt.datetime(2026, 8, 1), "alice"), (b"x" * 100, "month", july, "alice-gh")):
+        said = f"{size}\0{at:%Y-%m-%dT%H:%M:%SZ}\0{who}".encode()
+        assert key(k, size, at, who) == hmac.new(k, said, hashlib.sha256).hexdigest()
+
+
+@pytest.mark.parametrize(("body", "issues"), [("closes #42", ["issue-42"]), ("fixes #1 #2", ["issue-1", "issue-2"]), ("fixes #12abc", []), ("closes #12, #15abc", ["issue-12"]), ("fixes:#12, #15 and #18", ["issue-12", "issue-15", "issue-18"]), ("fixed #12abc; closes #42", ["issue-42"]), ("fix #1&#2", ["issue-1"]), ("Corrects: #7, fixes #99\nresolves #3", ["issue-3"]), (None, [])])
+def test_closed_issues(spark, body, issues):
+    assert one(spark, T.closed_issues(F.col("b")), b=(body, "string")) == issues
+
+
+@pytest.mark.parametrize(("subject", "pull"), [("Tidy (#44)", 44), ("#7 first", 7), ("see #9.", 9), ("x#9", None), ("Fix #3 (#4)", None), ("a #12b", None)])
+def test_pull_of_subject(spark, subject, pull):
+    assert one(spark, T.pull_of_subject(F.col("s")), s=(subject, "string")) == pull
+
+
+@pytest.mark.parametrize(("paths", "all_of_them"), [(["vendor/a.go", "x/go.sum"], True), (["a/vendor/b.go", "c.gen.go", "x/poetry.lock"], True), (["dist/app.js"], False), (["build/x"], False), (["myvendor/a.go"], False), (["x.lock"], False), ([], False)])
+def test_generated(spark, paths, all_of_them):
+    assert one(spark, T.all_generated(F.col("p")), p=(paths, "array<string>")) == all_of_them
+
+
+def test_repair_spend(spark):
+    e = spark.createDataFrame([("a", "r", 1, "i1", 10), ("a", "s", 1, "i1", 20), ("a", "r", 2, "i1", 40), ("a", "r", None, "i1", 80), ("b", "r", 1, "i1", 160), ("a", "r", None, "", 320)], "developer string, repo string, pr_number int, issue_id string, cost_micro long")
+    kids = spark.createDataFrame([("a", "r", 1, "i1"), ("a", "r", 1, "i1"), ("a", "r", None, "")], "developer string, repo string, pr_number int, issue_id string")
+    assert sorted(map(tuple, ledgers.repair_spend(e, kids).collect())) == [(10, "pull-request"), (80, "issue")]
