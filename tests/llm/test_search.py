@@ -65,3 +65,21 @@ def test_repeated_rows(spark, tmp_path, block):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(t.OP3_SQL).fetchall())
+
+
+def test_tiles_that_cannot_win_are_not_walked():
+    """Few long vectors ahead of many short ones: all tiles but the first are left out, and nothing is lost."""
+    g = np.random.default_rng(3)
+    x = np.floor(g.standard_normal((4000, 8)) * 20)
+    x[:100] *= 40
+    x = g.permutation(x)
+    ids = np.arange(4000) * 3
+    queries = np.floor(g.standard_normal((30, 8)) * 20)
+    own, got, scores, walked = t.search_block(x, ids, queries, list(range(-30, 0)), 5, 500)
+    want = []
+    for k, q in zip(range(-30, 0), queries, strict=True):
+        s = (x @ q).astype(int)
+        first = np.lexsort((ids, -s))[:5]
+        want += [(k, int(ids[i]), int(s[i])) for i in first]
+    assert list(zip(own.tolist(), got.tolist(), scores.tolist(), strict=True)) == want
+    assert walked <= 30 * 2
