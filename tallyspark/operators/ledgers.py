@@ -61,6 +61,17 @@ def page(df: DataFrame, limit: int, after: tuple | None = None, columns: tuple[s
     return top.withColumns({"place": F.row_number().over(w), "more": F.count("*").over(Window.partitionBy()) > limit}).where(F.col("place") <= limit).drop("place")
 
 
+def places(rows: DataFrame, ts: str, key: str) -> DataFrame:
+    """Every row with its day and its place, from 1, in the order of two columns: the place in its day, and the rows
+    of the days before, which are counted first. Only the table of days, a row a day, is in one order."""
+    dated = rows.withColumn("day", F.to_date(ts))
+    counts = dated.groupBy("day").agg(F.count("*").alias("n"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counts.select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    inside = dated.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(ts, key)))
+    return inside.join(earlier, "day").withColumn("place", (F.col("place") + F.col("earlier")).cast("long")).drop("earlier")
+
+
 def safe_cell(value: Column) -> Column:
     """K2: a CSV cell that no spreadsheet takes for a formula."""
     return F.when(value.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import micros
+from tallyspark.operators.ranges import within
 
 # Floors of quality.
 CLEAN, CORRECTED, CI_FAIL, CI_FAIL_CORRECTED, STRATEGIC, REVERTED = 1.0, 0.85, 0.7, 0.55, 0.8, 0.1
@@ -44,8 +44,8 @@ def evidence_share(outcomes: DataFrame, events: DataFrame) -> DataFrame:
 
 def reruns(events: DataFrame, minutes: int = 30) -> DataFrame:
     """T5: successes within so many minutes of a failed, earlier attempt of the same commit and workflow."""
-    f = events.where("event_type = 'ci_fail'").select("head_sha", "workflow_id", F.col("attempt").alias("failed_attempt"), F.col("event_ts").alias("failed_ts"))
-    ok = events.where("event_type = 'ci_pass'")
-    gap = micros("event_ts") - micros("failed_ts")
-    hit = ok.join(f, ["head_sha", "workflow_id"]).where((F.col("attempt") > F.col("failed_attempt")) & (gap >= 0) & (gap <= minutes * 60_000_000))
-    return hit.select("head_sha", "workflow_id", "attempt").distinct()
+    run = ["head_sha", "workflow_id"]
+    failed = events.where("event_type = 'ci_fail'").select(*run, "event_ts", F.col("attempt").alias("failed"))
+    ok = events.where("event_type = 'ci_pass'").select(*run, "event_ts", "attempt")
+    hit = within(ok, failed, run, "event_ts", minutes * 60_000_000, {"failed": "min"})
+    return hit.where("attempt > failed").select(*run, "attempt").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.functions.scalars import micros, unattributed
+from tallyspark.operators.ranges import within
 
 
 def branch_windows(outcomes: DataFrame, days: int = 7) -> DataFrame:
@@ -44,10 +45,32 @@ def receipt(events: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def commit_of_session(messages: DataFrame, commits: DataFrame, minutes: int = 30) -> DataFrame:
     """The first commit, in commit order, of a message's branch within so many minutes of it, both ends in."""
-    c = commits.select("branch", F.col("ts").alias("commit_ts"), "ord", "subject")
-    near = messages.join(c, "branch").where(F.abs(micros("ts") - micros("commit_ts")) <= minutes * 60_000_000)
-    rank = F.row_number().over(Window.partitionBy("message_id").orderBy("ord"))
-    return near.withColumn("rank", rank).where("rank = 1").drop("rank")
+    c = commits.select("branch", "ts", F.struct("ord", "subject").alias("first"))
+    near = within(messages, c, ["branch"], "ts", minutes * 60_000_000, {"first": "min"}, ahead=True)
+    return near.where("first is not null").select(*messages.columns, "first.*")
+
+
+def reverted_outcome(reverts: DataFrame, outcomes: DataFrame, key: list[str], days: int = 60) -> DataFrame:
+    """Each revert (key, ts) with how many outcomes of its key it may mean, of the last so many days, and the one
+    where it is only one. reverts may have sha, of the commit that its footer names: then the outcome merged by it is
+    meant, and a commit that no outcome has forbids guessing."""
+    named = "sha" in reverts.columns
+    o = outcomes.select(*key, "ts", F.lit(1).cast("long").alias("candidates"), F.col("id").alias("one"))
+    guess = within(reverts, o, key, "ts", days * 86_400_000_000, {"candidates": "sum", "one": "sum"})
+    guess = guess.withColumn("outcome_id", F.when(F.col("candidates") == 1, F.col("one"))).drop("one")
+    if not named:
+        return guess
+    by_sha = outcomes.where("merge_sha is not null").groupBy(F.col("merge_sha").alias("sha")).agg(F.min("id").alias("exact"))
+    told = guess.join(by_sha, "sha", "left")
+    return told.withColumns({"candidates": F.when(F.col("sha").isNull(), F.col("candidates")).otherwise(F.col("exact").isNotNull().cast("long")), "outcome_id": F.when(F.col("sha").isNull(), F.col("outcome_id")).otherwise(F.col("exact"))}).drop("exact")
+
+
+def followed(outcomes: DataFrame, days: int = 14) -> DataFrame:
+    """Outcomes whose branch has another one's merge at the same time or up to so many days later."""
+    o = outcomes.select("id", "repo", "head_branch_hash", (-micros("merged_at")).alias("before"))
+    o = o.withColumn("t", F.timestamp_micros("before"))
+    near = within(o, o.select("repo", "head_branch_hash", "t", F.col("id").alias("low"), F.col("id").alias("high")), ["repo", "head_branch_hash"], "t", days * 86_400_000_000, {"low": "min", "high": "max"})
+    return near.where("low != id or high != id").select("id", "repo").distinct()
 
 
 def counter_deltas(counters: DataFrame) -> DataFrame:

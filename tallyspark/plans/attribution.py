@@ -140,12 +140,24 @@ def _(spark, sf):
     return m.where((F.col("valid_from") < F.lit("2000-06-01").cast("timestamp_ntz")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.lit("2000-01-01").cast("timestamp_ntz")))).select("team", "developer").distinct()
 
 
-@query("J12_repair_spend", f""", ch AS (SELECT developer, repo, pr_number, issue_id FROM outcomes WHERE id % 9 < 2)
+RELATIONS = "SELECT child, parent, state FROM (SELECT o_orderkey AS child, greatest(o_orderkey - o_orderkey % 10, o_orderkey - o_custkey % 5 - 1) AS parent, CASE o_custkey % 4 WHEN 0 THEN 'declared' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'disputed' ELSE 'withdrawn' END AS state FROM orders) WHERE child <> parent"
+
+
+def relations(spark, sf):
+    """Corrects-links of all orders: each follows up one shortly before it, or is the first of its story."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    state = F.get(F.array(*map(F.lit, ("declared", "confirmed", "disputed", "withdrawn"))), (c % 4).cast("int"))
+    parent = F.greatest(k - k % 10, k - c % 5 - 1)
+    return B.table(spark, sf, "orders").select(k.alias("child"), parent.alias("parent"), state.alias("state")).where("child != parent")
+
+
+@query("J12_repair_spend", f""", r AS ({RELATIONS}), ch AS (SELECT developer, repo, pr_number, issue_id FROM outcomes WHERE id IN (SELECT child FROM r WHERE state <> 'withdrawn'))
 SELECT CASE WHEN e.pr_number IS NOT NULL THEN 'pull-request' ELSE 'issue' END AS kind, count(*) AS n, sum(cost_micro)::BIGINT AS cost_micro FROM token_events e
 WHERE EXISTS (SELECT 1 FROM ch WHERE ch.developer = e.developer AND ch.repo = e.repo AND ch.pr_number = e.pr_number)
 OR e.pr_number IS NULL AND EXISTS (SELECT 1 FROM ch WHERE ch.developer = e.developer AND ch.repo = e.repo AND ch.issue_id <> '' AND ch.issue_id = e.issue_id) GROUP BY 1""")
 def _(spark, sf):
-    hit = ledgers.repair_spend(B.token_events(spark, sf), B.outcomes(spark, sf).where("id % 9 < 2"))
+    live = relations(spark, sf).where("state != 'withdrawn'").select(F.col("child").alias("id"))
+    hit = ledgers.repair_spend(B.token_events(spark, sf), B.outcomes(spark, sf).join(live, "id", "left_semi"))
     return hit.groupBy("kind").agg(F.count("*").alias("n"), F.sum("cost_micro").alias("cost_micro"))
 
 
@@ -159,14 +171,13 @@ def work_all(spark, sf):
     return B.outcomes(spark, sf)
 
 
-@query("J17_revert_outcome", """, rv AS (SELECT event_id, 'issue-' || (user_id % 500) AS issue_id, 'acme/r' || (user_id % 5 + 1) AS repo, TIMESTAMP '1999-06-01' + to_days((event_id % 300)::INTEGER) AS ts FROM events WHERE event_type = 'error')
-SELECT event_id, count(id) AS candidates, CASE WHEN count(id) = 1 THEN min(id) END AS outcome_id FROM rv LEFT JOIN outcomes o ON o.issue_id = rv.issue_id AND o.repo = rv.repo AND o.ts <= rv.ts AND o.ts >= rv.ts - INTERVAL 60 DAYS GROUP BY 1""")
+@query("J17_revert_outcome", """, rv AS (SELECT event_id, 'issue-' || (user_id % 500) AS issue_id, 'acme/r' || (user_id % 5 + 1) AS repo, TIMESTAMP '1999-06-01' + to_days((event_id % 300)::INTEGER) AS ts, CASE WHEN event_id % 4 = 0 THEN sha256((event_id % 40000)::VARCHAR) END AS sha FROM events WHERE event_type = 'error')
+SELECT event_id, count(id) AS candidates, CASE WHEN count(id) = 1 THEN min(id) END AS outcome_id FROM rv LEFT JOIN outcomes o ON CASE WHEN sha IS NULL THEN o.issue_id = rv.issue_id AND o.repo = rv.repo AND o.ts <= rv.ts AND o.ts >= rv.ts - INTERVAL 60 DAYS ELSE o.merge_sha = sha END GROUP BY 1""")
 def _(spark, sf):
     u = F.col("user_id")
-    rv = B.table(spark, sf, "events").where("event_type = 'error'").select("event_id", F.concat(F.lit("issue-"), (u % 500).cast("string")).alias("issue_id"), F.concat(F.lit("acme/r"), (u % 5 + 1).cast("string")).alias("repo"), (F.lit("1999-06-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("event_id") % 300).cast("int"))).alias("at"))
-    hit = rv.join(B.outcomes(spark, sf).select("id", "issue_id", "repo", "ts"), ["issue_id", "repo"]).where((F.col("ts") <= F.col("at")) & (F.col("ts") >= F.col("at") - F.expr("INTERVAL 60 DAYS")))
-    n = hit.groupBy("event_id").agg(F.count("id").alias("candidates"), F.min("id").alias("outcome_id"))
-    return rv.select("event_id").join(n, "event_id", "left").select("event_id", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), F.when(F.col("candidates") == 1, F.col("outcome_id")).alias("outcome_id"))
+    sha = F.when(F.col("event_id") % 4 == 0, F.sha2((F.col("event_id") % 40_000).cast("string"), 256))
+    rv = B.table(spark, sf, "events").where("event_type = 'error'").select("event_id", F.concat(F.lit("issue-"), (u % 500).cast("string")).alias("issue_id"), F.concat(F.lit("acme/r"), (u % 5 + 1).cast("string")).alias("repo"), (F.lit("1999-06-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("event_id") % 300).cast("int"))).alias("ts"), sha.alias("sha"))
+    return recovery.reverted_outcome(rv, B.outcomes(spark, sf), ["issue_id", "repo"]).select("event_id", "candidates", "outcome_id")
 
 
 @query("J18_incompatible", """, c AS (SELECT DISTINCT developer, issue_id, repo AS cost_repo FROM token_events WHERE repo <> 'unqualified'), w AS (SELECT DISTINCT developer, issue_id, repo AS work_repo FROM outcomes WHERE repo <> 'unqualified')
@@ -177,12 +188,10 @@ def _(spark, sf):
     return c.join(w, ["developer", "issue_id"]).where("cost_repo != work_repo").groupBy("cost_repo", "work_repo").agg(F.count("*").alias("issues"))
 
 
-@query("G1_components", """, r AS (SELECT o_orderkey % 2000 AS child, o_orderkey % 2000 - o_custkey % 3 - 1 AS parent FROM orders WHERE o_orderkey % 2000 % 50 > 5 AND o_orderkey < 6000), l AS (SELECT DISTINCT child AS a, parent AS b FROM r UNION SELECT DISTINCT parent, child FROM r),
+@query("G1_components", f""", r AS ({RELATIONS}), l AS (SELECT DISTINCT child AS a, parent AS b FROM r UNION SELECT DISTINCT parent, child FROM r),
 t AS (WITH RECURSIVE x(a, b) AS (SELECT a, a FROM l UNION SELECT x.a, l.b FROM x JOIN l ON x.b = l.a) SELECT a AS id, min(b) AS root FROM x GROUP BY 1) SELECT * FROM t""")
 def _(spark, sf):
-    k = F.col("o_orderkey") % 2000
-    r = B.table(spark, sf, "orders").where((k % 50 > 5) & (F.col("o_orderkey") < 6000)).select(k.alias("a"), (k - F.col("o_custkey") % 3 - 1).alias("b"))
-    return graph.components(r)
+    return graph.components(relations(spark, sf).select(F.col("child").alias("a"), F.col("parent").alias("b")))
 
 
 @query("A39_doctor", f"""SELECT sum(cost_micro)::BIGINT AS total, sum(CASE WHEN NOT {UNATTRIBUTED} THEN cost_micro ELSE 0 END)::BIGINT AS attributed, sum(CASE WHEN issue_id = 'unattributed:main' THEN cost_micro ELSE 0 END)::BIGINT AS main, sum(CASE WHEN issue_id = 'unattributed:detached-head' THEN cost_micro ELSE 0 END)::BIGINT AS detached,

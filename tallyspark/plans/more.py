@@ -232,10 +232,7 @@ def _(spark, sf):
 
 @query("A30_corrections", ", c AS (SELECT DISTINCT p.id FROM outcomes p JOIN outcomes c ON c.repo = p.repo AND c.head_branch_hash = p.head_branch_hash AND c.id <> p.id AND c.merged_at >= p.merged_at AND c.merged_at <= p.merged_at + INTERVAL 14 DAYS) SELECT repo, count(*) AS corrected FROM c JOIN outcomes USING (id) GROUP BY 1")
 def _(spark, sf):
-    o = B.outcomes(spark, sf).select("id", "repo", "head_branch_hash", "merged_at")
-    c = o.select("repo", "head_branch_hash", F.col("id").alias("child"), F.col("merged_at").alias("child_at"))
-    hit = o.join(c, ["repo", "head_branch_hash"]).where((F.col("child") != F.col("id")) & (F.col("child_at") >= F.col("merged_at")) & (F.col("child_at") <= F.col("merged_at") + F.expr("INTERVAL 14 DAYS")))
-    return hit.select("id", "repo").distinct().groupBy("repo").agg(F.count("*").alias("corrected"))
+    return recovery.followed(B.outcomes(spark, sf)).groupBy("repo").agg(F.count("*").alias("corrected"))
 
 
 @query("A33_scope_disclosure", f"{E_SQL} SELECT count(*) AS n, sum(cost_micro)::BIGINT AS cost_micro FROM e WHERE repo = 'unqualified'")
@@ -354,12 +351,12 @@ def _(spark, sf):
     return labels.verified(a, b, ["developer"], ["cost_micro"]).select("developer", F.col("stored.cost_micro").alias("was"), F.col("again.cost_micro").alias("is_now"))
 
 
-@query("X11_repair_repo", ", mp AS (SELECT session_id, min(repo) AS r, count(DISTINCT repo) AS n FROM token_events WHERE repo <> 'unqualified' GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 5 THEN 'conflict' WHEN n > 1 THEN 'ambiguous' ELSE 'repaired' END AS result, count(*) AS rows_ FROM token_events e LEFT JOIN mp USING (session_id) WHERE e.repo = 'unqualified' AND developer = 'dev-3' GROUP BY 1".replace("rows_", "n_rows"))
+@query("X11_repair_repo", ", mp AS (SELECT session_id, min(repo) AS r, count(DISTINCT repo) AS n FROM token_events WHERE repo <> 'unqualified' GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 5 THEN 'conflict' WHEN n > 1 THEN 'ambiguous' ELSE 'repaired' END AS result, count(*) AS rows_ FROM token_events e LEFT JOIN mp USING (session_id) WHERE e.repo = 'unqualified' GROUP BY 1".replace("rows_", "n_rows"))
 def _(spark, sf):
     e = B.token_events(spark, sf)
     known = e.where("repo != 'unqualified'").groupBy("session_id").agg(F.countDistinct("repo").alias("n"))
     result = F.when(F.col("n").isNull(), F.lit("unresolved")).when(F.col("n") > 5, F.lit("conflict")).when(F.col("n") > 1, F.lit("ambiguous")).otherwise(F.lit("repaired"))
-    return e.where("repo = 'unqualified' and developer = 'dev-3'").join(known, "session_id", "left").groupBy(result.alias("result")).agg(F.count("*").alias("n_rows"))
+    return e.where("repo = 'unqualified'").join(known, "session_id", "left").groupBy(result.alias("result")).agg(F.count("*").alias("n_rows"))
 
 
 @query("X12_erasure", "SELECT developer, count(*) AS n FROM token_events WHERE developer NOT IN ('dev-1', 'dev-2') GROUP BY 1")

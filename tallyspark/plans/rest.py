@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from tallyspark.functions import scalars as S
 from tallyspark.operators import labels, ledgers, pricing, recovery, scores
-from tallyspark.plans.attribution import CLAIMS
+from tallyspark.plans.attribution import CLAIMS, RELATIONS, relations
 from tallyspark.plans.basics import E_SQL, EO_SQL, MID, NORMAL, NOW, PRICED, SINCE, UNATTRIBUTED, UNTIL, _half_sql, _halves, _label_sql, events, scored, work, SCORE_SQL
 from tallyspark.plans.more import AT, by_team
 from tallyspark.plans.registry import query
@@ -227,15 +227,6 @@ def _(spark, sf):
     return a.alias("a").join(b.alias("b"), "label").select("label", F.col("a.cost_micro").alias("before_micro"), F.col("b.cost_micro").alias("after_micro"), (F.col("b.points20") - F.col("a.points20")).alias("change20"))
 
 
-RELATIONS = "SELECT o_orderkey AS child, o_orderkey - o_custkey % 5 - 1 AS parent, CASE o_custkey % 4 WHEN 0 THEN 'declared' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'disputed' ELSE 'withdrawn' END AS state FROM orders WHERE o_orderkey % 10 = 3"
-
-
-def relations(spark, sf):
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    state = F.get(F.array(*map(F.lit, ("declared", "confirmed", "disputed", "withdrawn"))), (c % 4).cast("int"))
-    return B.table(spark, sf, "orders").where(k % 10 == 3).select(k.alias("child"), (k - c % 5 - 1).alias("parent"), state.alias("state"))
-
-
 @query("A36_repair_spend", f""", r AS ({RELATIONS}), k AS (SELECT o.developer, o.repo, o.pr_number, o.issue_id FROM r JOIN outcomes o ON o.id = r.child WHERE state NOT IN ('removed', 'unrelated', 'withdrawn'))
 SELECT count(*) AS n, sum(cost_micro)::BIGINT AS cost_micro FROM token_events e WHERE EXISTS (SELECT 1 FROM k WHERE k.developer = e.developer AND k.repo = e.repo AND k.pr_number = e.pr_number)
 OR e.pr_number IS NULL AND EXISTS (SELECT 1 FROM k WHERE k.developer = e.developer AND k.repo = e.repo AND k.issue_id <> '' AND k.issue_id = e.issue_id)""")
@@ -285,12 +276,12 @@ def _(spark, sf):
 def _(spark, sf):
     big = work(spark, sf).where("weight = 8").select("issue_id").distinct()
     gaps = events(spark, sf).where(~S.unattributed(F.col("issue_id"))).join(big, "issue_id", "left_anti").groupBy("issue_id").agg(F.sum("cost_micro").alias("cost_micro"))
-    return gaps.withColumn("all_gaps", F.count("*").over(Window.partitionBy())).orderBy(F.desc("cost_micro"), "issue_id").limit(50)
+    return gaps.withColumn("all_gaps", gaps.agg(F.count("*")).scalar()).orderBy(F.desc("cost_micro"), "issue_id").limit(50)
 
 
-@query("O5_digest_order", "SELECT id, ts FROM outcomes ORDER BY ts, id LIMIT 200")
+@query("O5_digest_order", "SELECT id, ts, ts::DATE AS day, row_number() OVER (ORDER BY ts, id) AS place FROM outcomes")
 def _(spark, sf):
-    return B.outcomes(spark, sf).select("id", "ts").orderBy("ts", "id").limit(200)
+    return ledgers.places(B.outcomes(spark, sf).select("id", "ts"), "ts", "id")
 
 
 @query("U1_union_all", "SELECT developer, count(*) AS n FROM (SELECT developer FROM token_events UNION ALL SELECT developer FROM outcomes) GROUP BY 1")
@@ -454,7 +445,7 @@ def _(spark, sf):
 
     r = relations(spark, sf).where("parent > 0")
     part = graph.components(r.select(F.col("child").alias("a"), F.col("parent").alias("b")))
-    o = B.outcomes(spark, sf).join(part, "id")
+    o = B.outcomes(spark, sf).join(part, "id", "left").withColumn("root", F.coalesce("root", "id"))
     none = F.lit(None).cast("string")
     link = F.struct("parent", "state", none.alias("own"), none.alias("before"), none.alias("after"), none.alias("original"), F.lit(False).alias("pure"))
     links = r.groupBy(F.col("child").alias("id")).agg(F.array_sort(F.collect_list(link)).alias("links"))
