@@ -1,12 +1,10 @@
-"""Keyed state: merges by idempotency key, first writers, deltas against what is posted, pages, digests and intervals."""
+"""Keyed state: merges by idempotency key, first writers, deltas against what is posted, pages and digests."""
 
 from __future__ import annotations
 
 import functools
 import operator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,26 +103,3 @@ def repair_spend(events: DataFrame, children: DataFrame) -> DataFrame:
     without = events.where("pr_number is null").join(by_issue, [*at, "issue_id"], "left_semi")
     kind = lambda df, name: df.select("cost_micro", F.lit(name).alias("kind"))
     return kind(with_pull, "pull-request").unionByName(kind(without, "issue"))
-
-
-def bootstrap_interval(rows: pd.DataFrame, rounds: int = 1000, seed: int = 11) -> pd.DataFrame:
-    """X1 for one developer: percentile bounds of points per 1000 dollars over outcomes drawn again with their costs.
-
-    Cost that belongs to no outcome is the same in each draw. (0, 0) without a positive cost.
-    """
-    points, cost, fixed = rows["points"].to_numpy(), rows["cost"].to_numpy(), float(rows["fixed"].iloc[0])
-    n, lo, hi = len(points), 0.0, 0.0
-    if cost.sum() + fixed > 0:
-        drawn = np.random.default_rng(seed).integers(0, n, (rounds, n))
-        below = (cost[drawn].sum(axis=1) + fixed) / 1000
-        ratio = np.sort(points[drawn].sum(axis=1)[below > 0] / below[below > 0])
-        if m := len(ratio):
-            lo, hi = ratio[int(0.025 * m)], ratio[max(int(np.ceil(0.975 * m)) - 1, 0)]
-    return pd.DataFrame([(rows["developer"].iloc[0], n, lo, hi)], columns=["developer", "n", "lo", "hi"])
-
-
-def intervals(rows: DataFrame) -> DataFrame:
-    """Rows (developer, points, cost, fixed) to bounds, and their reciprocals for dollars per point, swapped."""
-    b = rows.groupBy("developer").applyInPandas(lambda rows: bootstrap_interval(rows), "developer string, n long, lo double, hi double")
-    ok = (F.col("lo") > 0) & (F.col("hi") > 0)
-    return b.withColumns({"cpp_lo": F.when(ok, 1000 / F.col("hi")).otherwise(0.0), "cpp_hi": F.when(ok, 1000 / F.col("lo")).otherwise(0.0)})

@@ -8,7 +8,7 @@ from tallyspark.functions.scalars import micros
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions import text as T
-from tallyspark.operators import graph, ledgers, quality, recovery, scores
+from tallyspark.operators import graph, intervals, ledgers, quality, recovery, scores
 from tallyspark.plans.basics import UNATTRIBUTED, events, work
 from tallyspark.plans.registry import query
 from tallyspark.sources import bridge as B
@@ -281,11 +281,4 @@ def _(spark, sf):
 
 @query("X1_intervals")
 def _(spark, sf):
-    o, e = work(spark, sf), events(spark, sf)
-    cost = scores.joined_cost(o.select("developer", "issue_id", "repo").distinct(), e)
-    per = o.groupBy("developer", "issue_id", "repo").agg(F.count("*").alias("k"))
-    rows = o.join(cost, ["developer", "issue_id", "repo"]).join(per, ["developer", "issue_id", "repo"]).select("developer", (F.col("points20") / 20).alias("points"), (F.col("cost_micro") / 1e6 / F.col("k")).alias("cost"))
-    total = scores.developer_cost(e).select("developer", (F.col("cost_micro") / 1e6).alias("total"))
-    linked = rows.groupBy("developer").agg(F.sum("cost").alias("linked"))
-    fixed = total.join(linked, "developer").select("developer", F.greatest(F.col("total") - F.col("linked"), F.lit(0.0)).alias("fixed"))
-    return ledgers.intervals(rows.join(fixed, "developer"))
+    return intervals.intervals(*intervals.interval_rows(work(spark, sf), events(spark, sf)))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.functions import scalars as S
-from tallyspark.operators import labels, ledgers, pricing, recovery, scores
+from tallyspark.operators import intervals, labels, ledgers, pricing, recovery, scores
 from tallyspark.plans.attribution import CLAIMS, RELATIONS, relations
-from tallyspark.plans.basics import E_SQL, EO_SQL, MID, NORMAL, NOW, PRICED, SINCE, UNATTRIBUTED, UNTIL, _half_sql, _halves, _label_sql, events, scored, work, SCORE_SQL
+from tallyspark.plans.basics import E_SQL, EO_SQL, MID, NORMAL, NOW, PRICED, SINCE, UNATTRIBUTED, UNTIL, _halves, _label_sql, events, scored, work, SCORE_SQL
 from tallyspark.plans.more import AT, by_team
 from tallyspark.plans.registry import query
 from tallyspark.plans.windows import session_lines
@@ -329,10 +329,15 @@ def _(spark, sf):
     return B.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("relation")).agg(F.max_by(act, F.struct("o_orderdate", "o_orderkey")).alias("state"), F.count("*").alias("steps"))
 
 
-@query("X2_interval_inputs", f"{EO_SQL}, n AS (SELECT developer, issue_id, repo, count(*) AS k, sum(points20)::BIGINT AS points20 FROM o GROUP BY 1, 2, 3), i AS (SELECT developer, issue_id, repo, sum(cost_micro)::BIGINT AS c FROM e GROUP BY 1, 2, 3) SELECT n.developer, n.issue_id, n.repo, any_value(k) AS k, any_value(points20) AS points20, coalesce(sum(c), 0)::DOUBLE / any_value(k) AS each_micro FROM n LEFT JOIN i ON i.developer = n.developer AND i.issue_id = n.issue_id AND (i.repo = n.repo OR i.repo = 'unqualified' OR n.repo = 'unqualified') GROUP BY 1, 2, 3")
+@query("X2_interval_inputs", f"""{EO_SQL}, r AS ({RELATIONS}), ox AS (SELECT *, id NOT IN (SELECT child FROM r WHERE state = 'confirmed') AS eligible FROM o), n AS (SELECT developer, issue_id, repo, count(*) AS k, count(*) FILTER (eligible) AS ok, sum(points20)::BIGINT AS points20, coalesce(sum(points20) FILTER (NOT eligible), 0)::BIGINT AS repair20 FROM ox GROUP BY 1, 2, 3),
+i AS (SELECT developer, issue_id, repo, sum(cost_micro)::BIGINT AS c FROM e GROUP BY 1, 2, 3), j AS (SELECT n.developer, n.issue_id, n.repo, any_value(k) AS k, any_value(ok) AS ok, any_value(points20) AS points20, any_value(repair20) AS repair20, coalesce(sum(c), 0)::BIGINT AS cost FROM n LEFT JOIN i ON i.developer = n.developer AND i.issue_id = n.issue_id AND (i.repo = n.repo OR i.repo = 'unqualified' OR n.repo = 'unqualified') GROUP BY 1, 2, 3),
+t AS (SELECT developer, sum(c)::BIGINT AS total FROM i GROUP BY 1), d AS (SELECT developer, sum(cost)::BIGINT AS linked, sum(cost * ok / k::DOUBLE) AS drawn, sum(repair20)::BIGINT AS fixed20, coalesce(any_value(total), 0) AS total FROM j LEFT JOIN t USING (developer) GROUP BY 1), s AS (SELECT *, CASE WHEN linked > total THEN total / linked::DOUBLE ELSE 1 END AS scale FROM d)
+SELECT developer, issue_id, repo, k, ok, points20, cost / k::DOUBLE * scale AS each_micro, round(greatest(total - linked, 0) + (linked - drawn) * scale, 2) AS fixed_micro, fixed20, total > 0 AND 2 * drawn >= greatest(total, linked) AS shown FROM j JOIN s USING (developer)""")
 def _(spark, sf):
-    n = work(spark, sf).groupBy("developer", "issue_id", "repo").agg(F.count("*").alias("k"), F.sum("points20").alias("points20"))
-    return scores.joined_cost(n, events(spark, sf)).select("developer", "issue_id", "repo", "k", "points20", (F.col("cost_micro") / F.col("k")).alias("each_micro"))
+    """Confirmed follow-ups are repair, which isn't drawn."""
+    repairs = relations(spark, sf).where("state = 'confirmed'").select(F.col("child").alias("id"), F.lit(False).alias("eligible"))
+    o = work(spark, sf).join(repairs, "id", "left").withColumn("eligible", F.coalesce("eligible", F.lit(True)))
+    return intervals.issue_shares(o, events(spark, sf)).withColumn("fixed_micro", F.round("fixed_micro", 2))
 
 
 @query("X4_reciprocal", "SELECT o_orderkey AS id, CASE WHEN lo > 0 AND hi > 0 THEN 1000 / hi ELSE 0 END AS cpp_lo, CASE WHEN lo > 0 AND hi > 0 THEN 1000 / lo ELSE 0 END AS cpp_hi FROM (SELECT o_orderkey, (o_orderkey % 5)::DOUBLE AS lo, o_orderkey % 5 + 2.5::DOUBLE AS hi FROM orders)")
@@ -342,10 +347,15 @@ def _(spark, sf):
     return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(ok, 1000 / hi).otherwise(0.0).alias("cpp_lo"), F.when(ok, 1000 / lo).otherwise(0.0).alias("cpp_hi"))
 
 
-@query("X5_significant", f", a AS ({_half_sql(SINCE, MID)}), b AS ({_half_sql(MID, UNTIL)}) SELECT developer, a.ratio * 1.2 < b.ratio * 0.8 OR b.ratio * 1.2 < a.ratio * 0.8 AS disjoint FROM a JOIN b USING (developer)")
+@query("X5_significant")
 def _(spark, sf):
-    c = scores.compared(*_halves(spark, sf), "developer").where("in_before and in_after")
-    return c.select("developer", ((F.col("before_ratio") * 1.2 < F.col("after_ratio") * 0.8) | (F.col("after_ratio") * 1.2 < F.col("before_ratio") * 0.8)).alias("disjoint"))
+    e, o = B.token_events(spark, sf), B.outcomes(spark, sf)
+    halves = []
+    for (since, until), score in zip(((SINCE, MID), (MID, UNTIL)), _halves(spark, sf)):
+        rows, fixed = intervals.interval_rows(scores.in_window(o, since, until), scores.in_window(e, since, until))
+        bounds = intervals.intervals(rows, fixed).join(fixed.select("developer", "shown"), "developer")
+        halves.append(score.select("developer", "ranked").join(bounds, "developer"))
+    return intervals.significant(*halves)
 
 
 def _framed(*columns: str) -> str:

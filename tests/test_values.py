@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,13 +87,6 @@ def test_components(spark):
     assert {r.id: r.root for r in graph.components(edges).collect()} == {i: 1 for i in range(1, 31)} | {50: 50, 51: 50}
 
 
-def test_bootstrap_bounds():
-    rows = pd.DataFrame({"developer": "d", "points": [3.0, 1.0, 5.0], "cost": [1.0, 2.0, 3.0], "fixed": 4.0})
-    r = ledgers.bootstrap_interval(rows).iloc[0]
-    assert 0 < r.lo < 900 < r.hi
-    assert tuple(ledgers.bootstrap_interval(rows.assign(cost=0.0, fixed=0.0)).iloc[0][["lo", "hi"]]) == (0, 0)
-
-
 def test_corrects():
     assert T._corrects("Corrects: #1, #22") == {"state": "parents", "parents": [1, 22]}
     assert T._corrects("```\nCorrects: #1\n```")["state"] == "missing"
