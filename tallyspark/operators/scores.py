@@ -203,17 +203,48 @@ def join_readiness(events: DataFrame, outcomes: DataFrame, top: int = 50) -> Dat
     return one(cost, work, "cost-only").unionByName(one(work, cost, "outcome-only")).select("kind", "repo", "size")
 
 
-def time_to_merge(outcomes: DataFrame, k: int = K) -> DataFrame:
-    """Seconds from opening to merge by repository: the median (of an even number, the whole mean of the middle
-    two), the nearest-rank 90th percentile from ten on, and how many; repositories under k people are left out."""
-    micro = micros("merged_at") - micros("created_at")
-    kept = outcomes.where("created_at is not null and merged_at is not null and merged_at >= created_at and author_type != 'Bot'").withColumn("us", micro)
-    w = Window.partitionBy("repo").orderBy("us", "id")
-    ranked = kept.withColumns({"rank": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("repo"))})
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("us")))
-    grouped = ranked.groupBy("repo").agg(F.max("n").alias("n"), F.countDistinct("developer").alias("people"), at(low).alias("low"), at(high).alias("high"), at(F.ceil(F.col("n") * 9 / 10)).alias("p90"))
-    return grouped.where(F.col("people") >= k).select("repo", "n", "people", (F.floor((F.col("low") + F.col("high")) / 2) / 1e6).alias("median_s"), F.when(F.col("n") >= 10, F.col("p90") / 1e6).alias("p90_s"))
+# Sources that have recorded when a pull request was opened since a day.
+CAPTURED_SINCE, CAPTURING = "2026-10-11", ("github-webhook", "backfill")
+
+
+def time_to_merge(outcomes: DataFrame, named: DataFrame, safe: bool = True, k: int = K) -> DataFrame:
+    """Whole seconds from opening to merge. Rows (kind, name, n, median_s, p90_s, null_reason): a group for each
+    named label, the residual of all others, the total, and what is excluded, by reason.
+
+    outcomes have a label; named are the labels that scores show, a small table; safe is false where they show nothing. The median of an even number is the mean of the middle two; the nearest-rank 90th
+    percentile needs ten. A figure under k people or k merges is null, and if a cohort with merges is so, the total too.
+    """
+    k = max(k, 3)
+    bot = (F.col("author_type") == "Bot").eqNullSafe(True)
+    old = F.col("created_at").isNull() & F.col("source").isin(*CAPTURING) & (F.to_date("ts") < F.lit(CAPTURED_SINCE).cast("date"))
+    reason = F.when(bot, F.lit("bot")).when(old, F.lit("no_created_at_before_capture")).when(F.col("created_at").isNull() | (F.col("created_at") > F.col("merged_at")), F.lit("no_created_at")).when(F.col("merged_at").isNull(), F.lit("no_merged_at"))
+    people = outcomes.where(~unattributed(F.col("developer"))).withColumns({"reason": reason, "us": micros("merged_at") - micros("created_at")})
+    shown = named.where(F.col("label") != OTHER).select("label", F.col("label").alias("name")).distinct()
+    known = people.join(shown, "label", "left")
+    of = lambda kind, name: F.struct(kind.alias("kind"), name.alias("name"))
+    cohort = of(F.when(F.col("name").isNull(), F.lit("residual")).otherwise(F.lit("group")), F.coalesce("name", F.lit(OTHER)))
+    # everybody who isn't a bot counts for what is said of exclusions
+    counted = F.when(~bot, of(F.lit("people"), F.lit("")))
+    rows = F.when(F.col("reason").isNull(), F.array(cohort, of(F.lit("total"), F.lit("")), counted)).otherwise(F.array(of(F.lit("excluded"), F.col("reason")), counted))
+    kept = known.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("of"), "us", "developer").select("of.*", "us", "developer")
+    by = ["kind", "name"]
+    w = Window.partitionBy(*by).orderBy("us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = kept.where("kind not in ('excluded', 'people')").groupBy(*by, "us").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(w))
+    size = kept.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("developer").alias("authors"))
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("us")))
+    n = F.col("n")
+    place = values.join(size, by).groupBy(*by).agg(at(F.floor((n + 1) / 2)).alias("low"), at(F.floor(n / 2) + 1).alias("high"), at(n - F.floor(n / 10)).alias("p90"))
+    clear, all_ = (n >= k) & (F.col("authors") >= k), Window.partitionBy()  # over a row for each label
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    f = size.join(place, by, "left").withColumn("clear", clear)
+    f = f.withColumns({"hidden": F.bool_or(is_("group", "residual") & ~F.col("clear")).over(all_), "enough": F.coalesce(F.max(F.when(is_("people"), F.col("authors"))).over(all_), F.lit(0)) >= k})
+    f = f.where(~is_("people")).where(F.lit(safe) | is_("total", "excluded"))
+    whole = lambda c: F.floor(c / 1_000_000)
+    held = is_("total") & F.col("clear") & (F.col("hidden") | F.lit(not safe))
+    told = F.when(is_("excluded"), F.col("enough") & F.lit(safe)).otherwise(F.col("clear") & ~held)
+    why = F.when(is_("excluded") & told, None).when(held, F.lit("withheld_with_group")).when(~told, F.lit("authors<k")).when(n < 10, F.lit("n<10"))
+    median = whole(F.col("low") + F.floor((F.col("high") - F.col("low")) / 2))
+    return f.select(*by, F.when(told, n).alias("n"), F.when(told, median).alias("median_s"), F.when(told & (n >= 10), whole(F.col("p90"))).alias("p90_s"), why.alias("null_reason"))
 
 
 def poller_remainder(events: DataFrame, polled: Column, model: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from tallyspark.functions import scalars as S
 from tallyspark.operators import pricing, scores
 from tallyspark.plans.registry import query
 from tallyspark.sources import bridge as B
+from tallyspark.sources.shared import written
 
 SINCE, UNTIL, MID, NOW = "1997-01-01", "2000-01-01", "1998-07-01", "1999-06-01"
 IN_WINDOW = f"ts >= TIMESTAMP '{SINCE}' AND ts < TIMESTAMP '{UNTIL}'"
@@ -319,10 +320,18 @@ def _(spark, sf):
     return scores.join_readiness(B.token_events(spark, sf).where("repo != 'acme/r1'"), B.outcomes(spark, sf).where("repo != 'acme/r2'"))
 
 
-@query("A23_time_to_merge", """, d AS (SELECT repo, developer, epoch_us(merged_at) - epoch_us(created_at) AS us FROM outcomes WHERE author_type <> 'Bot' AND merged_at >= created_at), l AS (SELECT repo, count(*) AS n, count(DISTINCT developer) AS people, list_sort(list(us)) AS s FROM d GROUP BY 1)
-SELECT repo, n, people, ((s[(n + 1) // 2] + s[n // 2 + 1]) // 2) / 1e6 AS median_s, CASE WHEN n >= 10 THEN s[ceil(n * 9 / 10)::BIGINT] / 1e6 END AS p90_s FROM l WHERE people >= 3""")
+@query("A23_time_to_merge", f"""{_label_sql('team')}, lo AS (SELECT x.*, coalesce(team, '') AS label FROM o x LEFT JOIN m ON x.developer = m.developer AND x.ts >= m.valid_from AND (m.valid_to IS NULL OR x.ts < m.valid_to)),
+nm AS (SELECT label FROM lo WHERE label <> '' GROUP BY 1 HAVING count(DISTINCT developer) >= 3), d AS (SELECT lo.*, nm.label AS name, epoch_us(merged_at) - epoch_us(created_at) AS us, CASE WHEN author_type = 'Bot' THEN 'bot' WHEN created_at > merged_at THEN 'no_created_at' END AS reason FROM lo LEFT JOIN nm USING (label)),
+co AS (SELECT CASE WHEN name IS NULL THEN 'residual' ELSE 'group' END AS kind, coalesce(name, 'other') AS name, us, developer FROM d WHERE reason IS NULL UNION ALL SELECT 'total', '', us, developer FROM d WHERE reason IS NULL),
+l AS (SELECT kind, name, count(*) AS n, count(DISTINCT developer) AS authors, list_sort(list(us)) AS s FROM co GROUP BY 1, 2), g AS (SELECT *, n >= 3 AND authors >= 3 AS clear FROM l), h AS (SELECT *, kind = 'total' AND EXISTS (SELECT 1 FROM g WHERE kind <> 'total' AND NOT clear) AS held FROM g)
+SELECT kind, name, CASE WHEN clear AND NOT held THEN n END AS n, CASE WHEN clear AND NOT held THEN (s[(n + 1) // 2] + s[n // 2 + 1]) // 2 // 1000000 END AS median_s, CASE WHEN clear AND NOT held AND n >= 10 THEN s[n - n // 10] // 1000000 END AS p90_s, CASE WHEN NOT clear THEN 'authors<k' WHEN held THEN 'withheld_with_group' WHEN n < 10 THEN 'n<10' END AS null_reason FROM h
+UNION ALL SELECT 'excluded', reason, count(*), NULL, NULL, NULL FROM d WHERE reason IS NOT NULL GROUP BY 2""")
 def _(spark, sf):
-    return scores.time_to_merge(B.outcomes(spark, sf))
+    """Teams as scores name them, under the floor of three people."""
+    e, o, m = events(spark, sf), work(spark, sf), B.memberships(spark, sf)
+    labelled = scores.labelled(o, m, "team")
+    shown = written(scores.k_anonymous(scores.label_scores(e, o, m, "team"), labelled.select("label", "developer")).select("label"), "shown")
+    return scores.time_to_merge(labelled, shown, safe=not shown.isEmpty())
 
 
 def _halves(spark, sf):
