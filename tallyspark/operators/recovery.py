@@ -19,11 +19,24 @@ def branch_windows(outcomes: DataFrame, days: int = 7) -> DataFrame:
 
 
 def claims(events: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """J5/J6/U-1: pairs of an unattributed event and an outcome whose branch, or else whose pull request, it fits in time."""
+    """J5/J6/U-1: pairs of an unattributed event and an outcome whose branch, or else whose pull request, it fits in time.
+
+    A branch's windows meet at most in their ends, so an event fits the branch's next merge, or the one after where it is
+    at the very time of a merge; both are carried along the branch in order of time, and no event meets all merges. A pull
+    request is merged once or a few times, so by number events and outcomes are joined.
+    """
     o = branch_windows(outcomes).select("repo", F.col("head_branch_hash").alias("branch_hash"), "pr_number", F.col("issue_id").alias("claim"), F.col("id").alias("outcome_id"), "window_start", "merged_at")
     e = events.where(unattributed(F.col("issue_id")))
     inside = (F.col("ts") >= F.col("window_start")) & (F.col("ts") <= F.col("merged_at"))
-    by_branch = e.where("branch_hash is not null").join(o.drop("pr_number"), ["repo", "branch_hash"]).where(inside)
+    branch, asked = ["repo", "branch_hash"], ["id", "ts", "cost_micro"]
+    merges = o.dropna(subset=[*branch, "merged_at"]).groupBy(*branch, micros("merged_at").alias("t")).agg(F.collect_list(F.struct("claim", "outcome_id", "window_start", "merged_at")).alias("fits"))
+    both = e.dropna(subset=[*branch, "ts"]).select(*branch, micros("ts").alias("t"), *asked, F.lit(True).alias("asks")).unionByName(merges, allowMissingColumns=True)
+    later = Window.partitionBy(*branch).orderBy(F.desc("t"))
+    merge = F.when(F.col("asks").isNull(), F.struct("t", "fits"))
+    ahead = lambda end: F.last(merge, ignorenulls=True).over(later.rangeBetween(Window.unboundedPreceding, end))
+    near = both.withColumns({"next": ahead(Window.currentRow), "after": ahead(-1)}).where("asks")
+    fits = F.concat(F.coalesce("next.fits", F.array()), F.when(F.col("next.t") == F.col("t"), F.coalesce("after.fits", F.array())).otherwise(F.array()))
+    by_branch = near.select(*asked, F.explode(fits).alias("fit")).select(*asked, "fit.*").where(inside)
     by_number = e.where("branch_hash is null and pr_number is not null").join(o.drop("branch_hash"), ["repo", "pr_number"]).where(inside)
     return by_branch.select("id", "ts", "cost_micro", "claim", "outcome_id").unionByName(by_number.select("id", "ts", "cost_micro", "claim", "outcome_id"))
 

@@ -63,3 +63,20 @@ def test_places(spark):
     rows = [(i, DAY + timedelta(hours=i * 7 % 100)) for i in range(60)]
     got = {r.id: r.place for r in ledgers.places(spark.createDataFrame(rows, "id long, ts timestamp_ntz"), "ts", "id").collect()}
     assert [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))] == sorted(got, key=got.get)
+
+
+def test_claims_against_all_pairs(spark):
+    draw = random.Random(5)
+    at = lambda: DAY + timedelta(days=draw.randrange(40))
+    merges = [(i, "r", draw.choice(["m", "n", None]), i % 7, f"issue-{i % 9}", (t := at()) - timedelta(days=draw.randrange(12)), t) for i in range(60)]
+    o = spark.createDataFrame(merges, "id long, repo string, head_branch_hash string, pr_number long, issue_id string, created_at timestamp_ntz, merged_at timestamp_ntz")
+    spent = [(i, "r", draw.choice(["m", "n", "gone", None]), i % 9, draw.choice(["unattributed:main", "issue-1"]), at(), 1) for i in range(200)]
+    e = spark.createDataFrame(spent, "id long, repo string, branch_hash string, pr_number long, issue_id string, ts timestamp_ntz, cost_micro long")
+    start = {r.id: r.window_start for r in recovery.branch_windows(o).collect()}
+    want = sorted(
+        (x[0], m[0])
+        for x in spent
+        for m in merges
+        if x[4].startswith("un") and start[m[0]] <= x[5] <= m[6] and (x[2] == m[2] if x[2] else x[3] == m[3])
+    )
+    assert want and sorted((r.id, r.outcome_id) for r in recovery.claims(e, o).collect()) == want
