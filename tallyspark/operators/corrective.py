@@ -97,31 +97,49 @@ class Story:
         self.parent = {c.id: p for c in self.changes if (p := self.single(c))}
         self.settle()
 
-    def origin(self, id_: int, path: tuple[int, ...] = ()) -> frozenset[int]:
-        """The changes without parents that a change goes back to; notes what is wrong on the way."""
-        if id_ in self.origins:
-            return self.origins[id_]
-        if id_ in path:
-            self.problem[id_] = "cycle"
-            return frozenset()
-        c, found = self.by[id_], set()
-        for x in c.links:
-            p = self.by.get(x.parent)
-            if x.state not in STATES:
-                self.problem[id_] = "unsupported-relation-state"
-            if p is None or x.state in ("pending", "excluded"):
-                self.problem[id_] = "missing-or-excluded-parent"
+    def origin(self, id_: int) -> frozenset[int]:
+        """The changes without parents that a change goes back to; notes what is wrong on the way, which is walked without
+        recursion, as a chain may be long."""
+        way, todo = {id_: set()}, [] if id_ in self.origins else [(self.by[id_], iter(self.by[id_].links))]
+        while todo:
+            c, links = todo[-1]
+            x = next(links, None)
+            if x is None:
+                todo.pop()
+                found = way.pop(c.id)
+                self.origins[c.id] = frozenset(found if c.links else {c.id})
+                if todo:
+                    self.inherit(todo[-1][0].id, c.id, way)
+            elif (p := self.judged(c, x)) is None:
                 continue
-            if c.merged_at is None or p.merged_at is None:
-                self.problem[id_] = "missing-occurrence"
-            elif p.merged_at > c.merged_at:
-                self.problem[id_] = "parent-after-child"
-            found |= self.origin(p.id, (*path, id_))
-            if p.id in self.problem:
-                self.problem[id_] = self.problem[p.id]
-        self.origins[id_] = frozenset(found if c.links else {id_})
+            elif p.id in way:
+                self.problem[p.id] = self.problem[c.id] = "cycle"
+            elif p.id in self.origins:
+                self.inherit(c.id, p.id, way)
+            else:
+                way[p.id] = set()
+                todo.append((p, iter(p.links)))
         return self.origins[id_]
 
+    def inherit(self, child: int, parent: int, way: dict[int, set[int]]) -> None:
+        way[child] |= self.origins[parent]
+        if parent in self.problem:
+            self.problem[child] = self.problem[parent]
+
+    def judged(self, c: Change, x: Link) -> Change | None:
+        """The parent that a link leads to, if it counts; notes what is wrong with the link."""
+        p = self.by.get(x.parent)
+        if x.state not in STATES:
+            self.problem[c.id] = "unsupported-relation-state"
+        if p is None or x.state in ("pending", "excluded"):
+            self.problem[c.id] = "missing-or-excluded-parent"
+            return None
+        if c.merged_at is None or p.merged_at is None:
+            self.problem[c.id] = "missing-occurrence"
+        elif p.merged_at > c.merged_at:
+            self.problem[c.id] = "parent-after-child"
+        return p
+
     def above(self, id_: int) -> set[int]:
         """A change and all that it goes back to."""
         seen, todo = set(), [id_]

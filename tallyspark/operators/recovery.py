@@ -105,13 +105,21 @@ def push_owner(pushes: DataFrame) -> DataFrame:
     return pushes.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
-def source_runs(runs: DataFrame) -> DataFrame:
-    """T4: joins runs of a source that meet or overlap: from, until, and how many."""
-    order = Window.partitionBy("source").orderBy("covered_from", "settled_through")
+def _islands(runs: DataFrame, *keys: str) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("covered_from", "settled_through")
     before = F.max("settled_through").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = runs.withColumn("opens", F.when(before.isNull() | (F.col("covered_from") > before), 1).otherwise(0))
     island = opened.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("source", "island").agg(F.min("covered_from").alias("covered_from"), F.max("settled_through").alias("settled_through"), F.count("*").alias("runs"))
+    return island.groupBy(*keys, "island").agg(F.min("covered_from").alias("covered_from"), F.max("settled_through").alias("settled_through"), F.sum("runs").alias("runs"))
+
+
+def source_runs(runs: DataFrame) -> DataFrame:
+    """T4: joins runs of a source that meet or overlap: from, until, and how many.
+
+    The runs that begin on one day are joined first, so that a source's one order holds what is left of its days.
+    """
+    days = _islands(runs.withColumns({"day": F.to_date("covered_from"), "runs": F.lit(1).cast("long")}), "source", "day")
+    return _islands(days.drop("island"), "source")
 
 
 def canonical(rows: DataFrame, aliases: DataFrame, most: int = 1_000_000) -> DataFrame:

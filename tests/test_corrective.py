@@ -78,3 +78,17 @@ def test_spark_groups(spark):
     rows = [(1, 101, "r", 1, "a", "ada", at(1), "5", "1", None, []), (1, 102, "r", 2, "b", "ben", at(2), "1", "1", None, [(101, "confirmed", "1", "5", "5", None, False)]), (7, 9, "r", 3, "c", "eve", None, "1/2", "7/10", None, None)]
     got = {r.id: (r.points, r.status) for r in c.settle_components(spark.createDataFrame(rows, schema)).collect()}
     assert got == {101: ("13/4", "resolved"), 102: ("1", "resolved"), 9: ("7/20", "resolved")}
+
+
+def test_a_long_chain_is_walked_without_recursion():
+    """Parents merged after their children, so that the walk begins at the chain's end."""
+    n = 3000
+    story = c.Story([change(i, "ada", 1, [c.Link(i - 1, "confirmed")] if i > 1 else [], day=n - i) for i in range(1, n + 1)])
+    assert set(story.origins.values()) == {frozenset({1})}
+    assert {i for i, why in story.problem.items() if why == "parent-after-child"} == set(range(2, n + 1))
+
+
+def test_a_cycle_reaches_all_that_build_on_it():
+    on = lambda i, parent: change(i, "ada", 1, [c.Link(parent, "confirmed")], day=0)
+    story = c.Story([on(1, 3), on(2, 1), on(3, 2), on(4, 3)])
+    assert story.problem == dict.fromkeys((1, 2, 3, 4), "cycle")

@@ -80,3 +80,11 @@ def test_claims_against_all_pairs(spark):
         if x[4].startswith("un") and start[m[0]] <= x[5] <= m[6] and (x[2] == m[2] if x[2] else x[3] == m[3])
     )
     assert want and sorted((r.id, r.outcome_id) for r in recovery.claims(e, o).collect()) == want
+
+
+def test_source_runs_over_days(spark):
+    hour = lambda h: DAY + timedelta(hours=h)
+    rows = [("a", 0, 1), ("a", 0, 60), ("a", 23, 23), ("a", 50, 55), ("a", 60, 61), ("a", 62, 63), ("a", 90, 91), ("b", 5, 6), ("b", 6, 7)]
+    runs = spark.createDataFrame([(s, hour(x), hour(y)) for s, x, y in rows], "source string, covered_from timestamp_ntz, settled_through timestamp_ntz")
+    got = {(r.source, r.island): (r.covered_from, r.settled_through, r.runs) for r in recovery.source_runs(runs).collect()}
+    assert got == {("a", 1): (hour(0), hour(61), 5), ("a", 2): (hour(62), hour(63), 1), ("a", 3): (hour(90), hour(91), 1), ("b", 1): (hour(5), hour(7), 2)}
