@@ -73,7 +73,8 @@ def lloyd(vectors: DataFrame, clusters: int = 16, rounds: int = 3, width: int =
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, x = kept(b.v, width, scale)
-            yield pd.DataFrame({"hash": b.hash.iloc[at].to_numpy(), "x": list(x)})
+            if len(at):
+                yield pd.DataFrame({"hash": b.hash.iloc[at].to_numpy(), "x": list(x)})
 
     hashed = pair.select(F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256).alias("hash"), "v")
     first = hashed.mapInPandas(starts, "hash string, x array<long>").orderBy(F.asc_nulls_last("hash"), "x").limit(clusters).collect()

@@ -10,6 +10,7 @@ from tallyspark.llm.neural_lm import op8_neural_lm
 from tallyspark.llm.packing import op2_best_fit_packing
 from tallyspark.llm.quality_rules import OP6_SQL, op6_quality_rules
 from tallyspark.llm.secret_scans import op10_secret_scans
+from tallyspark.llm.source_mix import op13_source_mix
 from tallyspark.llm.token_counts import op1_token_counts
 from tallyspark.llm.topk_search import OP3_SQL, op3_topk_search
 from tallyspark.llm.vector_codes import OP12_SQL, op12_vector_codes
@@ -30,6 +31,7 @@ QUERIES = {
         op10_secret_scans,
         op11_centroid_clustering,
         op12_vector_codes,
+        op13_source_mix,
     )
 }
 SQL = {"op3_topk_search": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL, "op11_centroid_clustering": OP11_SQL, "op12_vector_codes": OP12_SQL}
