@@ -94,6 +94,8 @@ class Story:
         self.origins: dict[int, frozenset[int]] = {}
         self.open: dict[int, list[int]] = {}  # follow-ups of several originals: those of their own developer
         self.weak: set[int] = set()  # links that aren't confirmed and reviewed
+        for c in self.changes:
+            self.origin(c.id)
         self.parent = {c.id: p for c in self.changes if (p := self.single(c))}
         self.settle()
 
@@ -134,10 +136,10 @@ class Story:
         if p is None or x.state in ("pending", "excluded"):
             self.problem[c.id] = "missing-or-excluded-parent"
             return None
-        if c.merged_at is None or p.merged_at is None:
-            self.problem[c.id] = "missing-occurrence"
-        elif p.merged_at > c.merged_at:
+        if (p.merged_at or datetime.min) > (c.merged_at or datetime.min):
             self.problem[c.id] = "parent-after-child"
+        elif c.merged_at is None or p.merged_at is None:
+            self.problem[c.id] = "missing-occurrence"
         return p
 
     def above(self, id_: int) -> set[int]:
@@ -152,7 +154,7 @@ class Story:
 
     def single(self, c: Change) -> int:
         """The parent that a follow-up charges: the one that goes back to all its others. 0 without one."""
-        origins = self.origin(c.id)
+        origins = self.origins[c.id]
         if c.id in self.problem or not c.links:
             return 0
         if c.weight not in WEIGHTS or c.quality not in QUALITIES:

@@ -448,28 +448,36 @@ def _(spark, sf):
 
 
 
-@query("G2_corrective_chains")
+#: The chains' shape in SQL: the charged parent is the only link's, problems pass down from the top, and a chain's depth is counted.
+CHAINS = f"""WITH RECURSIVE r AS ({RELATIONS}), k AS (SELECT child, parent, state FROM r WHERE parent > 0 AND state <> 'withdrawn'),
+n AS (SELECT o.o_orderkey AS id, o.o_orderdate AS merged, k.parent, k.state, p.o_orderkey AS known, p.o_orderdate AS p_at FROM orders o LEFT JOIN k ON k.child = o.o_orderkey LEFT JOIN orders p ON p.o_orderkey = k.parent),
+d AS (SELECT *, CASE WHEN parent IS NULL THEN NULL WHEN known IS NULL THEN 'missing-or-excluded-parent' WHEN p_at > merged THEN 'parent-after-child' END AS own FROM n),
+t AS (SELECT id, own AS problem, 0 AS depth FROM d WHERE parent IS NULL OR known IS NULL UNION ALL SELECT d.id, coalesce(t.problem, d.own), t.depth + 1 FROM d JOIN t ON d.parent = t.id)"""
+
+
+@query("G2_corrective_chains", f"{CHAINS} SELECT id, CASE WHEN problem IS NULL THEN coalesce(parent, 0) ELSE 0 END AS parent, coalesce(problem, '') AS problem, coalesce(state = 'disputed', false) AS disputed, parent IS NOT NULL AND problem IS NULL AS weak FROM d JOIN t USING (id)")
 def _(spark, sf):
-    """Chains of the relation table, settled by component."""
-    from tallyspark.operators import corrective, graph
+    """Chains of the relation table: whom each change charges, and what is wrong with those that charge nobody."""
+    r = settled_chains(spark, sf)
+    return r.select("id", "parent", F.when(F.col("parent") == 0, F.col("reason")).otherwise(F.lit("")).alias("problem"), "disputed", ((F.col("parent") != 0) & F.col("provisional")).alias("weak"))
+
+
+@query("G3_allocation")
+def _(spark, sf):
+    """Points, shares, growth and status of every change of the chains."""
+    return settled_chains(spark, sf)
+
+
+def settled_chains(spark, sf):
+    from tallyspark.operators import chains
 
     r = relations(spark, sf).where("parent > 0")
-    part = graph.components(r.select(F.col("child").alias("a"), F.col("parent").alias("b")))
-    o = B.outcomes(spark, sf).join(part, "id", "left").withColumn("root", F.coalesce("root", "id"))
     none = F.lit(None).cast("string")
     link = F.struct("parent", "state", none.alias("own"), none.alias("before"), none.alias("after"), none.alias("original"), F.lit(False).alias("pure"))
     links = r.groupBy(F.col("child").alias("id")).agg(F.array_sort(F.collect_list(link)).alias("links"))
     fraction = lambda c, by: F.concat((F.col(c) * by).cast("long").cast("string"), F.lit(f"/{by}"))
-    rows = o.join(links, "id", "left").select(F.col("root").alias("component"), "id", "repo", F.col("pr_number").cast("int").alias("pr"), F.col("merge_sha").alias("sha"), "developer", F.col("merged_at").cast("timestamp").alias("merged_at"), fraction("weight", 2).alias("weight"), F.concat(F.round(F.col("quality") * 10).cast("long").cast("string"), F.lit("/10")).alias("quality"), (F.col("id") % 1500).alias("effort"), "links")
-    return corrective.settle_components(rows)
-
-
-@query("G3_allocation")
-def _(spark, sf):
-    """How the chains' changes ended, by status and reason."""
-    from tallyspark.plans.registry import QUERIES
-
-    return QUERIES["G2_corrective_chains"](spark, sf).groupBy("status", "reason", "eligible").agg(F.count("*").alias("n"))
+    rows = B.outcomes(spark, sf).join(links, "id", "left").select("id", "repo", F.col("pr_number").cast("int").alias("pr"), F.col("merge_sha").alias("sha"), "developer", F.col("merged_at").cast("timestamp").alias("merged_at"), fraction("weight", 2).alias("weight"), F.concat(F.round(F.col("quality") * 10).cast("long").cast("string"), F.lit("/10")).alias("quality"), (F.col("id") % 1500).alias("effort"), "links")
+    return chains.settle(rows)
 
 
 @query("T14_worktree_branch", """, m AS (SELECT event_id, user_id AS worktree, ts FROM events WHERE event_type = 'click'), r AS (SELECT user_id AS worktree, ts, max('b' || (event_id % 5)) AS branch FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
