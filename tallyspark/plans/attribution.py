@@ -234,7 +234,7 @@ def _(spark, sf):
 
 
 @query("P14_closed_issues", fr"""SELECT doc_id, list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: 'issue-' || x) AS issues FROM (
-SELECT doc_id, flatten(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '{T.DECLARED}', '', 'g'), '{T.CLOSING}', 1), lambda c: regexp_extract_all(c, '#([1-9][0-9]*)', 1))) AS l FROM documents)""")
+SELECT doc_id, flatten(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '(?m)^[ \t]*(?:[-*+][ \t]\s*)?[*_]*[ \t]*(?i:corrects)[ \t]*[*_]*[ \t]*[:：#].*$', 'x', 'g'), '{T.CLOSING}', 1), lambda c: regexp_extract_all(c, '#([1-9][0-9]*)', 1))) AS l FROM documents)""")
 def _(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", T.closed_issues(F.col("text")).alias("issues"))
 

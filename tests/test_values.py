@@ -102,7 +102,8 @@ def test_tracker_keys(spark):
     keys = ("OP", "PROJ2")
     assert one(spark, T.issue_of_branch(F.col("b"), keys), b=("feat/PROJ2-7-x", "string")) == "PROJ2-7"
     assert one(spark, T.issue_of_branch(F.col("b")), b=("feat/PROJ2-7-x", "string")) is None
-    assert one(spark, T.issue_of_body(F.col("b"), keys), b=("see PROJ2-7", "string")) == "PROJ2-7"
+    assert one(spark, T.issue_of_body(F.col("b"), keys), b=("see PROJ2-7", "string")) is None
+    assert one(spark, T.issue_of_body(F.col("b"), keys), b=("refs PROJ2-7", "string")) == "PROJ2-7"
     assert one(spark, T.issue_of_body(F.col("b")), b=("text\nIssue: #7\nrefs #42", "string")) == "issue-7"
     assert one(spark, T.issue_of_branch(F.col("b")), b=("release/12-x", "string")) is None
 
