@@ -80,6 +80,8 @@ def original_basis(events: DataFrame, registry: PriceRegistry, versions: list[in
     """
     registry.read()
     out, left = None, []
+    mode = F.col("billing_mode") if "billing_mode" in events.columns else F.lit(None).cast("string")
+    events = events.withColumn("mode", mode).drop("billing_mode")
     tokens = F.col("input_tok") + F.col("output_tok") + F.col("cache_read") + F.col("cache_write_5m") + F.col("cache_write_1h")
     open_ = events.where(F.col("rate_snapshot").isNull() & F.col("source").isin(*FIRST_PARTY) & (F.coalesce("pricing_basis", F.lit("")) != "caller_authoritative") & ~((F.col("cost_micro") != 0) & (tokens == 0)))
     open_ = open_.join(overridden.select("id"), "id", "left_anti")
@@ -88,7 +90,7 @@ def original_basis(events: DataFrame, registry: PriceRegistry, versions: list[in
         if len(known) != 1 or registry.live(v) is None:
             left.append((v, "basis-unavailable", len(known)))
             continue
-        rows = priced(open_.where(F.col("price_version") == v).drop("billing_mode").join(open_.select("id", F.col("billing_mode").alias("mode")), "id") if "billing_mode" in open_.columns else open_.where(F.col("price_version") == v).withColumn("mode", F.lit(None).cast("string")), registry.table(v))
+        rows = priced(open_.where(F.col("price_version") == v), registry.table(v))
         same = F.col("guess").isNull() & F.coalesce(F.col("mode") == F.col("billing_mode"), F.lit(True))
         rows = rows.where(same).select("id", F.lit(v).alias("price_version"), F.col("cost_micro"), F.col("priced_micro").alias("original_micro"), F.lit(next(iter(known))).alias("rate_snapshot"), F.lit("token_derived").alias("pricing_basis"))
         out = rows if out is None else out.unionByName(rows)

@@ -34,4 +34,4 @@ def query(name: str, sql: str = "") -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tallyspark.plans import attribution, basics, closing, corrections, more, references, rest, streams, windows  # noqa: F401
+    from tallyspark.plans import attribution, basics, closing, corrections, more, references, rest, stored, streams, windows  # noqa: F401
