@@ -43,13 +43,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32),
 )
-#: Further kinds: forms of credentials that their issuers publish.
+#: A key's lines where its end is missing: headers, runs of its alphabet, and a short last one.
+BREAK = r"(?:\s|\\[nr])*"
+KEY_LINES = rf"(?:{BREAK}(?:Proc-Type|DEK-Info):[^\n]*)*(?:{BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}})+(?:{BREAK}[A-Za-z0-9+/]{{1,15}}={{1,2}})?"
+#: Further kinds: forms of credentials that their issuers publish. A private key goes to its end line, or as far as its lines do.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----|{KEY_LINES})?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+]{2,12}://[^/\s:@]+:[^/\s:@]+@"),
+    Rule("url_login", r"[a-z][a-z0-9+]{2,12}://[^/\s:@]*:[^/\s@]+@"),
 )
 #: A query is a set of alternatives, each a set of trigrams that must all be there; None: anything may match.
 Query = frozenset[frozenset[str]] | None

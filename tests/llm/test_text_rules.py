@@ -96,6 +96,24 @@ def test_secrets_in_long_texts_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in clean) == sorted([(0, want, len(want)), (1, want, len(want)), (1, want, len(want)), (1, "", 0), (0, "", 0)])
 
 
+def test_nothing_of_a_private_key_is_left(spark):
+    lines = ["MIIEpAIBAAKCAQEA7bq0" * 3 + str(i) * 4 for i in range(6)]
+    body = "\n".join(lines)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        (f"before\n{begin}\n{body}\n{end}\nafter {begin}\n{body}\n{end} last", "before\n[private_key]\nafter [private_key] last"),
+        (f"cut off {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,00\n\n{body}\nab==", "cut off [private_key]"),
+        (f"one line {begin}\\n{chr(92) + 'n'}".replace("\\n", "") + "\\n" + "\\n".join(lines) + f"\\n{end}", "one line [private_key]"),
+        (f"a key begins with {begin} and so on, for all to read", "a key begins with [private_key] and so on, for all to read"),
+        (f"{begin}\n{body}\n{begin}\n{body}\n{end}.", "[private_key]\n[private_key]."),
+        ("redis://:pa55word@host and amqp://u:a:b@host", "[url_login]host and [url_login]host"),
+        ("see http://host:8080/a@b and mail@host", "see http://host:8080/a@b and mail@host"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scans.redacted(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
+
+
 def test_trigram_queries():
     assert secret_scans.trigrams("[0-9a-f]+") is None
     assert secret_scans.trigrams("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
