@@ -62,7 +62,7 @@ def whole(rows):
     return {res.id: tuple(str(v) if isinstance(v := getattr(res, k), Q) else v for k in names) for p in parts.values() for res in corrective.settled(p)}
 
 
-@pytest.mark.parametrize(("seed", "odd"), [(2, 0.3), (4, 1.0)])
+@pytest.mark.parametrize(("seed", "odd"), [(4, 1.0)])
 def test_against_whole_stories(spark, seed, odd):
     rows = stories(seed, 120, odd)
     got = {r.id: tuple(r) for r in chains.settle(spark.createDataFrame(rows, SCHEMA)).collect()}
