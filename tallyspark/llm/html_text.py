@@ -36,6 +36,8 @@ NOT_TEXT = set(
 )
 # Words that say where something stands or how it is laid out; beside one of NOT_TEXT they don't change what it names.
 LAYOUT = set("area bar block body bottom box btn button buttons col column content container count el fixed float head inner item items js left link links list main message mobile msg outer page post posts right section site slot sticky text thread top unit wrap wrapper zone".split())
+# Words that themes also give to what wraps the whole page or its article, as in content-sidebar-wrap.
+WRAPS = set("banner footer form header masthead menu nav navbar navigation search sidebar toolbar widget widgets".split())
 HEADINGS = {f"h{n}" for n in range(1, 7)}
 
 
@@ -46,7 +48,10 @@ class Element:
     path: int  # number of its path
     dropped: bool
     inside: bool  # in an article or main part, or one itself
+    wraps: bool = False  # dropped by itself, but for a reason that a wrapper of the page may give as well
     text: int = 0  # characters of kept blocks below it, links left out
+    whole: int = 0  # the same of all blocks below it
+    holds: int = 0  # 2 with a main part below it, 1 with an article
 
 
 @dataclass
@@ -55,6 +60,7 @@ class Page:
 
     elements: list[Element] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)  # of blocks, links left out
     text: int = 0  # the same of all kept blocks, also those outside every element
     steps: list[tuple[int, str]] = field(default_factory=list)
     numbers: dict[tuple[int, str], int] = field(default_factory=dict)
@@ -92,13 +98,22 @@ def furniture(names: str) -> bool:
     return any(not NOT_TEXT.isdisjoint(p := set(PARTS.findall(x))) and p <= NOT_TEXT | LAYOUT for x in names.lower().split())
 
 
+def wrapper(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether what drops an element is only a form, or names that a wrapper may have too."""
+    if tag in OTHER - {"form"} or tag == "header" or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        return False
+    named = [p for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split() if furniture(x) for p in PARTS.findall(x)]
+    return NOT_TEXT.isdisjoint(set(named) - WRAPS)
+
+
 def away(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element isn't part of the article. An id isn't asked in headings, where it is made from the title."""
+    """Whether an element isn't part of the article. An id isn't asked in headings, where it is made from the title, nor any name in
+    the first heading, which is the title."""
     if tag in OTHER or tag == "header" and not inside or attributes.get("role", "").lower() in ROLES:
         return True
     if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main", "h1"):
         return False
     names = attributes.get("class", "") if tag in HEADINGS else f"{attributes.get('class', '')} {attributes.get('id', '')}"
     return furniture(" ".join(x for x in names.split() if not inside or "header" not in x.lower()))
@@ -116,10 +131,7 @@ def parsed(source: str) -> Page:
         links[1] = 0
         if said:
             page.blocks.append((at, said))
-            own = 0 if at >= 0 and elements[at].dropped else max(len(said) - 2 * linked, 0)
-            page.text += own
-            if at >= 0:
-                elements[at].text += own
+            page.sizes.append(max(len(said) - 2 * linked, 0))
 
     def add(text: str) -> None:
         held.append(text)
@@ -165,14 +177,43 @@ def parsed(source: str) -> Page:
         up = stack[-1]
         over = elements[up] if up >= 0 else Element("", -1, -1, False, False)
         step = general(tag, f"{attributes.get('class', '')} {attributes.get('id', '')}")
-        elements.append(Element(tag, up, page.numbered(over.path, step), over.dropped or away(tag, attributes, over.inside), over.inside or tag in ("article", "main")))
+        gone = away(tag, attributes, over.inside)
+        elements.append(Element(tag, up, page.numbered(over.path, step), gone, over.inside or tag in ("article", "main"), gone and wrapper(tag, attributes)))
         stack.append(len(elements) - 1)
     add(source[at:])
     flush()
+    settle(page)
+    return page
+
+
+def settle(page: Page) -> None:
+    """What is dropped with the elements that hold it, and how much text is left where.
+
+    An element that seems to be furniture, but is named as wrappers are too, stays if it has the page's main part, more than half of the
+    page's text with an article, or more than nine tenths of it. Comments, adverts and the like never stay by that.
+    """
+    elements = page.elements
+    for (at, _), size in zip(page.blocks, page.sizes, strict=True):
+        if at >= 0:
+            elements[at].whole += size
     for x in reversed(elements):  # what is inside an element comes after it
+        if x.parent >= 0:
+            over = elements[x.parent]
+            over.whole += x.whole
+            over.holds = max(over.holds, x.holds, 2 if x.tag == "main" else 1 if x.tag == "article" else 0)
+    total = sum(page.sizes)
+    for x in elements:
+        if x.wraps and (x.holds == 2 or 2 * x.whole > total and x.holds or 10 * x.whole > 9 * total):
+            x.dropped = False
+        x.dropped = x.dropped or x.parent >= 0 and elements[x.parent].dropped
+    for (at, _), size in zip(page.blocks, page.sizes, strict=True):
+        if at < 0 or not elements[at].dropped:
+            page.text += size
+            if at >= 0:
+                elements[at].text += size
+    for x in reversed(elements):
         if x.parent >= 0:
             elements[x.parent].text += x.text
-    return page
 
 
 def choice(page: Page) -> int | None:

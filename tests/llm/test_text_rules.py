@@ -141,6 +141,25 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_wrappers_with_names_of_furniture_stay():
+    title, body = "<h1 class='page-header'>The title</h1>", "<p>" + "A sentence of the article that says something. " * 12 + "</p>"
+    comments = "<div class='comments'><article><p>" + "I don't think so at all. " * 60 + "</p></article></div>"
+    side = "<div class='sidebar'><p>Who we are and what we do.</p></div>"
+    want = "The title\n\n" + " ".join(["A sentence of the article that says something."] * 12)
+    pages = [
+        f"<div class='content-sidebar-wrap'><main><article>{title}{body}</article>{comments}</main>{side}</div>",
+        f"<div id='content' class='right-sidebar'>{title}{body}</div>{side}",
+        f"<form id='aspnetForm'><div class='nav'>Home</div><div id='main'>{title}{body}</div>{side}{comments}</form>",
+        f"<div class='header-footer-page'><article>{title}{body}</article>{side}{comments}</div>",
+        f"<div class='page-wrap'><article>{title}{body}</article>{comments}{side}</div>",
+        f"<div class='sidebar'><article><p>A teaser of another one.</p></article></div><article>{title}{body}</article>",
+    ]
+    for page in pages:
+        assert html_text.extracted(f"<html><body>{page}</body></html>", []) == want, page[:60]
+    # comments are named for what they are, so they never stay
+    assert html_text.extracted(f"<body><article>{title}</article>{comments}</body>", []) == "The title"
+
+
 def test_main_text_is_whole(spark):
     body = "<p>" + "Long text of the article. " * 20 + "</p>"
     long = " ".join(["Long text of the article."] * 20)
