@@ -34,4 +34,4 @@ def query(name: str, sql: str = "") -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tallyspark.plans import agents, attribution, basics, closing, corrections, given, more, pushes, references, rest, stored, streams, windows  # noqa: F401
+    from tallyspark.plans import agents, attribution, basics, closing, corrections, given, more, pushes, references, rest, reverts, stored, streams, windows  # noqa: F401
