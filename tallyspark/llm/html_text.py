@@ -1,11 +1,14 @@
-"""Main text of web pages by consensus of a host's pages on where it stands.
+"""Main text of web pages by consensus of a host's pages on where it stands, and on what stands beside it.
 
-Each page scores its containers and names the innermost that holds all its text; Spark counts, host by host, the
-generalised tag-class paths of these; a winning path then extracts the pages of the host whose text it holds whole.
+Each page scores its containers and names the innermost that holds all its text, and tells what stands beside the chain of
+elements that hold most of it. Spark counts both by generalised tag-class paths, host by host. What says the same at one
+path of most of a host's pages, while the rest of these pages differs, is the site's and is taken out; a winning path then
+extracts the pages of the host whose remaining text it holds whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -206,14 +209,80 @@ def settle(page: Page) -> None:
         if x.wraps and (x.holds == 2 or 2 * x.whole > total and x.holds or 10 * x.whole > 9 * total):
             x.dropped = False
         x.dropped = x.dropped or x.parent >= 0 and elements[x.parent].dropped
+    weigh(page)
+
+
+def weigh(page: Page) -> None:
+    """How much kept text there is on the page and in each element."""
+    page.text = 0
+    for x in page.elements:
+        x.text = 0
     for (at, _), size in zip(page.blocks, page.sizes, strict=True):
-        if at < 0 or not elements[at].dropped:
+        if at < 0 or not page.elements[at].dropped:
             page.text += size
             if at >= 0:
-                elements[at].text += size
-    for x in reversed(elements):
+                page.elements[at].text += size
+    for x in reversed(page.elements):
         if x.parent >= 0:
-            elements[x.parent].text += x.text
+            page.elements[x.parent].text += x.text
+
+
+def digest(*said: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(said), digest_size=16).digest()
+
+
+def beside(page: Page) -> dict[bytes, list[int]]:
+    """Elements of each path, by the path's digest, that stand beside the page's spine: the containers that hold more than half
+    of its kept text, down to an article. What is right inside the innermost of them is the article's own, as headings are.
+    Paths that together hold more than half themselves aren't among them."""
+    spine: dict[int, bytes] = {-1: b""}
+    steps: dict[int, bytes] = {}
+    found: dict[bytes, list[int]] = {}
+    last = -1
+    for i, x in enumerate(page.elements if page.text else ()):
+        if x.dropped or x.parent not in spine or x.parent >= 0 and page.elements[x.parent].tag == "article":
+            continue
+        if x.path not in steps:
+            steps[x.path] = digest(spine[x.parent], page.steps[x.path][1].encode("utf-8", "surrogatepass"))
+        if 2 * x.text > page.text and x.tag in CONTAINER:
+            spine[i], last = steps[x.path], i
+        elif x.tag not in HEADINGS:
+            found.setdefault(steps[x.path], []).append(i)
+    outer = {key: those for key, those in found.items() if page.elements[those[0]].parent != last}
+    return {key: those for key, those in outer.items() if 2 * sum(page.elements[i].text for i in those) <= page.text}
+
+
+def said_beside(page: Page) -> Iterator[tuple[bytes, bytes, int]]:
+    """For each path beside the spine with kept text: its digest, that of its text, and one of 64 numbers of the page's rest."""
+    owner: list[bytes | None] = [None] * len(page.elements)
+    for key, those in beside(page).items():
+        for i in those:
+            owner[i] = key
+    said: dict[bytes, int] = {}
+    whole = 0
+    for i, x in enumerate(page.elements):
+        if owner[i] is None and x.parent >= 0:
+            owner[i] = owner[x.parent]
+    for at, text in page.blocks:
+        if at < 0 or not page.elements[at].dropped:
+            one = int.from_bytes(digest(text.encode("utf-8", "surrogatepass")))
+            whole += one
+            if at >= 0 and (key := owner[at]) is not None:
+                said[key] = said.get(key, 0) + one
+    for key, own in said.items():
+        yield key, (own % (1 << 128)).to_bytes(16), (whole - own) % 64
+
+
+def without(page: Page, shared: set[bytes]) -> Page:
+    """The page with what its host shares taken out, where it stands beside the spine."""
+    gone = [i for key, those in beside(page).items() if key in shared for i in those]
+    for i in gone:
+        page.elements[i].dropped = True
+    if gone:
+        for x in page.elements:
+            x.dropped = x.dropped or x.parent >= 0 and page.elements[x.parent].dropped
+        weigh(page)
+    return page
 
 
 def choice(page: Page) -> int | None:
@@ -229,9 +298,9 @@ def text_at(page: Page, path: int | None) -> str:
     return "\n\n".join(t for at, t in page.blocks if (within[at] if at >= 0 else path is None))
 
 
-def extracted(source: str, paths: list[str]) -> str:
-    """The text at the host's first path that holds all of the page's kept text, or else at the page's own."""
-    page = parsed(source)
+def extracted(source: str, paths: list[str], shared: list[bytes] = ()) -> str:
+    """The text, without what the host shares, at the host's first path that holds all of it, or else at the page's own."""
+    page = without(parsed(source), set(shared))
     has: Counter = Counter()
     for x in page.elements:
         if x.text and not x.dropped:
@@ -241,24 +310,43 @@ def extracted(source: str, paths: list[str]) -> str:
 
 
 def votes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """host, path, n: how many of a host's pages name the path. Counted in the task before rows are shuffled."""
+    """host, path, key, n, alike: how many of a host's pages name the path as their container; or, by the path's digest, how many
+    have text at it beside their spine, and how many of these say what others say too.
+
+    A text counts as said by others if at least 3 pages have it and their rests differ: at least half as many rests as
+    pages, or 16 of 64 numbers of rests. So copies of one article don't vote each other's parts out. Both are counted in
+    the task before rows are shuffled.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found: dict[tuple, list[int]] = {}
+
+        def vote(key: tuple, bits: int) -> None:
+            held = found.setdefault(key, [0, 0])
+            held[0] += 1
+            held[1] |= bits
+
         for batch in parts(batches):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = parsed(source or "")
                 if (path := choice(page)) is not None:
-                    found[host, page.written(path)] += 1
+                    vote((host, page.written(path), None, None), 0)
+                for key, said, rest in said_beside(page) if host else ():
+                    vote((host, None, key, said), 1 << rest)
             if len(found) > 50_000:
                 yield rows(found)
                 found.clear()
         yield rows(found)
 
-    def rows(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.string()), pa.array(found.values(), pa.int64())], ["host", "path", "n"])
+    def rows(found: dict[tuple, list[int]]) -> pa.RecordBatch:
+        keys = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.binary(), pa.binary()))]
+        bits = [x - (1 << 64) if x >> 63 else x for _, x in found.values()]
+        return pa.RecordBatch.from_arrays([*keys, pa.array([n for n, _ in found.values()], pa.int64()), pa.array(bits, pa.int64())], ["host", "path", "key", "said", "n", "rests"])
 
-    return pages.select(host(url_col).alias("host"), html_col).mapInArrow(count, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+    counted = pages.select(host(url_col).alias("host"), html_col).mapInArrow(count, "host string, path string, key binary, said binary, n long, rests long")
+    texts = counted.groupBy("host", "path", "key", "said").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("rests")).alias("rests"))
+    alike = F.col("key").isNotNull() & (F.col("n") >= 3) & ((2 * F.col("rests") >= F.col("n")) | (F.col("rests") >= 16))
+    return texts.groupBy("host", "path", "key").agg(F.sum("n").alias("n"), F.sum(F.when(alike, F.col("n")).otherwise(0)).alias("alike"))
 
 
 def host(url_col: str):
@@ -267,30 +355,32 @@ def host(url_col: str):
 
 
 def winning_paths(counted: DataFrame, share: float = 0.01) -> DataFrame:
-    """host, paths: those with at least this share of the host's votes (so at most 1 / share), most votes first, ties by path.
+    """host, paths, shared: containers with at least this share of the host's votes (so at most 1 / share), most votes first, ties
+    by path; and digests of the paths beside the spine at which more than half of the host's pages say what others say.
 
     A page of a rarer layout isn't lost: no winner holds all of its text, and it is extracted at its own container.
     """
-    total = counted.groupBy("host").agg(F.sum("n").alias("total"))
-    kept = counted.join(total, "host").where(F.col("n") >= F.col("total") * share)
-    return kept.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda x: x["path"]).alias("paths"))
+    total = counted.where("path IS NOT NULL").groupBy("host").agg(F.sum("n").alias("total"))
+    kept = counted.join(total, "host").where(F.when(F.col("path").isNotNull(), F.col("n") >= F.col("total") * share).otherwise(2 * F.col("alike") > F.col("total")))
+    paths = F.collect_list(F.when(F.col("path").isNotNull(), F.struct((-F.col("n")).alias("n"), "path")))
+    return kept.groupBy("host").agg(F.transform(F.sort_array(paths), lambda x: x["path"]).alias("paths"), F.sort_array(F.collect_list("key")).alias("shared"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_paths: int = 100_000) -> DataFrame:
     """id_col, url_col, text and n_chars (code points) of every row of pages.
 
-    A null or empty page, or one without text of its own, has the empty text. Pages without a host vote together. Ids
-    may be null or repeat; an empty table gives none; other columns are ignored. The winners, a row per host, are
-    broadcast only if they have at most broadcast_paths paths; beyond that the pages are joined to them by host, hot hosts
-    split by adaptive execution.
+    A null or empty page, or one without text of its own, has the empty text. Pages without a host vote together on
+    containers and share nothing. Ids may be null or repeat; an empty table gives none; other columns are ignored. The winners,
+    a row per host, are broadcast only if they have at most broadcast_paths paths; beyond that the pages are joined to them by
+    host, hot hosts split by adaptive execution.
     """
-    winners = written(winning_paths(votes(pages, url_col, html_col)), "paths")
-    few = (winners.agg(F.sum(F.size("paths"))).first()[0] or 0) <= broadcast_paths
-    joined = pages.select(id_col, url_col, html_col, host(url_col).alias("host")).join(F.broadcast(winners) if few else winners, "host", "left").select(id_col, url_col, html_col, "paths")
+    winners = written(winning_paths(written(votes(pages, url_col, html_col), "votes")), "paths")
+    few = (winners.agg(F.sum(F.size("paths") + F.size("shared"))).first()[0] or 0) <= broadcast_paths
+    joined = pages.select(id_col, url_col, html_col, host(url_col).alias("host")).join(F.broadcast(winners) if few else winners, "host", "left").select(id_col, url_col, html_col, "paths", "shared")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 2):
-            out = [extracted(x or "", paths or []) for x, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            out = [extracted(x or "", paths or [], shared or []) for x, paths, shared in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()

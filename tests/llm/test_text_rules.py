@@ -176,6 +176,32 @@ def test_main_text_is_whole(spark):
     assert (last := html_text.parsed(rows[-1][2])).written(html_text.choice(last)) == ">html>body>article" and got[60] == long
 
 
+def test_a_host_votes_out_what_its_pages_share(spark):
+    """Strips under names that are on no list go where most of a host's pages have them; copies of an article and lone pages keep all."""
+    said = lambda n: " ".join(f"Sentence {k} of article {n} says something of its own." for k in range(8))
+    above = '<div class="teaser-strip"><p>All the best of this week, chosen for you by us.</p></div>'
+    below = '<section class="also-liked"><h3>You may like</h3><p>The ten finest places by the sea.</p></section>'
+    story = lambda n: f'<div class="story"><h1>Title {n}</h1><p>{said(n)}</p><ul class="facts"><li>Fact</li></ul></div>'
+    shown = lambda inner: f"<html><body><div class='x1'>{inner}</div></body></html>"
+    rows = [(n, f"http://strip.example/{n}", shown(f"{above}{story(n)}{below}")) for n in range(30)]
+    rows += [(30, "http://strip.example/short", shown(f"{above}<div class='story'><p>Brief.</p></div>{below}"))]
+    rows += [(40, "http://lone.example/", shown(f"{above}{story(40)}{below}"))]
+    rows += [(50 + n, f"http://copies.example/{n}", shown(story(50))) for n in range(9)] + [(59, "http://copies.example/9", shown(story(50) + "<p>Late addition.</p>"))]
+    rows += [(60 + n, f"http://few.example/{n}", shown((above if n < 4 else "") + story(60 + n))) for n in range(9)]
+    rows += [(70 + n, "no url", shown(f"{above}{story(70 + n)}")) for n in range(5)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    text = lambda n: f"Title {n}\n\n{said(n)}\n\nFact"
+    top, end = "All the best of this week, chosen for you by us.", "You may like\n\nThe ten finest places by the sea."
+    # the list of facts says the same on all pages, but within the article's own container
+    assert {n: got[n] for n in range(30)} == {n: text(n) for n in range(30)}
+    assert "Brief." in got[30]
+    assert got[40] == f"{top}\n\n{text(40)}\n\n{end}"
+    assert {got[50 + n] for n in range(9)} == {text(50)} and got[59] == text(50) + "\n\nLate addition."
+    assert [got[60 + n].startswith(top) for n in range(9)] == [True] * 4 + [False] * 5
+    assert all(got[70 + n].startswith(top) for n in range(5))
+    assert html_text.main_text(spark.createDataFrame(rows[:3], "page_id long, url string, html string"), broadcast_paths=0).where(f"text LIKE '{top}%'").count() == 0
+
+
 def test_what_only_looks_like_furniture():
     body = "<p>The first paragraph of this article.</p>"
     for odd in ('<p title="the hidden cost of x">It stays.</p>', '<p class="overflow hidden md:block">It stays.</p>', '<h2 id="search-results">It stays.</h2>', '<h2 id="form-validation">It stays.</h2>', '<section id="social-history"><p>It stays.</p></section>', "<math>It stays.</math>", '<h3 id="comments">It stays.</h3>', '<div data-hidden="x" class="ad-hoc">It stays.</div>'):
