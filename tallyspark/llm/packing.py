@@ -184,14 +184,15 @@ def best_fit_pack(items: DataFrame, size: int = 4096, per_group: int = 20_000) -
 
     Every piece is in one sequence; a sequence's pieces stand gapless from offset 0 and sum to at most size. bins and
     bound are the counts of the partition that closed the sequence. About per_group pieces are packed by a task, dealt
-    by a hash of all their columns, so that equal ids can't gather. What moves is dealt anew to as many tasks as its own
-    number asks for, and packed again as long as that saves sequences. An empty table gives none. items are read twice;
-    pass a written table.
+    by a hash of the row's number in its table, so that not even rows that are equal in all columns gather. What moves is
+    dealt anew to as many tasks as its own number asks for, and packed again as long as that saves sequences. An empty
+    table gives none. items are read twice and numbered as they lie, so they must be a written table.
     """
     kind = items.schema["id"].dataType.simpleString()
     schema = PIECES.format(id=kind) + PACKED
     groups = max(1, -(-items.count() // per_group))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(groups)))
+    deal = lambda rows, groups: rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = deal(items, groups)
     done, turn, before = None, 0, None
     numbered = lambda rows, turn: rows.withColumn("sequence_id", (F.lit(turn).cast("long") * (1 << 56)) + (F.col("part") * (1 << 24)) + F.col("bin"))
     while True:
@@ -204,7 +205,7 @@ def best_fit_pack(items: DataFrame, size: int = 4096, per_group: int = 20_000) -
         stay = numbered(turned.where("not moves"), turn)
         done = stay if done is None else done.unionByName(stay)
         groups, turn, before = -(-now.pieces // per_group), turn + 1, now.moving
-        dealt = turned.where("moves").select("id", "piece", "start", "length", "ids_crc32").withColumn("part", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32", F.lit(turn)), F.lit(groups)))
+        dealt = deal(turned.where("moves").select("id", "piece", "start", "length", "ids_crc32"), groups)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

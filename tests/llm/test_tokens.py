@@ -148,6 +148,17 @@ def test_exchange_closes_gaps(spark):
     assert out.count() == 3000
 
 
+def test_equal_rows_do_not_gather(spark, monkeypatch):
+    """100,000 rows that are equal in all columns, with null ids, are dealt to groups of about the asked size."""
+    items = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS id", "0 AS piece", "CAST(0 AS LONG) AS start", "CAST(7 AS LONG) AS length", "CAST(5 AS LONG) AS ids_crc32")
+    out = packing.best_fit_pack(items, 100, per_group=2000)
+    first = out.where("sequence_id < 1L << 56").groupBy((F.col("sequence_id") / (1 << 24)).cast("long").alias("part")).count()
+    assert first.agg(F.max("count")).first()[0] < 3000
+    bins = out.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.count_distinct("offset").alias("places"), F.count("*").alias("n"))
+    assert bins.where("used > 100 OR places <> n").count() == 0
+    assert out.count() == 100_000 and bins.count() <= -(-100_000 // 14) + 50
+
+
 def test_repacking_of_what_can_hardly_be_packed(spark):
     """Lengths of a quarter to a half: most bins move, and groups follow what moves until a turn saves nothing."""
     g = np.random.default_rng(5)
