@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table, written
+from tallyspark.llm.common import parts, table, written
 
 OTHER, END = 0, 1
 BLOCK = "block long, ids array<long>, lengths array<int>, held array<boolean>, runs binary, words array<binary>, train array<long>"
@@ -167,8 +167,21 @@ def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return there[first], np.add.reduceat(grads[order], first, axis=0)
 
 
-def trained(model: Model, triples: np.ndarray, weights: np.ndarray, words: Vocabulary, how: Settings, seed: int) -> Model:
-    """Noise-contrastive estimation with AdaGrad: one pass over all triples (w2, w1, w as one number) in shuffled steps.
+def numbered(w2: np.ndarray, w1: np.ndarray, w: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct triples in order, how often each is there, and the distinct contexts w2 * v + w1. A triple is its context's place
+    times v, plus w: of a block's tokens there are few contexts, so it is within a long for any vocabulary."""
+    contexts, at = np.unique(w2.astype(np.int64) * v + w1, return_inverse=True)
+    return *np.unique(at * v + w, return_counts=True), contexts
+
+
+def words_of(triples: np.ndarray, v: int, contexts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """w2, w1 and w of numbered triples; without contexts, a context stands for itself."""
+    before = triples // v if contexts is None else contexts[triples // v]
+    return before // v, before % v, triples % v
+
+
+def trained(model: Model, triples: np.ndarray, weights: np.ndarray, words: Vocabulary, how: Settings, seed: int, contexts: np.ndarray | None = None) -> Model:
+    """Noise-contrastive estimation with AdaGrad: one pass over all triples (see words_of) in shuffled steps.
 
     Every triple is met with its whole weight, its count; one heavier than the mean is dealt to several steps in parts.
     A step takes about as many parts as any other, at most how.batch of them and about how.tokens_a_step tokens. A class is
@@ -195,7 +208,7 @@ def trained(model: Model, triples: np.ndarray, weights: np.ndarray, words: Vocab
         k = words.of_class[drawn % v]
         by_class = np.argsort(k, kind="stable")
         drawn, weight, k = drawn[by_class], share[step][by_class], k[by_class]
-        w2, w1, w = drawn // (v * v), drawn // v % v, drawn % v
+        w2, w1, w = words_of(drawn, v, contexts)
         q = m.predicted(w2, w1)
         noise = np.searchsorted(of_noise, g.random(how.noise) * of_noise[-1], "right").clip(0, len(of_noise) - 1)
         real = weight * (1 - sigmoid(np.einsum("ij,ij->i", q, m.tc[k]) + m.bc[k] - shift_c[k]))
@@ -258,7 +271,7 @@ def corpus_blocks(docs: DataFrame, how: Settings, id_col: str, text_col: str, he
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         ids, texts, size = [], [], 0
-        for batch in batches:
+        for batch in parts(batches):
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(x or "")
@@ -354,9 +367,9 @@ def train(corpus: Corpus, how: Settings) -> Model:
                     use = ~held_out[document]
                     if not use.any():
                         continue
-                    triples, weights = np.unique((w2[use].astype(np.int64) * v + w1[use]) * v + w[use], return_counts=True)
+                    triples, weights, contexts = numbered(w2[use], w1[use], w[use], v)
                     n = int(weights.sum())
-                    total = total + n * trained(mine, triples, weights, words, how, turn * 7919 + batch.column(0)[row].as_py() % 100_003).flat().astype(np.float64)
+                    total = total + n * trained(mine, triples, weights, words, how, turn * 7919 + batch.column(0)[row].as_py() % 100_003, contexts).flat().astype(np.float64)
                     seen += n
             if seen:
                 cut = [(total[a : a + how.slice] / seen).astype(np.float32).tobytes() for a in range(0, len(total), how.slice)]

@@ -126,6 +126,32 @@ def test_training_meets_every_token(monkeypatch):
     assert met == {(t // v // v, t // v % v) for t in triples.tolist()}
 
 
+def test_triples_of_a_large_vocabulary():
+    v = 3_000_000  # past 2 ** 21, whose third power isn't within a long
+    g = np.random.default_rng(5)
+    w2, w1, w = (np.append(g.integers(0, v, 2000), [v - 1, v - 1, v - 1]).astype(np.int32) for _ in range(3))
+    triples, weights, contexts = neural_lm.numbered(w2, w1, w, v)
+    got = Counter(dict(zip(zip(*(x.tolist() for x in neural_lm.words_of(triples, v, contexts)), strict=True), weights.tolist(), strict=True)))
+    assert got == Counter(zip(w2.tolist(), w1.tolist(), w.tolist(), strict=True)) and got[v - 1, v - 1, v - 1] == 3
+    small = neural_lm.numbered(w2 % 50, w1 % 50, w % 50, 50)
+    codes, counts = np.unique(((w2 % 50).astype(np.int64) * 50 + w1 % 50) * 50 + w % 50, return_counts=True)
+    assert counts.tolist() == small[1].tolist()
+    assert [x.tolist() for x in neural_lm.words_of(codes, 50, None)] == [x.tolist() for x in neural_lm.words_of(small[0], 50, small[2])]
+
+
+def test_scores_of_null_ids_and_a_very_long_text(spark):
+    """Rows without an id are scored each by itself, and a text much longer than a block is scored whole."""
+    long = "one two three four five " * 200_000
+    rows = [(None, "one two three"), (None, None), (7, long), (8, "one two three"), (8, "one two three"), (9, "")]
+    how = neural_lm.Settings(block_chars=100_000)
+    got = neural_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), how).collect()
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    want = [(i, len((t or "").split()) + 1) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=key) == sorted(want, key=key)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert len({(r.score, r.base_score) for r in got if r.doc_id == 8}) == 1
+
+
 def test_probabilities_sum_to_one():
     g = np.random.default_rng(1)
     words = neural_lm.Vocabulary({}, np.append([0.1, 0.2], 0.7 * 0.5 ** np.arange(1, 19) / (1 - 0.5**18)))
