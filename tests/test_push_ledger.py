@@ -125,6 +125,25 @@ def test_nulls_and_repeated_rows(spark):
     assert [tuple(r) for r in done.days.collect()] == [("x", "1", "d", None, None, 1)] and done.audit.isEmpty()
 
 
+@pytest.mark.parametrize("width", [0, 2, 5])
+def test_days_are_cut_into_spans(spark, monkeypatch, width):
+    """A day's owner is the same whatever part of its lives begins, ends or goes on in a span of commands."""
+    monkeypatch.setattr(P, "SPAN", width)
+    r = random.Random(width)
+    commands = [("push", i, "x", f"c{r.randrange(30)}", "1", "d", r.choice(["ada", "ben", None]), None, BASE + timedelta(seconds=r.randrange(99)) if r.random() < 0.7 else None) if r.random() < 0.7 else ("merge", i, f"c{r.randrange(30)}") for i in range(1, 91)]
+    commands = [c[:6] + (f"dev{c[1]}", datetime(9000 if c[1] % 2 else 1000, 1, 1), c[8]) if c[0] == "push" else c for c in commands]
+    _, _, audit = check(spark, commands, unlisted=[(90, "x", "1", "d", "old", BASE)] if width == 2 else ())
+    assert audit or width == 2
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Files say little of the rows that are made of them: at 0.9 M orders a broadcast by their size was past a driver of 1 GB."""
+    rows = [(i, "x", f"c{i % 7}", "1", "d", "ada", BASE, BASE) for i in range(1, 40)]
+    done = P.pushed(spark.createDataFrame(rows, P.DELIVERY), spark.createDataFrame([(40, "c1")], "seq long, sha string"), unlisted=spark.createDataFrame([(9, "x", "1", "d", "old", BASE)], P.ROW))
+    for df in (done.statuses, done.days, done.audit):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_blocks_make_up_the_span(spark):
     spans = [(a, b) for a in range(0, 16) for b in range(a + 1, 17)]
     found = spark.createDataFrame(spans, "a long, b long").select("a", "b", P.blocks(F.col("a"), F.col("b"), 4).alias("x")).collect()
