@@ -79,11 +79,12 @@ def settle(changes: DataFrame) -> DataFrame:
     which they count. An id that two changes have is refused.
     """
     base = changes.select("id", "repo", "pr", "sha", "developer", F.col("merged_at").cast("timestamp").alias("merged_at"), "weight", "quality", F.col("effort").cast("long").alias("effort"), "links")
-    n = written(base, "changes")
+    # changes in the order of merges, told by a number: what they are ordered by is wide, and goes no further
+    order = (F.coalesce("merged_at", F.lit(FIRST).cast("timestamp")), F.coalesce("repo", F.lit("")), F.coalesce(F.col("pr").cast("long"), F.lit(0)), F.coalesce("sha", F.lit("")), "id")
+    n = written(base.orderBy(*order).drop("repo", "pr", "sha").withColumn("key", F.monotonically_increasing_id()), "changes")
     if not n.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError("two changes have the same id")
-    key = F.struct(F.coalesce("merged_at", F.lit(FIRST).cast("timestamp")).alias("t"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce(F.col("pr").cast("long"), F.lit(0)).alias("pr"), F.coalesce("sha", F.lit("")).alias("sha"), "id")
-    n = n.withColumn("key", key).withColumn("w2", halves("weight")).withColumn("fit", F.col("w2").isNotNull() & on_scale("quality", QUALITIES))
+    n = n.withColumn("w2", halves("weight")).withColumn("fit", F.col("w2").isNotNull() & on_scale("quality", QUALITIES))
     facts = n.select(F.col("id").alias("parent"), F.col("merged_at").alias("p_merged"), F.lit(True).alias("known"))
     raw = n.select(F.col("id").alias("child"), "merged_at", F.posexplode("links").alias("pos", "x")).select("child", "merged_at", "pos", "x.*").where(~F.col("state").isin(*GONE))
     early = F.lit(FIRST).cast("timestamp")
@@ -155,8 +156,8 @@ def settle(changes: DataFrame) -> DataFrame:
         touched = whole.join(part, "id", "left").select(component.alias("component")).distinct()
         placed = written(n.select("id").join(part, "id", "left").select("id", component.alias("component")).join(touched, "component", "left_semi"), "stories")
         later = settle_components(base.join(placed, "id"))
-        charged = charged.join(placed.select("id"), "id", "left_anti")
-    here = _allocated(written(charged, "settling"))
+        charged = written(charged.join(placed.select("id"), "id", "left_anti"), "settling")
+    here = _allocated(charged)
     forget(*jumps[:-1])
     return here.unionByName(later) if later is not None else here
 
@@ -192,7 +193,7 @@ def _allocated(rows: DataFrame) -> DataFrame:
     tree, _, _ = followed(rows.where("parent is not null").select("id", F.col("parent").alias("at"), F.lit(None).cast("string").alias("note"), F.lit(True).alias("sound")), "trees")
     rows = rows.join(tree.select("id", F.col("at").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # efforts of one original's earlier changes: of earlier days, then of the day
-    day = F.to_date(F.col("key.t"))
+    day = F.to_date(F.coalesce("merged_at", F.lit(FIRST).cast("timestamp")))
     rows = rows.withColumn("day", day)
     days = rows.groupBy("root", "day").agg(F.sum("effort").alias("effort"), F.count(F.when(F.col("effort").isNull(), 1)).alias("unknown"))
     before = Window.partitionBy("root").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)

@@ -476,7 +476,7 @@ def settled_chains(spark, sf):
     link = F.struct("parent", "state", none.alias("own"), none.alias("before"), none.alias("after"), none.alias("original"), F.lit(False).alias("pure"))
     links = r.groupBy(F.col("child").alias("id")).agg(F.array_sort(F.collect_list(link)).alias("links"))
     fraction = lambda c, by: F.concat((F.col(c) * by).cast("long").cast("string"), F.lit(f"/{by}"))
-    rows = B.outcomes(spark, sf).join(links, "id", "left").select("id", "repo", F.col("pr_number").cast("int").alias("pr"), F.col("merge_sha").alias("sha"), "developer", F.col("merged_at").cast("timestamp").alias("merged_at"), fraction("weight", 2).alias("weight"), F.concat(F.round(F.col("quality") * 10).cast("long").cast("string"), F.lit("/10")).alias("quality"), (F.col("id") % 1500).alias("effort"), "links")
+    rows = B.outcomes(spark, sf).drop("merge_sha").join(links, "id", "left").select("id", "repo", F.col("pr_number").cast("int").alias("pr"), F.sha2(F.col("id").cast("string"), 256).alias("sha"), "developer", F.col("merged_at").cast("timestamp").alias("merged_at"), fraction("weight", 2).alias("weight"), F.concat(F.round(F.col("quality") * 10).cast("long").cast("string"), F.lit("/10")).alias("quality"), (F.col("id") % 1500).alias("effort"), "links")
     return chains.settle(rows)
 
 

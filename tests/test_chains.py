@@ -88,3 +88,13 @@ def test_two_changes_with_one_id_are_refused(spark):
 
 def test_nothing(spark):
     assert chains.settle(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_what_orders_changes_is_kept_once(spark, monkeypatch):
+    """Merge commits and repositories only order the changes; a table of every step with them was most of what was written."""
+    seen, written = [], chains.written
+    monkeypatch.setattr(chains, "written", lambda df, name: (seen.append((name, df.schema.simpleString())), written(df, name))[1])
+    rows = [(i, "r", 1, "s" * 64, "ada", T0 + dt.timedelta(days=i), "1", "1", 10, [(i - 1, "confirmed", None, None, None, None, False)] if i % 3 else []) for i in range(1, 10)]
+    got = {r.id: tuple(r) for r in chains.settle(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == whole(rows)
+    assert seen and not [name for name, schema in seen if "sha:" in schema or "repo:" in schema]
