@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import seals
 from tallyspark.plans.registry import query
 from tallyspark.sources import bridge as B
-from tallyspark.sources.shared import shared_dir
+from tallyspark.sources.shared import shared_dir, written
 
 NOW = "1998-09-20"
 #: A source's passes cover its months but one, which proxy never fetched.
@@ -21,17 +21,18 @@ def sealed_log(spark, sf):
     """The months of the token events, sealed by repository up to the one that a source never fetched, which is left out, and beyond."""
     log = seals.SealLog(spark, f"{shared_dir(spark)}/seals-{uuid.uuid4().hex}")
     e = B.token_events(spark, sf).select("repo", "source", "cost_micro", "ts", F.date_format("ts", "yyyy-MM").alias("period"))
+    # what is asked of the events, again for each run of seals, is asked of their sums by month, repository and source
+    e = written(e.groupBy("period", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), "repo", "source").agg(F.min("ts").alias("ts"), F.sum("cost_micro").alias("cost_micro"), F.count("*").alias("n")), "months")
     first = e.agg(F.min("ts")).first()[0]
     if first is None:
         return log
-    month = F.date_trunc("month", "ts").cast("timestamp_ntz")
-    seen = e.where(~((F.col("source") == "proxy") & (F.col("period") == LOST))).select("source", month.alias("covered_from")).distinct()
+    seen = e.where(~((F.col("source") == "proxy") & (F.col("period") == LOST))).select("source", F.col("month").alias("covered_from")).distinct()
     runs = seen.withColumn("settled_through", F.col("covered_from") + F.expr("INTERVAL 1 MONTH"))
     # every month is a run of its own here: months certify one by one
     now = datetime.fromisoformat(NOW)
 
     def compute(periods):
-        return e.where(F.col("period").isin(periods)).groupBy("period", "repo").agg(F.sum("cost_micro").alias("cost_micro"), F.count("*").alias("n"))
+        return e.where(F.col("period").isin(periods)).groupBy("period", "repo").agg(F.sum("cost_micro").alias("cost_micro"), F.sum("n").alias("n"))
 
     def ready(periods):
         return seals.certified(runs, periods)

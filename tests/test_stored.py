@@ -164,3 +164,13 @@ def test_rows_at_their_first_table(spark, tmp_path):
     got, left = registry.original_basis(e, log, [1, 2, 3], spark.createDataFrame([(9,)], "id long"))
     assert {r.id: (r.original_micro, r.pricing_basis, r.rate_snapshot) for r in got.collect()} == {1: (2_000_000, "token_derived", log.live(1)["hash"]), 11: (0, "token_derived", log.live(1)["hash"])}
     assert {r.price_version: r.identities for r in left.collect()} == {2: 2, 3: 0}
+
+
+def test_months_are_sealed_from_their_sums(spark, monkeypatch):
+    """Each run of seals asks for what is ready and for its figures; neither reads the events again."""
+    from tallyspark.plans import closing
+
+    asked = []
+    monkeypatch.setattr(closing.seals, "seal_through", lambda log, compute, ready, *rest: asked.append(compute(["1995-01"])))
+    closing.sealed_log(spark, "/root/testdata/sf0.001")
+    assert asked and not [f for df in asked for f in df.inputFiles() if "lineitem" in f or "orders" in f]
