@@ -69,10 +69,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Costs set by hand, of rows that no poller counts: the new table's sums, with the rows of the audit and what they were."""
     e = B.token_events(spark, sf).withColumn("provider", F.col("source"))
-    own = e.where("id % 97 = 0 and source != 'anthropic-admin'").select("id").distinct()
     # ids repeat here, once for each source: rows are told apart by both
-    e = e.withColumn("id", F.concat_ws("/", "id", "source"))
-    o = own.select(F.col("id").alias("n")).join(e.select(F.split("id", "/")[0].cast("long").alias("n"), "id", "source").distinct(), "n").where("source != 'anthropic-admin'")
+    one = F.concat_ws("/", "id", "source").alias("id")
+    o = e.where("id % 97 = 0 and source != 'anthropic-admin'").select(one).distinct()
+    e = e.withColumn("id", one)
     o = o.select("id", F.lit(1000).cast("long").alias("cost_micro"), F.lit("operator").alias("actor"), F.lit("bill").alias("reason"), F.lit(None).cast("string").alias("billed_to"), F.lit(1).alias("place"))
     table, audit = amend.override_costs(e, o, ["anthropic-admin"]).committed()
     was = audit.groupBy("developer").agg(F.count("*").alias("audited"), F.sum("cost_micro").alias("was"))

@@ -166,6 +166,38 @@ def test_rows_at_their_first_table(spark, tmp_path):
     assert {r.price_version: r.identities for r in left.collect()} == {2: 2, 3: 0}
 
 
+def counted(spark, df):
+    """df, and how many of its rows have been made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    return df.mapInPandas(count, df.schema), made
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_what_an_amendment_is_made_of_is_made_once(spark, monkeypatch, few):
+    """A mapping, overrides and events may be dear to make: checks ask what has been made already, whether it is copied or shuffled."""
+    monkeypatch.setattr(amend, "FEW", few)
+    rows = [(i, "ada" if i % 2 else "ben", "", f"s{i % 3}", 10 * i, "jsonl") for i in range(1, 9)]
+    events, all_ = counted(spark, spark.createDataFrame(rows, "id long, developer string, repo string, session_id string, cost_micro long, provider string"))
+    mapping, mapped = counted(spark, spark.createDataFrame([("s0", "acme/a"), ("s1", "acme/b")], "session_id string, repo string"))
+    got = {r.verdict: (r.n, r.cost_micro) for r in amend.repair_repositories(events, mapping, "ada", "op", "why").counts().collect()}
+    assert got == {"keep": (4, 200), "change": (3, 110), "unresolved": (1, 50)} and (all_.value, mapped.value) == (8, 2)
+    o = [(3, 7, "op", "bill", None, 1), (3, 8, "op", "bill", None, 2), (4, 40, "op", "bill", None, 1)]
+    schema = "id long, cost_micro long, actor string, reason string, billed_to string, place int"
+    overrides, over = counted(spark, spark.createDataFrame(o, schema))
+    table, audit = amend.override_costs(events, overrides, ["admin"]).committed()
+    assert table.agg(F.sum("cost_micro")).first()[0] == 360 - 30 + 8 and [(r.id, r.new_cost_micro) for r in audit.collect()] == [(3, 8)]
+    assert (all_.value, over.value) == (16, 3)
+    with pytest.raises(amend.Refused) as e:
+        amend.override_costs(events, spark.createDataFrame([(99, 1, "op", "bill", None, 1)], schema), [])
+    assert [r.id for r in e.value.rows.collect()] == [99]
+
+
 def test_months_are_sealed_from_their_sums(spark, monkeypatch):
     """Each run of seals asks for what is ready and for its figures; neither reads the events again."""
     from tallyspark.plans import closing
