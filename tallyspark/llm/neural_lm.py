@@ -12,13 +12,16 @@ parameters are averaged by the tokens that they have seen; so more blocks make t
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import count
 from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +29,15 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import parts, table, written
 
 OTHER, END = 0, 1
+#: Scores that are made at once, so that they stay in a core's cache.
+CELLS = 1 << 16
 BLOCK = "block long, ids array<long>, lengths array<int>, held array<boolean>, runs binary, words array<binary>, train array<long>"
 
 
 @dataclass(frozen=True)
 class Settings:
     """Words of the vocabulary to the root of all tokens, dimensions, noise classes of a step and noise words of a class in
-    it, most triples of a step, rounds, rate, about the most tokens of a step; sizes of blocks, and of slices of the model."""
+    it, most triples of a step, rounds, rate, about the most tokens of a step; rows of a layer; sizes of blocks, and of slices of the model."""
 
     spread: float = 2.0
     width: int = 16
@@ -42,6 +47,7 @@ class Settings:
     rounds: int = 1
     rate: float = 0.5
     tokens_a_step: int = 4096
+    lanes: int = 32
     block_chars: int = 8 << 20
     slice: int = 1 << 14
     parts: int = 32
@@ -54,6 +60,15 @@ class Vocabulary:
     frequent: dict[bytes, int]
     unigram: np.ndarray
 
+    @cached_property
+    def listed(self) -> pa.Array:
+        return pa.array(list(self.frequent), pa.binary())
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Each word's number, or OTHER."""
+        at = pc.index_in(words, self.listed).fill_null(-1).to_numpy()
+        return np.append(np.fromiter(self.frequent.values(), np.int32, len(self.frequent)), np.int32(OTHER))[at]
+
     @cached_property
     def of_class(self) -> np.ndarray:
         """The class of each number: OTHER and END have their own."""
@@ -125,43 +140,78 @@ class Model:
         return self.r[w1] @ self.c1 + self.r[w2] @ self.c2
 
     def log_probability(self, w2: np.ndarray, w1: np.ndarray, w: np.ndarray, words: Vocabulary) -> np.ndarray:
-        """Natural log of the normalised probability of each w after w2 w1."""
-        context, of = np.unique(w2.astype(np.int64) * len(self.b) + w1, return_inverse=True)
-        q = self.predicted(context // len(self.b), context % len(self.b))
+        """Natural log of the normalised probability of each w after w2 w1. Equal triples are worked out once."""
+        first, at, of, _ = grouped(w2, w1, w)
+        begins = np.flatnonzero(np.diff(of, prepend=-1))
+        q = self.predicted(w2[first[begins]], w1[first[begins]])
+        w = w[first]
         k = words.of_class[w]
         of_class = np.zeros(len(q))
-        for a in range(0, len(q), 4096):
-            of_class[a : a + 4096] = log_sum(q[a : a + 4096] @ self.tc.T + self.bc)
+        step = max(CELLS // len(self.bc), 1)
+        for a in range(0, len(q), step):
+            of_class[a : a + step] = log_sum(q[a : a + step] @ self.tc.T + self.bc)
         out = np.zeros(len(w))
         for a in range(0, len(w), 1 << 18):
             x = slice(a, a + (1 << 18))
             out[x] = np.einsum("ij,ij->i", q[of[x]], self.tc[k[x]]) + self.bc[k[x]] - of_class[of[x]]
-        order = np.argsort(k, kind="stable")
+        order = places(k)
         cuts = np.searchsorted(k[order], np.arange(len(words.by_class) + 1))
         for c in np.flatnonzero(np.diff(cuts)).tolist():
             first, after = words.starts[c : c + 2]
             if after - first < 2:
                 continue
-            for a in range(cuts[c], cuts[c + 1], 1 << 14):
-                rows = order[a : min(a + (1 << 14), cuts[c + 1])]
-                s = q[of[rows]] @ self.t[first:after].T + self.b[first:after]
-                out[rows] += s[np.arange(len(rows)), w[rows] - first] - log_sum(s)
-        return out
+            t, b, step = np.ascontiguousarray(self.t[first:after].T), self.b[first:after], max(CELLS // (after - first), 1)
+            for a in range(cuts[c], cuts[c + 1], step):
+                rows = order[a : min(a + step, cuts[c + 1])]
+                s = q[of[rows]] @ t
+                s += b
+                own = s[np.arange(len(rows)), w[rows] - first]
+                out[rows] += own - log_sum(s)
+        return out[at]
 
 
 def log_sum(s: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row."""
+    """Log of the sum of exponentials of each row; s is overwritten."""
     top = s.max(axis=1)
-    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+    s -= top[:, None]
+    return top + np.log(np.exp(s, out=s).sum(axis=1))
+
+
+def places(numbers: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative numbers, by 16 bits at a time, which numpy sorts by radix."""
+    order = np.argsort((numbers & 0xFFFF).astype(np.uint16), kind="stable")
+    most = int(numbers.max()) if len(numbers) else 0
+    for shift in range(16, most.bit_length(), 16):
+        order = order[np.argsort((numbers[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+    return order
+
+
+def grouped(w2: np.ndarray, w1: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct triples in order: the place of one, each row's triple, each triple's context by number, and how many there are."""
+    order = places(w)
+    order = order[places(w1[order])]
+    order = order[places(w2[order])]
+    a, b, c = w2[order], w1[order], w[order]
+    differs = np.ones(len(order), bool)
+    differs[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    context = np.cumsum(differs) - 1
+    differs[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(differs)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(differs) - 1
+    return order[starts], at, context[starts], np.diff(starts, append=len(order))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, and the sum of each one's grads."""
-    order = np.argsort(rows, kind="stable")
+    order = places(rows)
     there = rows[order]
     first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
     return there[first], np.add.reduceat(grads[order], first, axis=0)
@@ -170,8 +220,9 @@ def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def numbered(w2: np.ndarray, w1: np.ndarray, w: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct triples in order, how often each is there, and the distinct contexts w2 * v + w1. A triple is its context's place
     times v, plus w: of a block's tokens there are few contexts, so it is within a long for any vocabulary."""
-    contexts, at = np.unique(w2.astype(np.int64) * v + w1, return_inverse=True)
-    return *np.unique(at * v + w, return_counts=True), contexts
+    first, _, of, counts = grouped(w2, w1, w)
+    begins = first[np.flatnonzero(np.diff(of, prepend=-1))]
+    return of * v + w[first], counts, w2[begins].astype(np.int64) * v + w1[begins]
 
 
 def words_of(triples: np.ndarray, v: int, contexts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +240,9 @@ def trained(model: Model, triples: np.ndarray, weights: np.ndarray, words: Vocab
     """
     g, v = np.random.default_rng(seed), len(words.unigram)
     m = Model(*(getattr(model, x).copy() for x in NAMES))
-    sums = {x: np.full(getattr(m, x).shape, 1e-2, np.float32) for x in NAMES}
+    d = m.r.shape[1]
+    into = {"r": m.r, "t": np.column_stack([m.t, m.b]), "tc": np.column_stack([m.tc, m.bc]), "c1": m.c1, "c2": m.c2}
+    sums = {x: np.full(y.shape, 1e-2, np.float32) for x, y in into.items()}
     total = int(weights.sum())
     pieces = -(-weights // -(-total // len(weights)))
     part, share = np.repeat(np.arange(len(triples)), pieces), np.repeat(weights / pieces, pieces).astype(np.float32)
@@ -200,50 +253,56 @@ def trained(model: Model, triples: np.ndarray, weights: np.ndarray, words: Vocab
 
     def move(name: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         grad = grad * np.float32(steps / total)
-        sums[name][rows] += grad * grad
-        getattr(m, name)[rows] += how.rate * grad / np.sqrt(sums[name][rows])
+        so_far = sums[name][rows] + grad * grad
+        sums[name][rows] = so_far
+        into[name][rows] += how.rate * grad / np.sqrt(so_far)
 
     for step in np.array_split(order, steps):
         drawn = triples[part[step]]
         k = words.of_class[drawn % v]
-        by_class = np.argsort(k, kind="stable")
+        by_class = places(k)
         drawn, weight, k = drawn[by_class], share[step][by_class], k[by_class]
         w2, w1, w = words_of(drawn, v, contexts)
-        q = m.predicted(w2, w1)
+        q = np.ones((len(w), d + 1), np.float32)  # the last component meets the biases
+        q[:, :-1] = m.predicted(w2, w1)
         noise = np.searchsorted(of_noise, g.random(how.noise) * of_noise[-1], "right").clip(0, len(of_noise) - 1)
-        real = weight * (1 - sigmoid(np.einsum("ij,ij->i", q, m.tc[k]) + m.bc[k] - shift_c[k]))
-        false = -weight[:, None] * sigmoid(q @ m.tc[noise].T + m.bc[noise] - shift_c[noise])
-        to_q = real[:, None] * m.tc[k] + false @ m.tc[noise]
-        classes = np.concatenate([k, noise]), np.concatenate([real, false.sum(axis=0)]), np.concatenate([real[:, None] * q, false.T @ q])
-        inner = np.where(many[k], weight, 0) * (1 - sigmoid(np.einsum("ij,ij->i", q, m.t[w]) + m.b[w] - shift_w[w]))
-        to_q += inner[:, None] * m.t[w]
-        rows, to_b, to_t = [w], [inner], [inner[:, None] * q]
+        own, mate, noisy = into["tc"][k], into["t"][w], into["tc"][noise]
+        real = weight * (1 - sigmoid(np.einsum("ij,ij->i", q, own) - shift_c[k]))
+        false = -weight[:, None] * sigmoid(q @ noisy.T - shift_c[noise])
+        inner = np.where(many[k], weight, 0) * (1 - sigmoid(np.einsum("ij,ij->i", q, mate) - shift_w[w]))
+        own *= real[:, None]
+        mate *= inner[:, None]
+        own += mate
+        own += false @ noisy
+        to_q = own[:, :-1]
+        at, grad = summed(np.concatenate([k, noise]), np.concatenate([real[:, None] * q, false.T @ q]))
+        move("tc", grad, at)
+        rows, to_t = [w], [inner[:, None] * q]
         there, first, size = np.unique(k, return_index=True, return_counts=True)
         there, first, size = (x[many[there]] for x in (there, first, size))
-        if len(there):  # a layer for each class, of as many rows as the largest one here
-            lane = np.arange(size.max())
-            mine = lane < size[:, None]
-            x = np.where(mine, first[:, None] + lane, 0)
+        if len(there):  # layers of how.lanes rows of a class, the last one of each filled up
             dice = words.before[there][:, None] + g.random((len(there), how.inner))
             picked = np.searchsorted(words.sums, dice, "right").clip(words.starts[there][:, None], words.starts[there + 1][:, None] - 1)
-            qx, t = q[x], m.t[picked]
-            false = np.where(mine, -weight[x], 0)[:, :, None] * sigmoid(qx @ t.transpose(0, 2, 1) + (m.b[picked] - shift_w[picked])[:, None, :])
-            to_q[x[mine]] += (false @ t)[mine]
+            layers = -(-size // how.lanes)
+            begins = np.cumsum(layers) - layers
+            of = np.repeat(np.arange(len(there)), layers)
+            lane = (np.arange(len(of)) - begins[of])[:, None] * how.lanes + np.arange(how.lanes)
+            mine = lane < size[of][:, None]
+            x = np.where(mine, first[of][:, None] + lane, 0)
+            qx, t = q[x], into["t"][picked][of]
+            false = np.where(mine, -weight[x], 0)[:, :, None] * sigmoid(qx @ t.transpose(0, 2, 1) - shift_w[picked][of][:, None, :])
+            to_q[x[mine]] += (false @ t)[mine][:, :-1]
             rows.append(picked.ravel())
-            to_b.append(false.sum(axis=1).ravel())
-            to_t.append((false.transpose(0, 2, 1) @ qx).reshape(-1, qx.shape[2]))
+            to_t.append(np.add.reduceat(false.transpose(0, 2, 1) @ qx, begins, axis=0).reshape(-1, d + 1))
         both = np.concatenate([w1, w2]), np.concatenate([to_q @ m.c1.T, to_q @ m.c2.T])
         c1, c2 = m.r[w1].T @ to_q, m.r[w2].T @ to_q
-        at, grad = summed(classes[0], np.column_stack([classes[2], classes[1]]))
-        move("tc", grad[:, :-1], at)
-        move("bc", grad[:, -1], at)
-        at, grad = summed(np.concatenate(rows), np.column_stack([np.concatenate(to_t), np.concatenate(to_b)]))
-        move("t", grad[:, :-1], at)
-        move("b", grad[:, -1], at)
+        at, grad = summed(np.concatenate(rows), np.concatenate(to_t))
+        move("t", grad, at)
         at, grad = summed(*both)
         move("r", grad, at)
         move("c1", c1)
         move("c2", c2)
+    m.t, m.b, m.tc, m.bc = into["t"][:, :-1], into["t"][:, -1], into["tc"][:, :-1], into["tc"][:, -1]
     return m
 
 
@@ -260,9 +319,9 @@ def corpus_blocks(docs: DataFrame, how: Settings, id_col: str, text_col: str, he
     """Rows of BLOCK. Words are lower-cased (A-Z) and cut at ASCII white space; train counts those of documents not held out."""
 
     def block(number: int, ids: list, texts: list[str]) -> pa.RecordBatch:
-        of: dict[bytes, int] = {}
+        of: defaultdict[bytes, int] = defaultdict(count().__next__)
         held = [held_out(i) for i in ids]
-        runs = [np.array([of.setdefault(w, len(of)) for w in x.encode().lower().split()], np.int32) for x in texts]
+        runs = [np.array([*map(of.__getitem__, x.encode().lower().split())], np.int32) for x in texts]
         own = [r for r, h in zip(runs, held, strict=True) if not h]
         train = np.bincount(np.concatenate(own), minlength=len(of)) if own else np.zeros(len(of), np.int64)
         one = lambda x: pa.array([x])
@@ -285,9 +344,9 @@ def corpus_blocks(docs: DataFrame, how: Settings, id_col: str, text_col: str, he
     return written(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(read, BLOCK), "blocks")
 
 
-def unpacked(batch: pa.RecordBatch, row: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def unpacked(batch: pa.RecordBatch, row: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     ids, lengths, held, runs, words = (batch.column(k)[row] for k in range(1, 6))
-    return ids.as_py(), lengths.values.to_numpy(), np.array(held.as_py(), bool), ints(runs.as_py()), words.as_py()
+    return ids.values, lengths.values.to_numpy(), held.values.to_numpy(zero_copy_only=False).astype(bool), ints(runs.as_py()), words.values
 
 
 def sequences(lengths: np.ndarray, runs: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -362,7 +421,7 @@ def train(corpus: Corpus, how: Settings) -> Model:
             for batch in batches:
                 for row in range(len(batch)):
                     _, lengths, held_out, runs, said = unpacked(batch, row)
-                    of = np.fromiter((words.frequent.get(w, OTHER) for w in said), np.int32, len(said))
+                    of = words.numbers(said)
                     document, w2, w1, w, _ = sequences(lengths, runs, of)
                     use = ~held_out[document]
                     if not use.any():
@@ -407,7 +466,7 @@ def score(corpus: Corpus, model: Model, how: Settings, id_col: str = "doc_id") -
         for batch in block.to_batches():
             for row in range(len(batch)):
                 ids, lengths, held, runs, words = unpacked(batch, row)
-                of = np.fromiter((vocabulary.frequent.get(w, OTHER) for w in words), np.int32, len(words))
+                of = vocabulary.numbers(words)
                 c = np.append(known.value[of], ends)
                 c[counts.column("place").to_numpy()] = counts.column("c").to_numpy()
                 document, w2, w1, w, place = sequences(lengths, runs, of)
@@ -418,7 +477,7 @@ def score(corpus: Corpus, model: Model, how: Settings, id_col: str = "doc_id") -
                 size = len(ids)
                 sums = lambda x, document=document, size=size: np.bincount(document, x, size)
                 base = sums(np.log10((c + 1) / (n + distinct + 1))[mine])
-                out.append((pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths.astype(np.int64) + 1), pa.array(sums((c > 0)[mine]).astype(np.int64)), pa.array(np.full(size, n)), pa.array(base), pa.array(sums(own))))
+                out.append((ids, pa.array(held), pa.array(lengths.astype(np.int64) + 1), pa.array(sums((c > 0)[mine]).astype(np.int64)), pa.array(np.full(size, n)), pa.array(base), pa.array(sums(own))))
         return pa.Table.from_batches([pa.RecordBatch.from_arrays(list(x), schema=result) for x in out], result)
 
     result = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

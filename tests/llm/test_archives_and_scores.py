@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tallyspark.llm import neural_lm, warc
@@ -164,6 +165,31 @@ def test_probabilities_sum_to_one():
     assert np.allclose(p, [brute_probability(m, words, 3, 7, k) for k in range(v)], rtol=1e-4)
 
 
+def test_equal_triples_are_scored_once(monkeypatch):
+    """However often a triple is said, a row of scores is made for it once, and each of its places gets the result."""
+    g = np.random.default_rng(2)
+    words = neural_lm.Vocabulary({}, np.append([0.1, 0.2], np.full(30, 0.7 / 30)))
+    v, c = 32, len(words.by_class)
+    m = neural_lm.Model(*(g.standard_normal(s).astype(np.float32) for s in ((v, 4), (v, 4), v, (c, 4), c, (4, 4), (4, 4))))
+    w2, w1, w = (np.tile(x, 500).astype(np.int32) for x in ([3, 3, 4], [7, 7, 1], [9, 12, 1]))
+    rows, whole = [], neural_lm.log_sum
+    monkeypatch.setattr(neural_lm, "log_sum", lambda s: (rows.append(len(s)), whole(s))[1])
+    got = m.log_probability(w2, w1, w, words).reshape(500, 3)
+    assert sum(rows) == 2 + 2  # two contexts, and two triples whose class has other words
+    assert (got == got[0]).all() and np.allclose(np.exp(got[0]), [brute_probability(m, words, *x) for x in ((3, 7, 9), (3, 7, 12), (4, 1, 1))], rtol=1e-4)
+
+
+def test_places_and_numbers():
+    g = np.random.default_rng(3)
+    for top in (1, 70_000, 1 << 40):
+        x = np.append(g.integers(0, top, 500), [0, 0, top - 1, top - 1])
+        assert (neural_lm.places(x) == np.argsort(x, kind="stable")).all()
+    assert len(neural_lm.places(np.zeros(0, np.int32))) == 0
+    words = neural_lm.Vocabulary({b"a": 2, b"\xff": 3}, np.full(4, 0.25))
+    assert words.numbers(pa.array([b"\xff", b"", b"b", b"a"], pa.binary())).tolist() == [3, 0, 0, 2]
+    assert neural_lm.Vocabulary({}, np.full(2, 0.5)).numbers(pa.array([b"a"], pa.binary())).tolist() == [0]
+
+
 def brute_probability(m, words, w2, w1, w):
     """One word after two others, in plain loops."""
     d = m.r.shape[1]
