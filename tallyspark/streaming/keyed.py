@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -84,58 +85,65 @@ def first_deliveries(deliveries: DataFrame, window_seconds: int, late_minutes: i
     return keyed.transformWithState(statefulProcessor=FirstDelivery(window_seconds, deliveries.columns), outputStructType=deliveries.schema, outputMode="Append", timeMode="EventTime")
 
 
-MESSAGE = "session string, stream string, message_id string, first_ts timestamp, last_ts timestamp, lines long, input_tok long, output_tok long"
-OPEN = "message_id string, start long, first long, last long, lines long, input long, output long"
+#: What the processor is given of a line, packed, and what it gives: lists of a session's messages, at most so many in a row.
+LINE = ("stream", "message_id", "place", "micro", "input_tok", "output_tok")
+MESSAGES = "session string, streams array<string>, ids array<string>, firsts array<long>, lasts array<long>, lines array<long>, inputs array<long>, outputs array<long>"
+MOST_IN_A_ROW = 4096
 
 
 class HeldBack(StatefulProcessor):
-    """By session: the messages still open, one a stream, and the ids of those finished last."""
+    """By session: the messages still open, one a stream, and the ids of those finished last, as one value.
+
+    A cell of a row and a call to the state store cost more than what is done with them, so lines come in packed, messages
+    go out as lists, and a session's state is read and written once.
+    """
 
     def __init__(self, idle_seconds: int) -> None:
         self.idle = idle_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "stream string", OPEN)
-        self.recent = handle.getListState("recent", "message_id string")
-        self.last = handle.getValueState("last", "micro long, started long")
+        self.held = handle.getValueState("held", "packed string")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
-        open_ = {k[0]: list(v) for k, v in self.open.iterator()}
-        stored = set(open_)
-        recent = [r[0] for r in self.recent.get()]
-        last, started = self.last.get() if self.last.exists() else (None, 0)
-        before = last
+        stored = self.held.get()
+        open_, recent, last, started = json.loads(stored[0]) if stored else ((), [], None, 0)
+        open_, before, out = dict(open_), last, []
 
-        def finish(stream: str) -> Row:
+        def finish(stream: str | None) -> None:
             m = open_.pop(stream)
             if m[0] is not None:
                 recent.append(m[0])
                 del recent[:-MOST_RECENT]
-            return message(key[0], stream, m)
-
-        for r in sorted(rows, key=lambda r: (r.micro, r.place)):
-            last = r.micro if last is None else max(last, r.micro)
-            if r.message_id is not None and r.message_id in recent:
-                continue  # a line of a message that is out already
-            at = next((s for s, m in open_.items() if r.message_id is not None and m[0] == r.message_id), None)
-            if at is None:
-                at = r.stream
+            out.append((stream, m))
+
+        lines = json.loads(f"[{','.join(r.line for r in rows)}]")
+        for r in sorted(lines, key=lambda r: (r["micro"], r.get("place", -1))):
+            micro, mid, at = r["micro"], r.get("message_id"), []
+            last = micro if last is None else max(last, micro)
+            if mid is not None:
+                if mid in recent:
+                    continue  # a line of a message that is out already
+                at = [s for s, m in open_.items() if m[0] == mid]
+            if at:
+                at = at[0]
+            else:
+                at = r.get("stream")
                 if at in open_:
-                    yield finish(at)
+                    finish(at)
                 if len(open_) == MOST_OPEN:
-                    yield finish(min(open_, key=lambda s: open_[s][1]))
-                open_[at] = [r.message_id, started, r.micro, r.micro, 0, 0, 0]
+                    finish(min(open_, key=lambda s: open_[s][1]))
+                open_[at] = [mid, started, micro, micro, 0, 0, 0]
                 started += 1
             m = open_[at]
-            m[2:] = min(m[2], r.micro), max(m[3], r.micro), m[4] + 1, max(m[5], r.input_tok or 0), max(m[6], r.output_tok or 0)
-
-        for s in stored - open_.keys():
-            self.open.removeKey((s,))
-        for s, m in open_.items():
-            self.open.updateValue((s,), tuple(m))
-        self.recent.put([(x,) for x in recent]) if recent else self.recent.clear()
-        self.last.update((last, started))
+            m[2:] = min(m[2], micro), max(m[3], micro), m[4] + 1, max(m[5], r.get("input_tok", 0)), max(m[6], r.get("output_tok", 0))
+            if len(out) >= MOST_IN_A_ROW:
+                yield messages(key[0], out)
+                out.clear()
+
+        if out:
+            yield messages(key[0], out)
+        self.held.update((json.dumps([[*open_.items()], recent, last, started]),))
         if last != before:
             if before is not None:
                 self.handle.deleteTimer(-(-(before + self.idle) // 1000))
@@ -143,19 +151,16 @@ class HeldBack(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
         """The session has been idle: what is open goes out, and nothing of it is kept."""
-        for k, m in sorted(((k[0], list(v)) for k, v in self.open.iterator()), key=lambda x: x[1][1]):
-            yield message(key[0], k, m)
-        self.open.clear()
-        self.recent.clear()
-        self.last.clear()
+        yield messages(key[0], sorted(json.loads(self.held.get()[0])[0], key=lambda x: x[1][1]))
+        self.held.clear()
 
     def close(self) -> None:
         pass
 
 
-def message(session: str, stream: str, m: list) -> Row:
-    at = lambda n: dt.datetime.fromtimestamp(n / 1_000_000, dt.timezone.utc)
-    return Row(session=session, stream=stream, message_id=m[0], first_ts=at(m[2]), last_ts=at(m[3]), lines=m[4], input_tok=m[5], output_tok=m[6])
+def messages(session: str, out: list[tuple[str | None, list]]) -> Row:
+    of = lambda n: [m[n] for _, m in out]
+    return Row(session=session, streams=[s for s, _ in out], ids=of(0), firsts=of(2), lasts=of(3), lines=of(4), inputs=of(5), outputs=of(6))
 
 
 def held_back(rows: DataFrame, idle_seconds: int = 600, late_minutes: int = 0) -> DataFrame:
@@ -167,5 +172,7 @@ def held_back(rows: DataFrame, idle_seconds: int = 600, late_minutes: int = 0) -
     finished ids, and nothing once it is idle.
     """
     timed = rows.withColumn("micro", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", f"{late_minutes} minutes")
-    keyed = timed.where("session is not null").groupBy("session")
-    return keyed.transformWithState(statefulProcessor=HeldBack(idle_seconds), outputStructType=MESSAGE, outputMode="Append", timeMode="EventTime")
+    keyed = timed.where("session is not null").select("session", "event_time", F.to_json(F.struct(*LINE), {"ignoreNullFields": "true"}).alias("line")).groupBy("session")
+    out = keyed.transformWithState(statefulProcessor=HeldBack(idle_seconds), outputStructType=MESSAGES, outputMode="Append", timeMode="EventTime")
+    each = out.select("session", F.inline(F.arrays_zip("streams", "ids", "firsts", "lasts", "lines", "inputs", "outputs")).alias("stream", "message_id", "first", "last", "lines", "input_tok", "output_tok"))
+    return each.select("session", "stream", "message_id", F.timestamp_micros("first").alias("first_ts"), F.timestamp_micros("last").alias("last_ts"), "lines", "input_tok", "output_tok")

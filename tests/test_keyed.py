@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from tallyspark.sources.shared import shared_dir
 from tallyspark.streaming import keyed
@@ -106,3 +108,50 @@ def test_open_messages_are_bounded(spark, tmp_path, n):
     rows = [("a", f"agent{i}", f"m{i}", i, T0 + dt.timedelta(seconds=i), 1, 1) for i in range(n)]
     got = stream_of(spark, tmp_path, LINE, [rows], lambda s: keyed.held_back(s, 600), "open")
     assert sorted(r["message_id"] for r in got[0]) == ["m0", "m1", "m2"]
+
+
+def test_one_state_value_is_read_and_written_once():
+    """However many lines a session has in a batch, the processor makes three calls to the state store, or four with a timer to move."""
+    calls = []
+
+    class Value:
+        packed = None
+
+        def get(self):
+            calls.append("get")
+            return self.packed
+
+        def update(self, value):
+            calls.append("update")
+            self.packed = value
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.value
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("register")
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls.append("delete")
+
+    job = keyed.HeldBack(600)
+    job.init(Handle())
+    line = lambda i: Row(session="a", line=json.dumps({"stream": f"s{i % 3}", "message_id": f"m{i // 3}-{i % 3}", "place": i, "micro": i * 1000}))
+    first = [*job.handleInputRows(("a",), map(line, range(15_000)), None)]
+    assert calls == ["get", "update", "register"]
+    assert [len(r.ids) for r in first] == [4096, 4096, 4096, 14_997 - 3 * 4096]
+    assert [x for r in first for x in r.firsts] == [i * 1000 for i in range(14_997)]
+    calls.clear()
+    again = [*job.handleInputRows(("a",), map(line, range(15_000, 15_006)), None)]
+    assert calls == ["get", "update", "delete", "register"] and [len(r.ids) for r in again] == [6]
+
+
+def test_messages_without_a_stream_and_with_any_text(spark, tmp_path):
+    line = lambda stream, m, n: ("a", stream, m, n, T0 + dt.timedelta(seconds=n), None, n)
+    odd = 'm "1"\\, \u2028[é\n'
+    got = stream_of(spark, tmp_path, LINE, [[line(None, odd, 0), line("x", odd, 1), line(None, odd, 2)], [line(None, odd, 3), line(None, "m2", 4)]], lambda s: keyed.held_back(s, 600), "odd")
+    assert got[0] == []
+    assert [(r["stream"], r["message_id"], r["lines"], r["output_tok"]) for r in got[1]] == [(None, odd, 4, 3)]
